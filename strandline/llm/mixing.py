@@ -4,7 +4,7 @@ A source's target divided by its size is the number of copies wanted of each of
 fractional rest. The rests are rounded together. Two documents meet, mass (in words) moves from one to the other, in
 either direction with the chances that keep both expectations, until one of them is wholly in or wholly out; the other
 goes on to meet the next. The words taken of a source therefore keep their sum exactly until one document is left,
-which is rounded by itself: a source's mix is within one document of its target. Large documents meet first, so that
+which is rounded to the nearer side: a source's mix is within half a document of its target. Large documents meet first, so that
 the one left is usually a small one.
 
 The meetings form a reduction tree: documents are dealt by hash into buckets of about FAN, each bucket leaves one
@@ -124,7 +124,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, total=TOTAL, cap=CAP, seed: int =
     for part in parts:
         decided = decided.unionByName(part.select("source", F.explode("done").alias("d")).select("source", "d.*"))
     last = F.col("pend")
-    decided = decided.unionByName(parts[-1].where("pend IS NOT NULL").select("source", *(last[k].alias(k) for k in ("doc_id", "size", "n")), (last["base"] + F.when(chance(seed + 1, last["doc_id"], last["size"]) * last["s"] < last["mass"], 1).otherwise(0)).cast("long").alias("copies")))
+    decided = decided.unionByName(parts[-1].where("pend IS NOT NULL").select("source", *(last[k].alias(k) for k in ("doc_id", "size", "n")), (last["base"] + F.when(last["mass"] * 2 >= last["s"], 1).otherwise(0)).cast("long").alias("copies")))
     return decided.join(small, F.col("source").eqNullSafe(F.col("of"))).drop("of", "units")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import mixing, packing, tokenfile, warc
 from .common import written
 
 
@@ -21,6 +21,25 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_archive(table(spark, sf_dir, "pages"))
+    return warc.read_index(spark, folder).drop("url", "record_id")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM q
+"""
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = written(packing.pieces(table(spark, sf_dir, "documents")), "pieces")
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -28,10 +47,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archive": op1_warc_archive,
+    "op2_token_files": op2_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_mix_sources": op8_mix_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
