@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers each vote good, bad or nothing on a text. Expectation-maximisation over the counts of vote patterns
 (of all documents; at most 3**labellers patterns, whatever the corpus) estimates how often each labeller gives each vote to
-good and to bad texts, and gives each pattern a posterior. The posteriors of a bounded sample (about SAMPLE documents, by hash of
+good and to each kind of bad texts, hence its accuracy, and gives each pattern a posterior. The posteriors of a bounded sample (about SAMPLE documents, by hash of
 the text) train a hashed linear scorer, and the scorer's probability decides: documents under THRESHOLD are rejected.
 
 Labels that the corpus has are not used for training; they serve to test.
@@ -25,6 +25,8 @@ BITS = 12
 SAMPLE = 8000
 THRESHOLD = 0.5
 PRIOR_BAD = 0.15
+#: A labeller calls at most this share of good texts bad: its bounds are set for that, and without it a kind of bad that one labeller alone sees could pass as its errors.
+MOST_FALSE = 0.002
 
 #: name, what it measures, good up to, bad from (or good from, bad up to, where bad is lower).
 LABELLERS = (
@@ -107,27 +109,45 @@ def pattern(v: list[int]) -> int:
 
 
 def fit_votes(counts: dict[int, int], rounds: int = 100) -> dict:
-    """EM: the share of bad texts, each labeller's chance of each vote on good and bad texts, each pattern's chance of good."""
+    """EM: each pattern's chance of good, the share of good texts, and each labeller's accuracy where it votes.
+
+    Bad texts are of several kinds, and most labellers see one kind only, so that votes depend on one another within "bad". The latent
+    classes are therefore good and one kind of bad a labeller, which starts as what that labeller alone calls bad; within a
+    class votes are independent. No vote is no evidence: it comes from a text's length or a value between the bounds. Pseudo-counts (a thousandth of the texts) keep chances above zero.
+    """
     keys = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(k)] for k in keys], float)
     v = np.stack([keys // 3**k % 3 for k in range(len(LABELLERS))], 1)
-    good, bad = (v == 1).sum(1), (v == 2).sum(1)
-    post = np.where(bad > 0, 0.25 * (good > 2 * bad), np.where(good > 0, 0.95, 1 - PRIOR_BAD))
-    few = max(2.0, 0.002 * n.sum())  # pseudo-counts: a labeller is right rather than wrong until the counts say otherwise
+    bad = v == 2
+    post = np.zeros((1 + len(LABELLERS), len(keys)))
+    post[0] = np.where(bad.any(1), 0.1, 0.95)
+    post[1:] = np.where(bad.any(1), 0.9 * bad.T / np.maximum(1, bad.sum(1)), 0.05 / len(LABELLERS))
+    few = max(1.0, 0.001 * n.sum())
+    kinds = np.eye(len(LABELLERS), dtype=bool)
+    chance = np.ones((1 + len(LABELLERS), len(LABELLERS), 3))
+    share = np.full(1 + len(LABELLERS), PRIOR_BAD / len(LABELLERS))
+    share[0] = 1 - PRIOR_BAD
+    prior = share.copy()
     for _ in range(rounds):
-        share = (few * (1 - PRIOR_BAD) + (n * post).sum()) / (few + n.sum())
-        chance = np.empty((2, len(LABELLERS), 3))
-        for c, p in ((0, post), (1, 1 - post)):
+        share = few * prior + post @ n
+        share /= share.sum()
+        for c in range(len(chance)):
             for k in range(len(LABELLERS)):
-                prior = np.array([0.4, 0.5, 0.1] if c == 0 else [0.4, 0.3, 0.3]) * few
-                got = np.array([(n * p)[v[:, k] == x].sum() for x in range(3)]) + prior
-                chance[c, k] = got / got.sum()
-        log = np.stack([np.log(share) + sum(np.log(chance[0, k, v[:, k]]) for k in range(len(LABELLERS))), np.log(1 - share) + sum(np.log(chance[1, k, v[:, k]]) for k in range(len(LABELLERS)))])
-        new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
-        if np.abs(new - post).max(initial=0) < 1e-9:
-            break
+                start = [0.99, 0.01] if c == 0 else [0.1, 0.9] if kinds[c - 1, k] else [0.7, 0.3]
+                got = np.array([(n * post[c])[v[:, k] == x].sum() for x in (1, 2)]) + few * np.array(start)
+                false = got[1] / got.sum()
+                chance[c, k, 2] = min(false, MOST_FALSE) if c == 0 else false
+                chance[c, k, 1] = 1 - chance[c, k, 2]
+        log = np.log(share)[:, None] + sum(np.log(chance[:, k, v[:, k]]) for k in range(len(LABELLERS)))
+        new = np.exp(log - log.max(0, initial=-1e9))
+        new /= np.maximum(1e-300, new.sum(0))
+        done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
-    return {"share_good": share if len(keys) else 1.0, "chance": chance, "posterior": dict(zip(keys.tolist(), post.tolist()))}
+        if done:
+            break
+    right = share[0] * chance[0, :, 1] + share[1:] @ chance[1:, :, 2]
+    voted = right + share[0] * chance[0, :, 2] + share[1:] @ chance[1:, :, 1]
+    return {"share_good": float(share[0]), "accuracy": {x[0]: float(a) for x, a in zip(LABELLERS, right / voted)}, "posterior": dict(zip(keys.tolist(), post[0].tolist()))}
 
 
 @F.pandas_udf(T.IntegerType())
