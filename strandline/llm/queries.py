@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, packing, quality, simhash, tokenfile, warc
+from . import ann, chat, langid, mixing, neargraph, packing, quality, simhash, tokenfile, warc
 from .common import written
 
 
@@ -86,6 +86,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_files": op2_token_files,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_mix_sources": op8_mix_sources,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL}
 
