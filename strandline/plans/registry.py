@@ -24,9 +24,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from . import evaluations, features, relational, templates, variant_plans  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
