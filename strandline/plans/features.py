@@ -113,11 +113,11 @@ def track(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("event_type", F.floor(F.col("position") / 60).alias("hour")).agg(F.avg("value").alias("v"))
 
 
-@query("track_window_stats", f"""WITH {TRACK} SELECT event_type, hour, round(avg(v) OVER w, 4) AS v_context_mean, round(max(v) OVER w, 4) AS v_context_max, round(stddev_pop(v) OVER w, 3) AS v_context_std, round(v - avg(v) OVER w, 4) AS v_contrast
+@query("track_window_stats", f"""WITH {TRACK} SELECT event_type, hour, round(avg(v) OVER w, 9) AS v_context_mean, round(max(v) OVER w, 9) AS v_context_max, round(stddev_pop(v) OVER w, 5) AS v_context_std, round(v - avg(v) OVER w, 9) AS v_contrast
 FROM track WINDOW w AS (PARTITION BY event_type ORDER BY hour RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING)""")
 def track_window_stats(spark, sf_dir):
     df = windows.track_context(track(spark, sf_dir), "v", 10, ["event_type"], "hour")
-    return df.select("event_type", "hour", F.round("v_context_mean", 4).alias("v_context_mean"), F.round("v_context_max", 4).alias("v_context_max"), F.round("v_context_std", 3).alias("v_context_std"), F.round(scores.contrast("v", "v_context_mean"), 4).alias("v_contrast"))
+    return df.select("event_type", "hour", F.round("v_context_mean", 9).alias("v_context_mean"), F.round("v_context_max", 9).alias("v_context_max"), F.round("v_context_std", 5).alias("v_context_std"), F.round(scores.contrast("v", "v_context_mean"), 9).alias("v_contrast"))
 
 
 @query("track_directional_ratio", f"""WITH {TRACK}, r AS (SELECT event_type, hour, coalesce(avg(v) OVER (PARTITION BY event_type ORDER BY hour RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.0) AS a,
