@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def let(value, body):
     """Bind a column expression to a name inside a higher-order function, so that it is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .hashed import fit_logistic, ngrams
 
 BITS, SIZES = 11, (1, 2, 3)
@@ -127,4 +128,5 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 def known_language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """docs whose text has a language: those without a letter go."""
     predict = predictor(train(docs, per_language))
-    return docs.withColumn("_p", predict("text")).where(F.col("_p.lang_pred") != UNKNOWN).select(*docs.columns)
+    name = fresh(docs, "_language")
+    return docs.withColumn(name, predict("text")).where(F.col(name)["lang_pred"] != UNKNOWN).select(*docs.columns)

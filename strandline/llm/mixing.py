@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import fresh, let, written
 
 #: Weights by the source's rank in code-point order (null last), repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -130,7 +130,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, total=TOTAL, cap=CAP, seed: int =
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    plan = mix_plan(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_copies"))
-    held = docs.withColumn("_words", words())
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_words") == F.col("_n"))
-    return held.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    d, s, n, copies, size, copy = (fresh(docs, x) for x in ("_d", "_s", "_n", "_copies", "_size", "_copy"))
+    plan = mix_plan(docs, **how).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(copies))
+    on = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
+    return docs.withColumn(size, words()).join(plan, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

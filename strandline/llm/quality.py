@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .hashed import fit_logistic, ngrams, word_hashes
 
 BITS = 12
@@ -207,4 +208,5 @@ def classify(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD
 def accepted(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the classifier rejects."""
     score = scorer(train(docs, sample))
-    return docs.withColumn("_s", score("text")).where(F.col("_s.score") >= threshold).select(*docs.columns)
+    name = fresh(docs, "_score")
+    return docs.withColumn(name, score("text")).where(F.col(name)["score"] >= threshold).select(*docs.columns)

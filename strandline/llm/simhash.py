@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, fresh, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 VANTAGES, WIDTH = 6, 8
@@ -178,5 +178,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None =
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each component: that of the smallest doc_id (one row, where rows repeat it)."""
-    stay = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    name = fresh(docs, "_kept")
+    stay = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[name]), "left_semi").dropDuplicates(["doc_id"])
