@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", " </turn>\n"
 LEARN = "Assistant"
@@ -111,6 +111,7 @@ def format_conversations(conversations: DataFrame, segment: int = SEGMENT) -> Da
             flush()
         yield pa.RecordBatch.from_pylist(rows, schema=names)
 
+    text_batches(conversations.sparkSession)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return turns.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, segment int, formatted string, spans array<struct<start:int,end:int>>")
 

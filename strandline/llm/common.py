@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts are long: hand them to Python in small Arrow batches (a session setting), so that a worker holds a few MB of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     there = {c.lower() for c in df.columns}

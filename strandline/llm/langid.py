@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, text_batches
 from .hashed import fit_logistic, ngrams
 
 BITS, SIZES = 11, (1, 2, 3)
@@ -63,6 +63,7 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """The model: languages, codewords, weights, biases, and the bits' weights in decoding."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_batches, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end: int = END, capaci
                     rows, held = [[] for _ in schema], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, text_batches
 from .hashed import fit_logistic, ngrams, word_hashes
 
 BITS = 12
@@ -164,6 +164,7 @@ def vectors(text: pd.Series) -> pd.DataFrame:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The labellers' model from all documents, and the scorer from about `sample` of them."""
+    text_batches(docs.sparkSession)
     texts = docs.select("text").where(F.length(F.trim("text")) > 0)
     counts = {r["pattern"]: r["n"] for r in texts.groupBy(vote_pattern("text").alias("pattern")).agg(F.count("*").alias("n")).collect()}  # at most 3**labellers rows
     total = sum(counts.values())

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, text_batches, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC, TRAILER = b"TOKBITS1", struct.Struct("<BIQQQ8s")
@@ -132,6 +132,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     """Write every text's ids in ascending doc_id order; the manifest, with ids_before: the ids in the files before."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
+    text_batches(spark)
 
     def write(batches):
         import uuid
