@@ -124,5 +124,5 @@ def random_common_keys(spark, sf_dir):
 
 @query("similar_families")
 def similar_families(spark, sf_dir):
-    """Pairs of sequences that share most of their 12-letter words."""
-    return transcripts.similar_sequences(table(spark, sf_dir, "benchmark"), "item_id", "text", 12, 0.9)
+    """Pairs of sequences that share a fifth of their 3-letter words or more."""
+    return transcripts.similar_sequences(table(spark, sf_dir, "benchmark"), "item_id", "text", 3, 0.8)
