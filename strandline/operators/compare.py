@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import with_rates
+from .windows import running_totals
 
 
 def compare_models(df: DataFrame, label: str, scores: dict[str, str], threshold=0.5) -> DataFrame:
@@ -31,12 +32,11 @@ def outside(evaluated: DataFrame, reference: DataFrame, on: list[str]) -> DataFr
 
 
 def rank_correlations(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Spearman's correlation of each pair. Values are ranked once each (ties share their mean rank), in windows over distinct values."""
+    """Spearman's correlation of each pair. Values are ranked once each (ties share their mean rank), range by range."""
     ranks = df.select(key)
     for c in columns:
         n = df.groupBy(c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranked = n.select(c, (upto - (F.col("_n") - 1) / 2).alias("_r"))
+        ranked = running_totals(n, c, ["_n"]).select(c, (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias("_r"))
         ranks = ranks.join(df.select(key, c).join(ranked, c).select(key, F.col("_r").alias(c)), key)
     wide = ranks.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in combinations(columns, 2)))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("spearman")) for a, b in combinations(columns, 2)))

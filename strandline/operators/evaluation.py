@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import best_in_window, with_offsets
-from .windows import top_k
+from .windows import running_totals, top_k
 
 
 def classify_sites(truth: DataFrame, scores: DataFrame, on: list[str], threshold=0.5, width=2, position="position", score="score") -> DataFrame:
@@ -39,15 +39,14 @@ def with_rates(counts: DataFrame, digits=4) -> DataFrame:
 
 
 def ranked_counts(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
-    """Cumulative true and false positives at each distinct score, from the highest: the table behind AP, PR and ROC.
+    """True and false positives at and before (tp0, fp0) each distinct score, from the highest: the table behind AP, PR and ROC.
 
-    Scores are grouped before the window, so the window sees distinct scores only.
+    Scores are grouped first and run up range by range, so no task holds all of them.
     """
     per = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1.0 - F.col(label)).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    got = per.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(every).alias("p_all"), F.sum("neg").over(every).alias("n_all"))
-    return got.select("*", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p_all")).alias("recall"))
+    got = running_totals(per, score, ["pos", "neg"], by, descending=True)
+    got = got.select(*by, score, "pos", "neg", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_all").alias("p_all"), F.col("neg_all").alias("n_all"))
+    return got.select("*", (F.col("tp") - F.col("pos")).alias("tp0"), (F.col("fp") - F.col("neg")).alias("fp0"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p_all")).alias("recall"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
@@ -58,17 +57,15 @@ def average_precision(df: DataFrame, label: str, score: str, by: list[str] = ())
 
 def pr_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """Trapezoids under precision over recall, from the point (0, 1)."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
+    p0 = F.when(F.col("tp0") + F.col("fp0") > 0, F.col("tp0") / (F.col("tp0") + F.col("fp0"))).otherwise(F.lit(1.0))
     got = ranked_counts(df, label, score, by)
-    got = got.select("*", F.lag("precision", 1, 1.0).over(w).alias("p0"), F.lag("recall", 1, 0.0).over(w).alias("r0"))
-    return got.groupBy(*by).agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("pr_auc"))
+    return got.groupBy(*by).agg(F.sum(F.col("pos") / F.col("p_all") * (F.col("precision") + p0) / 2).alias("pr_auc"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
     """Trapezoids under true over false positive rate; ties share their step."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    got = ranked_counts(df, label, score, by).select("*", F.lag("tp", 1, 0.0).over(w).alias("t0"), F.lag("fp", 1, 0.0).over(w).alias("f0"))
-    return got.groupBy(*by).agg(F.sum((F.col("fp") - F.col("f0")) * (F.col("tp") + F.col("t0")) / 2 / (F.col("p_all") * F.col("n_all"))).alias("roc_auc"))
+    got = ranked_counts(df, label, score, by)
+    return got.groupBy(*by).agg(F.sum(F.col("neg") * (F.col("tp") + F.col("tp0")) / 2 / (F.col("p_all") * F.col("n_all"))).alias("roc_auc"))
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: list[float], digits=4) -> DataFrame:

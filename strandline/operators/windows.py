@@ -92,3 +92,21 @@ def nearest_flagged(df: DataFrame, flag: str, position: str, by: list[str], orde
     before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     return df.withColumn("nearest_distance", F.least(F.col(position) - before, after - F.col(position)))
+
+
+def running_totals(df: DataFrame, order: str, values: list[str], by: list[str] = (), descending: bool = False, parts: int = 64) -> DataFrame:
+    """Running sums (`<value>_upto`, the row included) and whole sums (`<value>_all`) in the order of a number that is unique within `by`.
+
+    A window without keys would put all rows into one task. Rows are cut into ranges at approximate quantiles instead; the ranges'
+    sums are few and are run up first, then each range runs up its own rows.
+    """
+    bounds = sorted({b for b in df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005) if b is not None})
+    at = F.col(order)
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: (x > at) if descending else (x < at))) if bounds else F.lit(0)
+    cut = df.withColumn("_range", bucket)
+    sums = cut.groupBy(*by, "_range").agg(*(F.sum(v).alias(v) for v in values))
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_range", *(F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"_{v}_before") for v in values), *(F.sum(v).over(Window.partitionBy(*by)).alias(f"{v}_all") for v in values))
+    w = Window.partitionBy(*by, "_range").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    got = cut.join(sums, [*by, "_range"])
+    return got.select(*df.columns, *(f"{v}_all" for v in values), *((F.col(f"_{v}_before") + F.sum(v).over(w)).alias(f"{v}_upto") for v in values))
