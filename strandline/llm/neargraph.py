@@ -8,8 +8,9 @@
 4. Search, in each shard over the joined lists: every node is a query. A best-first walk starts from the shard's medoid (and from the
    query's own place in the graph) and takes EXPAND steps; steps within the range (cosine - SLACK or more) don't count, so
    the walk goes on for as long as it finds nodes in range.
-5. Verified: a pair is linked only if its cosine, in double precision on the original vectors, reaches the threshold. Pairs of
-   distinct nodes are made distinct over the shards and counted with the nodes' counts, so n equal vectors cost no n*n pairs.
+5. Verified: a pair is linked only if its cosine, in double precision on the original vectors, reaches the threshold. A pair counts in
+   the first shard alone that its nodes share, so that a shard gives back a row a node (its links and the smallest node that they
+   reach) and no pairs: a group of n near copies costs n rows, and n equal vectors one.
 6. Audit: for AUDIT nodes (by hash) the true links are counted by brute force over all nodes, and the share found is given
    with the result.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
+from .simhash import forest
 from .vectors import matrix, parts, same_length, usable
 
 COSINE = 0.93
@@ -79,11 +81,10 @@ def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int =
     return np.concatenate([a, b]), np.concatenate([b, a])
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, lowest: float, steps: int = EXPAND, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of rows of x that walks reach with a cosine of `lowest` or more. lists: neighbours, padded with -1."""
+def range_search(x: np.ndarray, lists: np.ndarray, lowest: float, steps: int = EXPAND, at_once: int = 4):
+    """For a few queries at a time, (first row, which rows of x their walks reach with a cosine of `lowest` or more). lists: neighbours, padded with -1."""
     n = len(x)
     medoid = int((x @ unit(x.mean(0, keepdims=True) + 1e-12)[0]).argmax())
-    got_i, got_j = [], []
     chunk = int(np.clip(4_000_000 // max(1, n), 16, 256))
     for a in range(0, n, chunk):
         q = x[a : a + chunk]
@@ -117,10 +118,39 @@ def range_search(x: np.ndarray, lists: np.ndarray, lowest: float, steps: int = E
                 for s in range(0, len(at), 1 << 16):
                     seen[at[s : s + (1 << 16)], to[s : s + (1 << 16)]] = np.einsum("ij,ij->i", q[at[s : s + (1 << 16)]], x[to[s : s + (1 << 16)]])
                 open_[at, to] = True
-        i, j = np.nonzero(seen >= lowest)
-        got_i.append(i + a)
-        got_j.append(j)
-    return np.concatenate(got_i), np.concatenate(got_j)
+        yield a, seen >= lowest
+
+
+def shard_links(full: np.ndarray, count: np.ndarray, homes: np.ndarray, shard: int, lists: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node of a shard: how many vectors it links to, and the smallest node that its links here reach.
+
+    What walks reach is kept as bits, both ways; pairs are unpacked for a block of nodes at a time, verified in double precision, and counted
+    in the first shard alone that the two nodes share.
+    """
+    n = len(full)
+    size = np.linalg.norm(full, axis=1)
+    reached = np.concatenate([np.packbits(found, axis=1) for _, found in range_search((full / size[:, None]).astype(np.float32), lists, cosine - SLACK)])
+    linked, parent = np.zeros(n, np.int64), np.arange(n)
+    block = int(np.clip(2_000_000 // max(1, n) // 8 * 8, 8, 256))
+    for a in range(0, n, block):
+        b = min(n, a + block)
+        near = np.unpackbits(reached[a:b], axis=1, count=n).astype(bool)
+        near |= np.unpackbits(reached[:, a // 8 : -(-b // 8)], axis=1, count=b - a).astype(bool).T
+        i, j = np.nonzero(near)
+        i += a
+        i, j = i[i != j], j[i != j]
+        for k in range(0, len(i), 1 << 17):
+            p, q = i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+            both = (homes[p][:, :, None] == homes[q][:, None, :]).any(2)
+            first = np.where(both, homes[p], np.iinfo(np.int64).max).min(1) == shard
+            p, q = p[first], q[first]
+            ok = np.einsum("ij,ij->i", full[p], full[q]) / (size[p] * size[q]) >= cosine
+            p, q = p[ok], q[ok]
+            np.add.at(linked, p, count[q])
+            if len(p):
+                pairs = np.unique(parent[p] * n + parent[q])
+                parent = forest(n, np.stack([pairs // n, pairs % n], 1))[parent]
+    return linked, parent
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,11 +161,11 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(a, b, na, nb): distinct pairs of nodes found, a < b, with their counts. nodes: a written table (cid, label, embedding, n)."""
+    """(cid, m, root): for each node and shard in which it has links, the vectors linked there and the smallest node reached. nodes: a written table (cid, label, embedding, n)."""
     spark, kind = nodes.sparkSession, dict(nodes.dtypes)["embedding"]
     n, largest = nodes.groupBy("label").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     if not n:
-        return spark.createDataFrame([], "a long, b long, na long, nb long")
+        return spark.createDataFrame([], "cid long, m long, root long")
     drawn = nodes.where((F.pmod(F.xxhash64(F.lit(11), "cid"), F.lit(1 << 30)) / float(1 << 30)) < min(1.0, FIT / n)).select("cid", "embedding").toPandas().sort_values("cid")  # about FIT rows
     k = int(min(CENTRES, max(1, largest * OVERLAP // SHARD), max(1, len(drawn) // 4)))
     c = centres(unit(np.stack(drawn["embedding"].to_numpy()).astype(np.float64)), k).astype(np.float32) if len(drawn) else np.ones((1, 1), np.float32)
@@ -149,10 +179,12 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
             else:
                 near = np.zeros((len(v), 1), int)
             at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), *(x.take(at) for x in batch.columns)], names=["centre", *batch.schema.names])
+            all_ = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel().astype(np.int64)), near.shape[1]).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), all_.take(at), *(x.take(at) for x in batch.columns)], names=["centre", "centres", *batch.schema.names])
 
-    dealt = nodes.select("cid", "label", "embedding", "n").mapInArrow(deal, f"centre long, cid long, label {dict(nodes.dtypes)['label']}, embedding {kind}, n long")
-    dealt = written(dealt.select(F.xxhash64("label", "centre").alias("shard"), "cid", F.col("embedding").alias("v"), "n"), "graph-shards")
+    dealt = nodes.select("cid", "label", "embedding", "n").mapInArrow(deal, f"centre long, centres array<long>, cid long, label {dict(nodes.dtypes)['label']}, embedding {kind}, n long")
+    homes = F.transform("centres", lambda c: F.xxhash64("label", c)).alias("homes")
+    dealt = written(dealt.select(F.xxhash64("label", "centre").alias("shard"), homes, "cid", F.col("embedding").alias("v"), "n"), "graph-shards")
     groups = max(1, n * overlap // GROUP_ROWS)
     group = F.pmod("shard", F.lit(groups)).alias("group")
 
@@ -169,12 +201,11 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     def search(key, got):
         got = got.sort_by([("shard", "ascending"), ("cid", "ascending")])
         cid, count = got.column("cid").to_numpy(), got.column("n").to_numpy()
-        full = matrix(got.column("v"), np.float64)
-        exact, near = unit(full), got.column("near").combine_chunks()
+        full, homes, near = matrix(got.column("v"), np.float64), matrix(got.column("homes"), np.int64), got.column("near").combine_chunks()
         near = pa.concat_arrays(near.chunks) if isinstance(near, pa.ChunkedArray) else near
         offsets, flat = near.offsets.to_numpy(), near.values.to_numpy(zero_copy_only=False)
-        a, b, na, nb = [], [], [], []
-        for s, e in parts(got.column("shard").to_numpy()):
+        shard, out = got.column("shard").to_numpy(), []
+        for s, e in parts(shard):
             ids, to = cid[s:e], flat[offsets[s] : offsets[e]]
             of = np.repeat(np.arange(e - s), np.diff(offsets[s : e + 1]))
             place = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
@@ -183,25 +214,17 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
             width = int(np.bincount(of, minlength=1).max(initial=0))
             lists = np.full((e - s, max(1, width)), -1, np.int64)
             lists[of, np.arange(len(of)) - np.searchsorted(of, of)] = place
-            i, j = range_search(exact[s:e].astype(np.float32), lists, cosine - SLACK)
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            pair = np.unique(i[i != j] * (e - s) + j[i != j])
-            i, j = pair // (e - s), pair % (e - s)
-            ok = np.einsum("ij,ij->i", full[s:e][i], full[s:e][j]) / (np.linalg.norm(full[s:e][i], axis=1) * np.linalg.norm(full[s:e][j], axis=1)) >= cosine
-            i, j = i[ok] + s, j[ok] + s
-            a.append(cid[i])
-            b.append(cid[j])
-            na.append(count[i])
-            nb.append(count[j])
-        return pa.table({name: np.concatenate(x) for name, x in (("a", a), ("b", b), ("na", na), ("nb", nb))})
-
-    ready = dealt.join(joined, "cid", "left").select(group, "shard", "cid", "v", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
-    found = ready.groupBy("group").applyInArrow(search, "a long, b long, na long, nb long")
-    return found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-
-
-def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, n: int = AUDIT) -> float:
-    """The share of the true links of n nodes (by hash) that was found; 1 if they have none."""
+            linked, root = shard_links(full[s:e], count[s:e], homes[s:e], shard[s], lists, cosine)
+            some = np.flatnonzero(linked)
+            out.append((ids[some], linked[some], ids[root[some]]))
+        return pa.table({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("cid", "m", "root"))})
+
+    ready = dealt.join(joined, "cid", "left").select(group, "shard", "homes", "cid", "v", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
+    return ready.groupBy("group").applyInArrow(search, "cid long, m long, root long")
+
+
+def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, n: int = AUDIT) -> float:
+    """The share of the true links of n nodes (by hash) that was found; 1 if they have none. linked: (cid, m)."""
     nodes = nodes.withColumn("label", F.col("label").cast("string"))
     asked = nodes.orderBy(F.xxhash64(F.lit(23), "cid"), "cid").limit(n).select("cid", "label", "embedding").toPandas()
     if not len(asked):
@@ -210,13 +233,12 @@ def audit(nodes: DataFrame, found: DataFrame, cosine: float = COSINE, n: int = A
 
     def run(batches):
         for batch in batches:
-            ids, of = batch.column("cid").to_numpy(), np.array(batch.column("label").to_pylist(), object)
+            ids, of, times = batch.column("cid").to_numpy(), np.array(batch.column("label").to_pylist(), object), batch.column("n").to_numpy()
             near = (q @ unit(matrix(batch.column("embedding"), np.float64)).T >= cosine) & (label[:, None] == of[None]) & (qid[:, None] != ids[None])
-            i, j = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(qid[i], ids[j])), pa.array(np.maximum(qid[i], ids[j]))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(near @ times)], names=["cid", "m"])
 
-    true = nodes.select("cid", "label", "embedding").mapInArrow(run, "a long, b long").distinct()
-    all_, hit = true.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
+    true = nodes.select("cid", "label", "embedding", "n").mapInArrow(run, "cid long, m long").groupBy("cid").agg(F.sum("m").alias("true"))
+    all_, hit = true.join(linked, "cid", "left").agg(F.sum("true"), F.coalesce(F.sum("m"), F.lit(0))).first()
     return hit / all_ if all_ else 1.0
 
 
@@ -225,10 +247,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows, made = nodes_of(vectors)
     nodes = written(made, "graph-nodes")
     found = written(links(nodes, cosine), "graph-links")
-    recall = audit(nodes, found, cosine)
-    each = found.select(F.col("a").alias("cid"), F.col("nb").alias("m")).unionByName(found.select(F.col("b").alias("cid"), F.col("na").alias("m")))
-    linked = each.groupBy("cid").agg(F.sum("m").alias("m"))
-    reach = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), "graph").withColumnRenamed("node", "cid")
+    linked = found.groupBy("cid").agg(F.sum("m").alias("m"))
+    recall = audit(nodes, linked, cosine)
+    reach = components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")), "graph").withColumnRenamed("node", "cid")
     of = nodes.join(linked, "cid", "left").join(reach, "cid", "left").select("h", "label", "embedding", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     inside = rows.join(of, ["h", "label", "embedding"]).select("vec_id", "n_links", "component_id")
     taken = rows.select("vec_id", "h").distinct()
