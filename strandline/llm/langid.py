@@ -74,15 +74,15 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
 
     @F.pandas_udf("binary")
     def vector(text: pd.Series) -> pd.Series:
-        return pd.Series([features(x).tobytes() if LETTER(x) else None for x in text], dtype=object)
+        return pd.Series([features(x).astype(np.float16).tobytes() if LETTER(x) else None for x in text], dtype=object)
 
     got = drawn.select("lang", vector("text").alias("x")).where("x IS NOT NULL").toPandas()
     if not len(got):
         return {"langs": []}
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float32).reshape(len(got), -1)
+    x = np.stack([np.frombuffer(v, np.float16) for v in got.pop("x")])
     of = np.searchsorted(langs, got["lang"].to_numpy(dtype=str)) if len(langs) else np.zeros(0, int)
     order = np.lexsort((x[:, 0], x[:, 1], of))  # rows arrive in any order; sums then don't depend on it
-    x, of = x[order], of[order]
+    x, of = x[order].astype(np.float32), of[order]
     code = codebook(len(langs))
     if len(langs) == 1:
         return {"langs": langs, "code": code, "w": np.zeros((x.shape[1], code.shape[1]), np.float32), "b": np.zeros(code.shape[1], np.float32), "bit": np.ones(code.shape[1], np.float32)}

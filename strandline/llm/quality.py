@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import fresh, text_batches
 from .hashed import fit_logistic, ngrams, word_hashes
 
-BITS = 12
-SAMPLE = 8000
+BITS = 11
+SAMPLE = 5000
 THRESHOLD = 0.5
 PRIOR_BAD = 0.15
 #: A labeller calls at most this share of good texts bad: its bounds are set for that, and without it a kind of bad that one labeller alone sees could pass as its errors.
@@ -175,10 +175,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     got = drawn.select(vectors("text").alias("v")).select("v.*").toPandas()
     if not len(got):
         return {"weak": weak, "w": np.zeros((1 << BITS, 1), np.float32), "b": np.full(1, 3, np.float32)}
-    x = np.frombuffer(b"".join(map(bytes, got["x"])), np.float16).reshape(len(got), -1).astype(np.float32)
     y = np.array([weak["posterior"].get(p, weak["share_good"]) for p in got["pattern"]], np.float32).reshape(-1, 1)
+    x = np.stack([np.frombuffer(v, np.float16) for v in got.pop("x")])
     order = np.lexsort((x[:, 0], x[:, 1], y[:, 0]))
-    w, b = fit_logistic(x[order], y[order])
+    w, b = fit_logistic(x[order].astype(np.float32), y[order])
     return {"weak": weak, "w": w, "b": b}
 
 

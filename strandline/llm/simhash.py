@@ -27,6 +27,7 @@ from __future__ import annotations
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,19 +167,38 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
     return dealt.groupBy(F.pmod("shard", F.lit(groups)).alias("group")).applyInArrow(of, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def groups_of(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, component, component_id) of every fingerprint: its component's least fingerprint and least doc_id."""
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
     found = components(links(nodes.select("fp"), radius, blocks), "simhash").withColumnRenamed("node", "fp")
     label = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(label.join(least, "component").select("fp", "component_id"), "simhash-named")
+    return rows, written(label.join(least, "component").select("fp", "component", "component_id"), "simhash-named")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    rows, named = groups_of(docs, radius, blocks)
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id (one row, where rows repeat it)."""
+def deduplicate(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """docs with one document of each component: that of the smallest doc_id (one row, where rows repeat it).
+
+    A component without any doc_id keeps one of its rows; those few are found by their fingerprints.
+    """
+    rows, named = groups_of(docs, radius, blocks)
     name = fresh(docs, "_kept")
-    stay = near_duplicates(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay[name]), "left_semi").dropDuplicates(["doc_id"])
+    stay = rows.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    with_id = docs.where(F.col("doc_id").isNotNull())
+    kept = with_id.join(stay, with_id["doc_id"] == stay[name], "left_semi").dropDuplicates(["doc_id"])
+
+    @F.pandas_udf("long")
+    def fp_of(text: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
+
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn(name, fp_of("text"))
+    own = fresh(nameless, "_component")
+    alone = named.where("component_id IS NULL").select(F.col("fp").alias(name), F.col("component").alias(own))
+    return kept.unionByName(nameless.join(alone, name).dropDuplicates([own]).select(*docs.columns))

@@ -20,7 +20,18 @@ PATTERNS = {
     "word": r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+",
 }
 #: Information separators (white space for Python only), numerals that are no decimal digits, and all from U+0300 on.
-UNSURE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbè-\U0010ffff]|<\\|")
+UNSURE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0300-\U0010ffff]|<\\|")
+#: The same within Latin-1.
+RARE = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xb2", b"\xb3", b"\xb9", b"\xbc", b"\xbd", b"\xbe")
+
+
+def unsure(text: str) -> bool:
+    """Whether UNSURE is found; the few signs are looked up one by one in texts of one byte a letter, which is faster."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return UNSURE.search(text) is not None
+    return any(x in data for x in RARE)
 
 
 def byte_letters() -> dict[int, int]:
@@ -34,7 +45,7 @@ class Encoder(dict):
     """encode(text) gives the ids as little-endian unsigned 16- or 32-bit integers (`kind`)."""
 
     #: Pre-tokens kept; beyond that the table starts anew.
-    KEPT = 250_000
+    KEPT = 400_000
 
     def __init__(self, path: str, kind: str = "<u4"):
         from tokenizers import Tokenizer
@@ -62,7 +73,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.find is None or UNSURE.search(text):
+        if self.find is None or unsure(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.__getitem__, self.find(text.lower() if self.lower else text)))
 
