@@ -166,3 +166,21 @@ def test_modalities_run_in_order(spark):
     f.register(Modality("loop2", ("q",), lambda d: d, needs=("p",)))
     with pytest.raises(ValueError, match="circle"):
         f.order(["loop1", "loop2"])
+
+
+def test_scorers(spark):
+    from strandline.plans import scorers
+
+    df = spark.createDataFrame([("g", 1, "AG", "CC"), ("g", 2, "CC", "gt"), ("g", 3, "CC", "CC")], "gene_id string, position bigint, before string, after string")
+    got = {r.position: r for r in scorers.predict_mean(df, ["motif"], ["gene_id", "position"]).collect()}
+    assert got[1].acceptor_prob > 0.6 and got[2].donor_prob > 0.6 and math.isclose(sum(got[3][c] for c in scorers.CHANNELS), 1)
+    assert {r.position for r in scorers.high_confidence(scorers.predict(df, "motif", ["position"]), 0.6).collect()} == {1, 2}
+
+
+def test_running_totals(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", float(i), i % 7) for i in range(500)], "k string, x double, v bigint")
+    for by, down in (([], False), (["k"], True)):
+        got = {r.x: r for r in windows.running_totals(df, "x", ["v"], by, down, parts=8).collect()}
+        for x in (0.0, 77.0, 250.0, 499.0):
+            mine = [i for i in range(500) if not by or bool(i % 3) == bool(int(x) % 3)]
+            assert got[x].v_upto == sum(i % 7 for i in mine if (i >= x if down else i <= x)) and got[x].v_all == sum(i % 7 for i in mine)
