@@ -79,13 +79,34 @@ def with_prior(positions: DataFrame, scores: DataFrame, on: list[str], channels=
     return got.withColumns({c: F.coalesce(c, F.lit(1.0 / len(channels))) for c in channels})
 
 
-def similar_sequences(genes: DataFrame, key: str, sequence: str, k=15, distance=0.8, tables=4) -> DataFrame:
-    """Pairs of genes whose sets of k-letter words are within a Jaccard distance, candidates by MinHash tables."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(sequence) - k + 1), lambda i: F.substring(F.col(sequence), i, F.lit(k))))
-    df = genes.where(F.length(sequence) >= k).select(key, words.alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="features", binary=True, numFeatures=1 << 18).transform(df).drop("words")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=42).fit(hashed)
-    pairs = model.approxSimilarityJoin(hashed, hashed, distance, distCol="distance")
-    return pairs.select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), "distance").where("a < b")
+def similar_sequences(genes: DataFrame, key: str, sequence: str, k=15, distance=0.8) -> DataFrame:
+    """All pairs of genes whose sets of k-letter words are within a Jaccard distance (a < b), and that distance.
+
+    Genes with equal sets are one class. With a least share t = 1 - distance, two sets of that share have a word in common among the
+    first n - ceil(t * n) + 1 words of each, in any one order of the words; the rarest words come first, and classes are joined on these alone.
+    Each candidate is then verified on the whole sets, so no pair is lost; members of classes are paired at the end.
+    """
+    least = 1 - distance
+    words = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(sequence) - k + 1), lambda i: F.substring(F.col(sequence), i, F.lit(k)))))
+    members = genes.where((F.length(sequence) >= k) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), words.alias("_words"))
+    members = members.withColumn("_class", F.sha2(F.array_join("_words", ""), 256))  # words of one length: no two sets are joined to one text
+    classes = members.groupBy("_class", "_words").agg(F.count("*").alias("_members"))
+    posted = classes.select("_class", F.size("_words").alias("_n"), F.explode("_words").alias("_word"))
+    ranked = posted.join(posted.groupBy("_word").agg(F.count("*").alias("_in")), "_word")
+    ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy("_class").orderBy("_in", "_word")))
+    prefix = ranked.where(F.col("_at") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select("_word", "_class", "_n", "_at")
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") if c != "_word" else F.col(c) for c in df.columns))
+    # A first word in common leaves room for as many more as come after it in both.
+    room = 1 + F.least(F.col("_n_a") - F.col("_at_a"), F.col("_n_b") - F.col("_at_b"))
+    enough = (room * (1 + least) >= (F.col("_n_a") + F.col("_n_b")) * least - 1e-9) & (F.least("_n_a", "_n_b") >= F.greatest("_n_a", "_n_b") * least - 1e-9)
+    candidates = side(prefix, "a").join(side(prefix, "b"), "_word").where((F.col("_class_a") < F.col("_class_b")) & enough).select("_class_a", "_class_b").distinct()
+    sets = classes.select("_class", "_words")
+    both = candidates.join(side(sets, "a"), "_class_a").join(side(sets, "b"), "_class_b")
+    common = F.size(F.array_intersect("_words_a", "_words_b"))
+    share = both.select("_class_a", "_class_b", (common / (F.size("_words_a") + F.size("_words_b") - common)).alias("_share"))
+    near = share.where(F.col("_share") >= least - 1e-9).select("_class_a", "_class_b", (1 - F.col("_share")).alias("distance"))
+    of = members.select("_key", "_class")
+    across = near.join(side(of, "a"), "_class_a").join(side(of, "b"), "_class_b").where("_key_a <> _key_b").select(F.least("_key_a", "_key_b").alias("a"), F.greatest("_key_a", "_key_b").alias("b"), "distance")
+    shared = of.join(classes.where("_members > 1").select("_class"), "_class")
+    within = side(shared, "a").join(shared.select(F.col("_class").alias("_class_a"), F.col("_key").alias("_key_b")), "_class_a").where("_key_a < _key_b").select(F.col("_key_a").alias("a"), F.col("_key_b").alias("b"), F.lit(0.0).alias("distance"))
+    return across.unionByName(within)
