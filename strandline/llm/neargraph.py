@@ -11,6 +11,8 @@
 5. Verified: a pair is linked only if its cosine, in double precision on the original vectors, reaches the threshold. A pair counts in
    the first shard alone that its nodes share, so that a shard gives back a row a node (its links and the smallest node that they
    reach) and no pairs: a group of n near copies costs n rows, and n equal vectors one.
+   A shard of over MOST nodes (a dense group, or very many nodes) isn't walked: its nodes are cut by hash into blocks of about BLOCK, and
+   every two blocks are a group of their own in which all pairs are verified. No task holds such a shard whole.
 6. Audit: for AUDIT nodes (by hash) the true links are counted by brute force over all nodes, and the share found is given
    with the result.
 
@@ -34,6 +36,8 @@ COSINE = 0.93
 FIT, SHARD, OVERLAP, CENTRES = 20_000, 1000, 4, 1024
 DEGREE, ALPHA, EXPAND, SLACK = 24, 1.2, 24, 0.05
 GROUP_ROWS, AUDIT = 8192, 64
+#: A shard of over MOST nodes is cut into blocks of about BLOCK.
+MOST, BLOCK = 4096, 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -153,6 +157,47 @@ def shard_links(full: np.ndarray, count: np.ndarray, homes: np.ndarray, shard: i
     return linked, parent
 
 
+def block_links(full: np.ndarray, count: np.ndarray, homes: np.ndarray, shard: int, cut: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """shard_links of two blocks of a shard, nodes 0 to cut - 1 and the others, for pairs across; with no others, of the pairs in the one block.
+
+    All pairs are verified; as there, a pair counts in the first shard alone that its nodes share.
+    """
+    n, one = len(full), cut == len(full)
+    v, first, second = unit(full), slice(0, cut), slice(0 if one else cut, n)
+    before = np.unique(homes[homes < shard])
+    at = np.zeros((n, len(before)), np.float32)
+    for k in range(homes.shape[1]):
+        some = np.flatnonzero(homes[:, k] < shard)
+        at[some, np.searchsorted(before, homes[some, k])] = 1
+    linked, ok = np.zeros(n, np.int64), np.zeros((cut, second.stop - second.start), bool)
+    times = count.astype(np.float64)
+    for a in range(0, cut, 512):
+        b = min(cut, a + 512)
+        near = (v[a:b] @ v[second].T >= cosine) & (at[a:b] @ at[second].T == 0)
+        if one:
+            near[np.arange(b - a), np.arange(a, b)] = False
+        ok[a:b] = near
+        linked[a:b] += (near @ times[second]).astype(np.int64)
+        if not one:
+            linked[second] += (times[a:b] @ near).astype(np.int64)
+    root = np.arange(n)
+    new = linked > 0
+    for start in np.flatnonzero(new):
+        if not new[start]:
+            continue
+        new[start] = False
+        front = np.array([start])
+        while len(front):  # every node is in one front
+            reach = np.zeros(n, bool)
+            reach[second] = ok[front[front < cut]].any(0)
+            if not one:
+                reach[first] = ok[:, front[front >= cut] - cut].any(1)
+            front = np.flatnonzero(reach & new)
+            new[front] = False
+            root[front] = start
+    return linked, root
+
+
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that take part, with the hash of (label, embedding); and the nodes (cid, label, v, n)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
@@ -160,8 +205,8 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, rows.groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"))
 
 
-def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(cid, m, root): for each node and shard in which it has links, the vectors linked there and the smallest node reached. nodes: a written table (cid, label, embedding, n)."""
+def links(nodes: DataFrame, cosine: float = COSINE, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """(cid, m, root): for each node and shard (or two blocks of a large one) in which it has links, the vectors linked there and the smallest node reached. nodes: a written table (cid, label, embedding, n)."""
     spark, kind = nodes.sparkSession, dict(nodes.dtypes)["embedding"]
     n, largest = nodes.groupBy("label").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     if not n:
@@ -185,6 +230,22 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     dealt = nodes.select("cid", "label", "embedding", "n").mapInArrow(deal, f"centre long, centres array<long>, cid long, label {dict(nodes.dtypes)['label']}, embedding {kind}, n long")
     homes = F.transform("centres", lambda c: F.xxhash64("label", c)).alias("homes")
     dealt = written(dealt.select(F.xxhash64("label", "centre").alias("shard"), homes, "cid", F.col("embedding").alias("v"), "n"), "graph-shards")
+    large = dealt.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > most).select("shard", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    spread = dealt.join(large, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("second"), "homes", "cid", "v", "n")
+    dealt = dealt.join(large, "shard", "left_anti")
+
+    def blocks(key, got):
+        got = got.sort_by([("second", "ascending"), ("cid", "ascending")])
+        second, cid = got.column("second").to_numpy(), got.column("cid").to_numpy()
+        cut = len(cid) - int(second.sum())
+        if not cut or (cut == len(cid) and key[1].as_py() != key[2].as_py()):  # one of the two blocks is empty
+            return pa.table({name: np.zeros(0, np.int64) for name in ("cid", "m", "root")})
+        linked, root = block_links(matrix(got.column("v"), np.float64), got.column("n").to_numpy(), matrix(got.column("homes"), np.int64), key[0].as_py(), cut, cosine)
+        some = np.flatnonzero(linked)
+        return pa.table({"cid": cid[some], "m": linked[some], "root": cid[root[some]]})
+
+    across = spread.groupBy("shard", "low", "high").applyInArrow(blocks, "cid long, m long, root long")
     groups = max(1, n * overlap // GROUP_ROWS)
     group = F.pmod("shard", F.lit(groups)).alias("group")
 
@@ -220,7 +281,7 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
         return pa.table({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("cid", "m", "root"))})
 
     ready = dealt.join(joined, "cid", "left").select(group, "shard", "homes", "cid", "v", "n", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
-    return ready.groupBy("group").applyInArrow(search, "cid long, m long, root long")
+    return ready.groupBy("group").applyInArrow(search, "cid long, m long, root long").unionByName(across)
 
 
 def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, n: int = AUDIT) -> float:
