@@ -2,8 +2,8 @@
 
 Overlapping heuristic labellers each vote good, bad or nothing on a text. Expectation-maximisation over the counts of vote patterns
 (of all documents; at most 3**labellers patterns, whatever the corpus) estimates how often each labeller gives each vote to
-good and to each kind of bad texts, hence its accuracy, and gives each pattern a posterior. The posteriors of a bounded sample (about SAMPLE documents, by hash of
-the text) train a hashed linear scorer, and the scorer's probability decides: documents under THRESHOLD are rejected.
+good and to each kind of bad texts, hence its accuracy, and gives each pattern a posterior. The posteriors of a bounded sample (at most SAMPLE distinct texts, by hash
+of the text; n copies weigh 1 + log(n)) train a hashed linear scorer, and the scorer's probability decides: documents under THRESHOLD are rejected.
 
 Labels that the corpus has are not used for training; they serve to test.
 
@@ -162,8 +162,18 @@ def vectors(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"pattern": [pattern(votes(m)) for _, _, m in rows], "x": [features(*r).astype(np.float16).tobytes() for r in rows]})
 
 
+def draw(texts: DataFrame, sample: int) -> pd.DataFrame:
+    """(h, n, pattern, x) of the `sample` distinct texts of least hash; n: the copies of each. Copies are counted on the map side and never gathered."""
+    hashed = texts.select("text", F.xxhash64(F.lit(3), "text").alias("h"))
+    distinct = hashed.agg(F.approx_count_distinct("h", 0.01)).first()[0]
+    share = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    drawn = hashed.where(share < min(1.0, 1.1 * sample / max(1, distinct))).groupBy("h", "text").agg(F.count("*").alias("n"))  # a tenth more, as the count is approximate
+    got = drawn.select("h", "n", vectors("text").alias("v")).select("h", "n", "v.*").toPandas()
+    return got.assign(at=got["h"] % (1 << 30)).sort_values(["at", "h"], ignore_index=True).drop(columns="at").head(sample)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """The labellers' model from all documents, and the scorer from about `sample` of them."""
+    """The labellers' model from all documents, and the scorer from at most `sample` distinct texts."""
     text_batches(docs.sparkSession)
     texts = docs.select("text").where(F.length(F.trim("text")) > 0)
     counts = {r["pattern"]: r["n"] for r in texts.groupBy(vote_pattern("text").alias("pattern")).agg(F.count("*").alias("n")).collect()}  # at most 3**labellers rows
@@ -171,14 +181,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     weak = fit_votes(counts)
     if not total:
         return {"weak": weak, "w": np.zeros((1 << BITS, 1), np.float32), "b": np.zeros(1, np.float32)}
-    drawn = texts.where((F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) / float(1 << 30)) < min(1.0, sample / total))
-    got = drawn.select(vectors("text").alias("v")).select("v.*").toPandas()
+    got = draw(texts, sample)
     if not len(got):
         return {"weak": weak, "w": np.zeros((1 << BITS, 1), np.float32), "b": np.full(1, 3, np.float32)}
     y = np.array([weak["posterior"].get(p, weak["share_good"]) for p in got["pattern"]], np.float32).reshape(-1, 1)
     x = np.stack([np.frombuffer(v, np.float16) for v in got.pop("x")])
     order = np.lexsort((x[:, 0], x[:, 1], y[:, 0]))
-    w, b = fit_logistic(x[order].astype(np.float32), y[order])
+    weight = 1 + np.log(got["n"].to_numpy(float))  # copies count, but no text outweighs the others
+    w, b = fit_logistic(x[order].astype(np.float32), y[order], (weight / weight.mean())[order])
     return {"weak": weak, "w": w, "b": b}
 
 
