@@ -73,17 +73,37 @@ def tiers(df: DataFrame, score: str, by: list[str], position: str, key: str, thr
     return got.withColumn("tier", F.when(site, "splice").when(F.col("_near"), "proximity").when(drawn, "background")).where("tier IS NOT NULL").drop("_near")
 
 
+def least_hashes(df: DataFrame, by: list[str], key: str, n: Column, seed=42, bits: int = 15) -> DataFrame:
+    """The n rows of least hash of each group (of all, if `by` is empty), ties by key.
+
+    Rows are counted by ranges of 2**bits hashes first (at most 2**(31 - bits) ranges a group). Ranges under the one that holds the cut are
+    kept whole, and only the rows of that one are ranked, so no task sees a group.
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    h = key_hash(key, 1 << 31, seed)
+    cut = df.withColumn("_range", F.coalesce(F.shiftright(h, bits), F.lit(-1).cast("bigint")))  # a null key is first, as in an ascending order
+    counts = cut.groupBy(*(F.col(c).alias(name) for c, name in zip(by, names)), "_range").agg(F.count("*").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = counts.withColumn("_left", n - (upto - F.col("_rows"))).where("_left > 0").withColumnRenamed("_range", "_of")
+    same = F.col("_range") == F.col("_of")
+    for c, name in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    held = cut.join(ranges, same).drop(*names, "_of")
+    w = Window.partitionBy(*by).orderBy(h, key)
+    last = held.where("_rows > _left").withColumn("_k", F.row_number().over(w)).where("_k <= _left")
+    return held.where("_rows <= _left").select(*df.columns).unionByName(last.select(*df.columns))
+
+
 def downsample(df: DataFrame, keep: Column, key: str, ratio: float, seed=42) -> DataFrame:
     """All rows of `keep`, and floor(ratio * their number) of the others by least hash."""
     n = int(df.where(keep).count() * ratio)
-    return df.where(keep).unionByName(df.where(~keep).orderBy(key_hash(key, 1 << 31, seed), key).limit(n))
+    return df.where(keep).unionByName(least_hashes(df.where(~keep), [], key, F.lit(n), seed))
 
 
 def balance(df: DataFrame, label: str, key: str, seed=42) -> DataFrame:
     """As many rows of each class as the smallest has, by least hash. Classes are few, so the counts are broadcast."""
-    n = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
-    w = Window.partitionBy(label).orderBy(key_hash(key, 1 << 31, seed), key)
-    return df.join(F.broadcast(n)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.col("_least")).drop("_k", "_least")
+    n = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n")).first()[0]
+    return least_hashes(df, [label], key, F.lit(n or 0), seed)
 
 
 def stratified_negatives(candidates: DataFrame, real: DataFrame, on: list[str], kind: str, key: str, quota: dict[str, int], seed=42) -> DataFrame:

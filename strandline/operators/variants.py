@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import nearest_of
@@ -31,23 +32,65 @@ def annotate(events: DataFrame, sites: DataFrame, on: list[str], canonical=2, sh
 def pair_events(events: DataFrame, variant: str, most: int = 500) -> DataFrame:
     """Each loss, strongest first, takes the strongest gain of its channel within `most` bases that is still free.
 
-    The choice depends on the ones before, so a variant's events are handled in order in one group; a variant has few.
+    The choice depends on the ones before, so events are handled in order in one group: a chain of a variant's events of one channel. An empty
+    stretch of `most` positions or more closes a chain, as no pair crosses it. In a chain of n events a choice takes log(n) steps.
     """
+    width = max(1, most)
+    own = events.select(F.col(variant).alias("_variant"), "channel", "position", "delta", "direction").withColumn("_bin", F.floor(F.col("position") / width))
+    bins = own.select(F.col("_variant").alias("_v"), F.col("channel").alias("_c"), F.col("_bin").alias("_b")).distinct()
+    w = Window.partitionBy("_v", "_c").orderBy("_b")  # a row a bin
+    opens = F.when(F.col("_b") - F.lag("_b").over(w) <= 1, 0).otherwise(1)
+    chains = bins.withColumn("_new", opens).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    held = own.join(chains, F.col("_variant").eqNullSafe(F.col("_v")) & F.col("channel").eqNullSafe(F.col("_c")) & F.col("_bin").eqNullSafe(F.col("_b")))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf["delta"].abs()).sort_values(["size", "channel", "position"], ascending=[False, True, True])
-        used, rows = set(), []
-        gains = pdf[pdf["direction"] == "gain"]
-        for loss in pdf[pdf["direction"] == "loss"].itertuples():
-            near = gains[(gains["channel"] == loss.channel) & ((gains["position"] - loss.position).abs() <= most) & ~gains.index.isin(used)]
-            gain = near.iloc[0] if len(near) else None
-            if gain is not None:
-                used.add(near.index[0])
-            rows.append((getattr(loss, variant), loss.channel, loss.position, loss.delta, None if gain is None else int(gain["position"]), None if gain is None else float(gain["delta"])))
-        return pd.DataFrame(rows, columns=[variant, "channel", "loss_position", "loss_delta", "gain_position", "gain_delta"]).astype({"gain_position": "Int64"})
+        pdf = pdf.assign(size=pdf["delta"].abs()).sort_values(["size", "position"], ascending=[False, True], kind="stable")
+        gains, losses = pdf[pdf["direction"] == "gain"].reset_index(drop=True), pdf[pdf["direction"] == "loss"]
+        taken = strongest_free(gains["position"].to_numpy(), losses["position"].to_numpy(), most)
+        gain = gains.reindex(taken)  # -1 is in no index: null
+        return pd.DataFrame({variant: losses["_variant"].to_numpy(), "channel": losses["channel"].to_numpy(), "loss_position": losses["position"].to_numpy(), "loss_delta": losses["delta"].to_numpy(), "gain_position": gain["position"].astype("Int64").array, "gain_delta": gain["delta"].to_numpy()})
 
     kind = dict(events.dtypes)
-    return events.select(variant, "channel", "position", "delta", "direction").groupBy(variant).applyInPandas(pair, f"{variant} {kind[variant]}, channel string, loss_position bigint, loss_delta double, gain_position bigint, gain_delta double")
+    got = held.select("_variant", "channel", "_chain", "position", "delta", "direction").groupBy("_variant", "channel", "_chain")
+    return got.applyInPandas(pair, f"{variant} {kind[variant]}, channel string, loss_position bigint, loss_delta double, gain_position bigint, gain_delta double")
+
+
+def strongest_free(gains: np.ndarray, losses: np.ndarray, most: int) -> np.ndarray:
+    """For each loss in turn, the place of the first free gain within `most` of it, or -1. gains, losses: positions, strongest first.
+
+    A tree over the gains in the order of position holds the least free place of each node.
+    """
+    n = len(gains)
+    order = np.argsort(gains, kind="stable")
+    at = gains[order]
+    low, high = np.searchsorted(at, losses - most, "left").tolist(), np.searchsorted(at, losses + most, "right").tolist()
+    size = 1 << max(0, n - 1).bit_length()
+    where = np.empty(n, np.int64)
+    where[order] = np.arange(n)
+    level = np.concatenate([order, np.full(size - n, n)])
+    levels = [level]
+    while len(level) > 1:
+        level = level.reshape(-1, 2).min(1)
+        levels.append(level)
+    tree, out = [n, *np.concatenate(levels[::-1]).tolist()], np.full(len(losses), -1)
+    for k, (a, b) in enumerate(zip(low, high)):
+        best, a, b = n, a + size, b + size
+        while a < b:
+            if a & 1:
+                best = min(best, tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = min(best, tree[b])
+            a, b = a >> 1, b >> 1
+        if best < n:
+            out[k] = best
+            a = int(where[best]) + size
+            tree[a] = n
+            while a > 1:
+                a >>= 1
+                tree[a] = min(tree[2 * a], tree[2 * a + 1])
+    return out
 
 
 def consequence(events: DataFrame, variant: str) -> DataFrame:
