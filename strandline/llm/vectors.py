@@ -15,10 +15,9 @@ def usable(embedding="embedding"):
     return e.isNotNull() & (F.size(e) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(e, lambda x: x != 0)
 
 
-def same_length(vectors: DataFrame) -> DataFrame:
-    """Vectors of the most frequent length; others can't be compared with them."""
-    most = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return vectors.where(F.size("embedding") == most[0]["d"]) if most else vectors
+def lengths(vectors: DataFrame) -> list[int]:
+    """The lengths that occur; vectors are compared with those of their own length only, so each length is a job of its own."""
+    return sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect())
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dtype=np.float32) -> np.ndarray:

@@ -28,12 +28,36 @@ def test_dense_group_in_blocks(spark):
     assert {r.node: r.component for r in reach} == {int(i): int(root[i]) for i in np.flatnonzero(true.any(1))}
 
 
-def test_large_group_stays_in_bounds(spark):
-    """A shard of over MOST near copies is never walked: nothing of it comes to the tasks that hold shards whole."""
+def test_tight_group_without_comparisons(spark):
+    """Near copies within half the angle of a centre are a core: a row a node, whatever the number of pairs."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=8) + rng.normal(size=(300, 8)) * 0.01
     df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label long, embedding array<double>")
     nodes = written(neargraph.nodes_of(df)[1], "test-nodes")
     found = written(neargraph.links(nodes, most=100, block=50), "test-links")
-    rows = {r[0]: r[1] for r in found.groupBy("cid").count().collect()}
-    assert len(rows) == 300 and min(rows.values()) >= 6  # a row a pair of blocks that a node is in
+    rows = {r[0]: (r[1], r[2]) for r in found.groupBy("cid").agg({"m": "sum", "*": "count"}).select("cid", "sum(m)", "count(1)").collect()}
+    assert rows == {i: (299, 1) for i in range(300)}
+
+
+def test_attempts_then_exact(spark, monkeypatch):
+    """A walk that finds too little is widened, and replaced by the exact way in the end; an audit without links says nothing."""
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=(40, 12)).repeat(6, 0) + rng.normal(size=(240, 12)) * 0.15
+    df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(near)], "vec_id long, label string, embedding array<double>")
+    nodes = written(neargraph.nodes_of(df)[1], "test-nodes")
+    u = near / np.linalg.norm(near, axis=1, keepdims=True)
+    want = {i: int(m) for i, m in enumerate((u @ u.T >= neargraph.COSINE).sum(1) - 1) if m}
+    monkeypatch.setattr(neargraph, "links", lambda nodes, *a, **k: nodes.sparkSession.createDataFrame([], neargraph.LINKS))
+    found, recall = neargraph.audited_links(nodes)
+    assert recall == 1.0 and {r[0]: r[1] for r in found.groupBy("cid").sum("m").collect()} == want
+    far = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(np.eye(12))], "vec_id long, label string, embedding array<double>")
+    assert neargraph.audited_links(written(neargraph.nodes_of(far)[1], "test-nodes"))[1] is None
+
+
+def test_guests_cross_shards():
+    """A linked pair that shares no shard is found through a guest, and given as a pair."""
+    x = np.array([[1.0, 0.0], [0.99, 0.1], [0.98, 0.19]])
+    lists = np.array([[1, -1], [0, 2], [1, -1]])
+    homes, core = np.array([[1, 2], [1, 2], [3, 4]]), np.full(3, neargraph.NONE)
+    linked, _, far = neargraph.shard_links(x, 2, np.ones(3, np.int64), homes, core, 1, lists, 0.93, 4)
+    assert linked.tolist() == [1, 1, 0] and sorted(map(tuple, far.tolist())) == [(0, 2), (1, 2)]

@@ -434,8 +434,8 @@ def test_nearest(spark):
         true = [i for i in np.lexsort((np.arange(len(d)), d)) if i != q][:10]
         hit, total = hit + len({r.vec_id for r in mine} & set(true)), total + 10
     assert hit / total >= 0.9 and len(by) == len(rows) // 50
-    exact = ann.exact(df, F.col("vec_id") % 500 == 0).collect()
-    assert len(exact) == 30
+    found = ann.nearest(df, F.col("vec_id") % 50 == 0)
+    assert abs(ann.recall(df.where("vec_id < 1500"), F.col("vec_id") % 50 == 0, found) - hit / total) < 1e-9
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert sorted(r.vec_id for r in ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()) == [1, 2, 3]
 
