@@ -279,7 +279,7 @@ def nearest_of_length(some: DataFrame, queries, k: int, trees: int, leaf: int, t
 
 def recall(vectors: DataFrame, queries, found: DataFrame, k: int = K, most: int = 1024) -> float:
     """The share of the true neighbours that found (of nearest()) has, by brute force for at most `most` queries (by hash)."""
-    some = vectors.select(F.col("vec_id").cast("long").alias("cid"), F.col("embedding").alias("v"), *[c for c in vectors.columns if c not in ("vec_id", "embedding")]).where(usable("v") & F.col("cid").isNotNull())
+    some = vectors.select(F.col("vec_id").cast("long").alias("cid"), F.col("embedding").alias("v")).where(usable("v") & F.col("cid").isNotNull())
     hit = total = 0
     for d in lengths(some.withColumnRenamed("v", "embedding")):
         mine = some.where(F.size("v") == d)

@@ -48,6 +48,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_keys(df: DataFrame) -> list:
+    """128 bits over all columns (but those with maps, which have no hash) as two longs: equal in equal rows."""
+    of = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return [F.xxhash64(F.lit(k), *of) for k in (1, 2)]
+
+
 def let(value, body):
     """Bind a column expression to a name inside a higher-order function, so that it is evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -56,14 +62,14 @@ def let(value, body):
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 
-    edges: (src long, dst long), any direction, repeats and loops allowed, no nulls. Alternating large-star and
+    edges: (src, dst) of a type that has an order, any direction, repeats and loops allowed, no nulls. Alternating large-star and
     small-star steps; each round is a written table, so the lineage stays short and no vertex's neighbours are ever
     gathered in one place (minima are aggregated, then joined back; adaptive skew joins split the hubs).
     """
     pair = lambda df: df.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
 
     def mark(df):
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.sum(F.col("dst").cast("decimal(38,0)"))).first())
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst")), F.bit_xor(F.xxhash64(F.lit(1), "src", "dst"))).first())
 
     now = written(pair(edges), name)
     seen = mark(now)

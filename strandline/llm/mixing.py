@@ -12,9 +12,12 @@ document undecided, and FAN buckets' leftovers meet in the next level, until one
 a groupBy on (source, bucket), so a source with a third of all rows is as many tasks' work as its share. Chance comes
 from hashes of ids, so reruns agree.
 
+Rows that are equal in all columns are one unit of n rows: its copies are n times the whole part, the whole part of n times the rest, and a last
+row's rest, which is rounded like any other document's. So a row that is repeated without end, or many rows without an id, come as near to their target as others.
+
 Edge cases: a null text or one of white space has size 0, takes no part in the transfers, and its own hash decides its
-copies; a null source is a source; rows that repeat doc_id, source and size are one unit (they get the same number of
-copies); an empty table gives an empty result; other columns are left alone.
+copies; a null source is a source; a null doc_id is an id like others; an empty table gives an empty result; other columns are left alone (they
+tell units apart; columns of maps do not).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, let, written
+from .common import fresh, let, row_keys, written
 
 #: Weights by the source's rank in code-point order (null last), repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -33,8 +36,12 @@ FAN = 64
 #: Sources up to which their table is broadcast; beyond it the join is a shuffle that adaptive execution may split.
 BROADCAST_SOURCES = 50_000
 
-UNIT = "struct<o:bigint,h:bigint,doc_id:bigint,size:bigint,n:bigint,s:double,mass:double,base:bigint>"
-DONE = "array<struct<doc_id:bigint,size:bigint,n:bigint,copies:bigint>>"
+#: Rows or copies of one unit that a task writes at most.
+CHUNK = 10_000
+
+KEY = ("k1", "k2", "doc_id", "size", "n", "base", "extra")
+UNIT = "struct<o:bigint,h:bigint,k1:bigint,k2:bigint,doc_id:bigint,size:bigint,n:bigint,base:bigint,extra:bigint,s:double,mass:double>"
+DONE = "array<struct<k1:bigint,k2:bigint,doc_id:bigint,size:bigint,n:bigint,base:bigint,extra:bigint>>"
 
 
 def words(text="text"):
@@ -72,15 +79,15 @@ def meet(acc, x, seed: int):
 
     def moved(g):
         d1, d2 = g["d1"], g["d2"]
-        to_x = chance(seed, p["doc_id"], p["size"], x["doc_id"], x["size"]) * (d1 + d2) < d2
+        to_x = chance(seed, p["k1"], x["k1"]) * (d1 + d2) < d2
         mp = F.when(to_x, F.when(d1 == p["mass"], F.lit(0.0)).otherwise(p["mass"] - d1)).otherwise(F.when(d2 == p["s"] - p["mass"], p["s"]).otherwise(p["mass"] + d2))
         mx = F.when(to_x, F.when(d1 == x["s"] - x["mass"], x["s"]).otherwise(x["mass"] + d1)).otherwise(F.when(d2 == x["mass"], F.lit(0.0)).otherwise(x["mass"] - d2))
         return let(F.struct(mp.alias("p"), mx.alias("x")), decided)
 
     def decided(m):
-        with_mass = lambda u, mass: F.struct(u["o"].alias("o"), u["h"].alias("h"), u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["n"].alias("n"), u["s"].alias("s"), mass.alias("mass"), u["base"].alias("base"))
+        with_mass = lambda u, mass: F.struct(*(u[c].alias(c) for c in ("o", "h", *KEY, "s")), mass.alias("mass"))
         settled = lambda u, mass: (mass <= 0) | (mass >= u["s"])
-        out = lambda u, mass: F.when(settled(u, mass), F.array(F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["n"].alias("n"), (u["base"] + F.when(mass >= u["s"], 1).otherwise(0)).cast("long").alias("copies")))).otherwise(F.array().cast(DONE))
+        out = lambda u, mass: F.when(settled(u, mass), F.array(F.struct(*(u[c].alias(c) for c in KEY[:-1]), (u["extra"] + F.when(mass >= u["s"], 1).otherwise(0)).cast("long").alias("extra")))).otherwise(F.array().cast(DONE))
         pend = F.when(~settled(p, m["p"]), with_mass(p, m["p"])).when(~settled(x, m["x"]), with_mass(x, m["x"]))
         return F.struct(pend.cast(UNIT).alias("pend"), F.concat(acc["done"], out(p, m["p"]), out(x, m["x"])).cast(DONE).alias("done"))
 
@@ -95,10 +102,20 @@ def round_level(units: DataFrame, seed: int) -> DataFrame:
     return units.groupBy("source", "bucket").agg(met.alias("met")).select("source", "bucket", "met.pend", "met.done")
 
 
+def chunks(df: DataFrame, times: str, index: str) -> DataFrame:
+    """df with each row as often as the column `times` says, numbered from 1 in `index`; a row of many is shared out among tasks."""
+    at = fresh(df, "_from")
+    many = df.where(F.col(times) > CHUNK).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(CHUNK).cast("long"))))
+    many = many.repartition(at).withColumn(index, F.explode(F.sequence(F.col(at) + 1, F.least(F.col(times), F.col(at) + CHUNK)))).drop(at)
+    few = df.where((F.col(times) > 0) & (F.col(times) <= CHUNK)).withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return few.unionByName(many)
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, total=TOTAL, cap=CAP, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, n, copies, source_size, target): a row for each unit, n rows of docs with these keys."""
-    spark = docs.sparkSession
-    units = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-units")
+    """(k1, k2, doc_id, source, size, n, base, extra, copies, source_size, target): a row for each unit of n equal rows, by its key. Each of them is taken `base` times and `extra` of them once more: `copies` in all."""
+    k1, k2 = row_keys(docs)
+    sized = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"))
+    units = written(sized.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count("*").alias("n")), "mix-units")
     rows = units.select("source", (F.col("size") * F.col("n")).alias("size"))
     per = written(targets(rows, weights, total, cap), "mix-targets")
     n_sources, most_units = per.agg(F.count("*"), F.coalesce(F.max("units"), F.lit(0))).first()
@@ -107,10 +124,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, total=TOTAL, cap=CAP, seed: int =
 
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     u = units.join(small, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    u = u.select("*", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("rest"), (F.col("size") * F.col("n")).cast("double").alias("s"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"))
+    u = u.select("*", F.floor(ratio).alias("base"), ((ratio - F.floor(ratio)) * F.col("n")).alias("_more"))
+    u = u.select("*", F.floor("_more").alias("extra"), (F.col("_more") - F.floor("_more")).alias("rest"), F.col("size").cast("double").alias("s"), F.xxhash64(F.lit(seed), "k1", "k2").alias("h"))
     meets = (F.col("rest") > 0) & (F.col("s") > 0)
-    alone = u.where(~meets).select("source", "doc_id", "size", "n", (F.col("base") + F.when(chance(seed + 1, "doc_id", "size") < F.col("rest"), 1).otherwise(0)).cast("long").alias("copies"))
-    one = F.struct((-F.col("size") * F.col("n")).alias("o"), "h", "doc_id", "size", "n", "s", (F.col("rest") * F.col("s")).alias("mass"), "base")
+    alone = u.where(~meets).select("source", *KEY[:-1], (F.col("extra") + F.when(chance(seed + 1, "k1", "k2") < F.col("rest"), 1).otherwise(0)).cast("long").alias("extra"))
+    one = F.struct((-F.col("size")).alias("o"), "h", *KEY, "s", (F.col("rest") * F.col("s")).alias("mass"))
     level = u.where(meets).select("source", F.pmod("h", F.ceil(F.col("units") / FAN)).alias("bucket"), one.cast(UNIT).alias("u"))
 
     buckets, parts = -(-int(most_units) // FAN), []
@@ -124,13 +142,22 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, total=TOTAL, cap=CAP, seed: int =
     for part in parts:
         decided = decided.unionByName(part.select("source", F.explode("done").alias("d")).select("source", "d.*"))
     last = F.col("pend")
-    decided = decided.unionByName(parts[-1].where("pend IS NOT NULL").select("source", *(last[k].alias(k) for k in ("doc_id", "size", "n")), (last["base"] + F.when(last["mass"] * 2 >= last["s"], 1).otherwise(0)).cast("long").alias("copies")))
+    decided = decided.unionByName(parts[-1].where("pend IS NOT NULL").select("source", *(last[k].alias(k) for k in KEY[:-1]), (last["extra"] + F.when(last["mass"] * 2 >= last["s"], 1).otherwise(0)).cast("long").alias("extra")))
+    decided = decided.withColumn("copies", F.col("n") * F.col("base") + F.col("extra"))
     return decided.join(small, F.col("source").eqNullSafe(F.col("of"))).drop("of", "units")
 
 
+def taken(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies) of every row of docs; taken: the words of its copies."""
+    each = chunks(mix_plan(docs, **how), "n", "_row")
+    copies = F.col("base") + F.when(F.col("_row") <= F.col("extra"), 1).otherwise(0)
+    return each.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.cast("long").alias("copies"))
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    d, s, n, copies, size, copy = (fresh(docs, x) for x in ("_d", "_s", "_n", "_copies", "_size", "_copy"))
-    plan = mix_plan(docs, **how).where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(copies))
-    on = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
-    return docs.withColumn(size, words()).join(plan, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs. Equal rows are one row before the join, so no key is hot."""
+    a, b, copies, copy = (fresh(docs, x) for x in ("_k1", "_k2", "_copies", "_copy"))
+    plan = mix_plan(docs, **how).where("copies > 0").select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("copies").alias(copies))
+    k1, k2 = row_keys(docs)
+    one = docs.withColumns({a: k1, b: k2}).dropDuplicates([a, b])
+    return chunks(one.join(plan, [a, b]), copies, copy).select(*docs.columns)

@@ -25,9 +25,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return mixing.taken(table(spark, sf_dir, "documents"))
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ In 64 bits a radius of 4 bounds little: random fingerprints lie at 32 +- 4 from
 keeps over half of all pairs at every level. The tree therefore begins on parts of the bits, where the bound is sharp. The
 bits are cut into `blocks` parts; of two fingerprints within RADIUS, at least blocks - RADIUS parts agree wholly. Each choice
 of that many parts is a tree of its own under the Hamming distance on these bits, in which such a pair is at distance 0: by the
-triangle bound both lie at the same distance from every vantage point, so the rings around the first VANTAGES points are
-shards that no pair crosses. Last, rings of WIDTH around one more point under the full distance split each shard; here a pair may
+triangle bound both lie at the same distance from every vantage point, so the rings around a first set of points are
+shards that no pair crosses. A tree has about half as many such points as bits: their distances together tell nearly all values of these bits apart
+(tests/llm/test_simhash.py), so a shard holds about as many fingerprints as share the bits: of 134 million random ones, some 60 in each of 15 trees. Last, rings of WIDTH around one more point under the full distance split each shard; here a pair may
 lie across a boundary, so a fingerprint within RADIUS of the next ring also visits that ring's shard. Inside a shard the
 fingerprints are sorted by distance to a local vantage point and each is compared with those within RADIUS of its own distance
 only. Every pair within RADIUS meets in at least one shard, so the links are exact.
@@ -19,7 +20,8 @@ changes the cost and not the result.
 
 Edge cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer than four words are one shingle; a null
 doc_id has its fingerprint, and takes its component's smallest doc_id (null if there is none); repeated rows are returned as
-often as they occur; an empty table gives an empty result; other columns are left alone.
+often as they occur; an empty table gives an empty result; other columns are left alone. deduplicate() keeps the row of the component's smallest
+doc_id (null last), then smallest fingerprint, then smallest hash of the whole row, so rows that repeat a doc_id are told apart and reruns agree.
 """
 
 from __future__ import annotations
@@ -27,15 +29,14 @@ from __future__ import annotations
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, text_batches, written
+from .common import components, fresh, row_keys, text_batches, written
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-VANTAGES, WIDTH = 6, 8
+WIDTH = 8
 #: Distinct fingerprints up to which the bits are cut into so many blocks.
 BLOCKS = ((5, 1 << 22), (6, 1 << 27), (7, 1 << 32), (8, 1 << 62))
 #: Rows that a Python group of shards has, about.
@@ -56,15 +57,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, k1, k2, fp): fp is the fingerprint's 64 bits as a signed long; k1 and k2 are row_keys()."""
 
     def of(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(fps.view(np.int64))], names=["doc_id", "k1", "k2", "fp"])
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, fp long")
+    k1, k2 = row_keys(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), "text").mapInArrow(of, "doc_id long, k1 long, k2 long, fp long")
 
 
 def hex16(fp):
@@ -128,31 +130,40 @@ def search(fp: np.ndarray, visits: np.ndarray, radius: int = RADIUS, rows: int =
     return np.stack([order[linked], order[parent[linked]]], 1)
 
 
+def vantages(mask: int) -> int:
+    """How many points a tree on the mask's bits has."""
+    return -(-mask.bit_count() // 2) + 2
+
+
 def shards(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
-    """(shard, visits, fp): every fingerprint in its own shard of each tree, and as a visitor across the last boundary."""
-    points = vantage_points(VANTAGES + 1)
+    """(shard, visits, fp, node): every fingerprint in its own shard of each tree, and as a visitor across the last boundary. fps: (fp, node), node anything that goes along."""
+    masks = views(blocks, radius)
+    last, *points = vantage_points(1 + max(map(vantages, masks)))
     trees = []
-    for k, mask in enumerate(views(blocks, radius)):
-        rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(signed(mask)))) for p in points[:-1]]
+    for k, mask in enumerate(masks):
+        rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(signed(mask)))) for p in points[: vantages(mask)]]
         trees.append(F.xxhash64(F.lit(k), *rings))
-    last = F.bit_count(F.col("fp").bitwiseXOR(F.lit(points[-1])))
     return (
-        fps.select("fp", last.alias("_d"), F.explode(F.array(*trees)).alias("tree"))
-        .select("fp", "tree", F.explode(F.array_distinct(F.array(F.floor(F.col("_d") / WIDTH), F.floor((F.col("_d") + radius) / WIDTH)))).alias("ring"), "_d")
-        .select(F.xxhash64("tree", "ring").alias("shard"), (F.col("ring") > F.floor(F.col("_d") / WIDTH)).alias("visits"), "fp")
+        fps.select("fp", "node", F.bit_count(F.col("fp").bitwiseXOR(F.lit(last))).alias("_d"), F.explode(F.array(*trees)).alias("tree"))
+        .select("fp", "node", "tree", F.explode(F.array_distinct(F.array(F.floor(F.col("_d") / WIDTH), F.floor((F.col("_d") + radius) / WIDTH)))).alias("ring"), "_d")
+        .select(F.xxhash64("tree", "ring").alias("shard"), (F.col("ring") > F.floor(F.col("_d") / WIDTH)).alias("visits"), "fp", "node")
     )
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """(src, dst): links between distinct fingerprints that connect all those that a chain of links connects."""
-    n = fps.count()
+#: A fingerprint's node: in this order the least node of a component is the row that stands for it.
+NODE = "struct<none:boolean,doc_id:bigint,fp:bigint,k1:bigint,k2:bigint>"
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(src, dst): links between nodes of distinct fingerprints that connect all those that a chain of links connects. nodes: (fp, node)."""
+    n = nodes.count()
     blocks = blocks or next(k for k, most in BLOCKS if n <= most)
-    dealt = shards(fps, blocks, radius)
+    dealt = shards(nodes, blocks, radius)
     groups = max(1, round(1.5 * n * len(views(blocks, radius)) / GROUP_ROWS))
 
     def of(key, got):
         got = got.sort_by([("shard", "ascending"), ("fp", "ascending")])
-        shard = got.column("shard").to_numpy()
+        shard, node = got.column("shard").to_numpy(), got.column("node")
         fp, visits = got.column("fp").to_numpy().view(np.uint64), got.column("visits").to_numpy()
         ends = np.append(np.flatnonzero(np.diff(shard)) + 1, len(shard))
         out, a = [], 0
@@ -161,44 +172,31 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> Da
                 out.append(search(fp[a:b], visits[a:b], radius) + a)
             a = b
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        signed_ = fp.view(np.int64)
-        return pa.table({"src": signed_[pairs[:, 0]], "dst": signed_[pairs[:, 1]]})
+        return pa.table({"src": node.take(pa.array(pairs[:, 0])), "dst": node.take(pa.array(pairs[:, 1]))})
 
-    return dealt.groupBy(F.pmod("shard", F.lit(groups)).alias("group")).applyInArrow(of, "src long, dst long")
+    return dealt.groupBy(F.pmod("shard", F.lit(groups)).alias("group")).applyInArrow(of, f"src {NODE}, dst {NODE}")
 
 
 def groups_of(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, component, component_id) of every fingerprint: its component's least fingerprint and least doc_id."""
+    """(doc_id, k1, k2, fp) of every row, and (fp, node, component) of every fingerprint: its own node and the least node of its component."""
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    found = components(links(nodes.select("fp"), radius, blocks), "simhash").withColumnRenamed("node", "fp")
-    label = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows, written(label.join(least, "component").select("fp", "component", "component_id"), "simhash-named")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2"))
+    nodes = rows.groupBy("fp").agg(best.alias("b")).select("fp", F.struct("b.none", "b.doc_id", "fp", "b.k1", "b.k2").cast(NODE).alias("node"))
+    nodes = written(nodes, "fingerprint-nodes")
+    found = components(links(nodes, radius, blocks), "simhash").select(F.col("node.fp").alias("fp"), "component")
+    return rows, written(nodes.join(found, "fp", "left").select("fp", "node", F.coalesce("component", "node").alias("component")), "simhash-named")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     rows, named = groups_of(docs, radius, blocks)
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.select("doc_id", "fp").join(named.select("fp", F.col("component.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id (one row, where rows repeat it).
-
-    A component without any doc_id keeps one of its rows; those few are found by their fingerprints.
-    """
-    rows, named = groups_of(docs, radius, blocks)
-    name = fresh(docs, "_kept")
-    stay = rows.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    kept = with_id.join(stay, with_id["doc_id"] == stay[name], "left_semi").dropDuplicates(["doc_id"])
-
-    @F.pandas_udf("long")
-    def fp_of(text: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter(map(fingerprint, text), np.uint64, len(text)).view(np.int64))
-
-    nameless = docs.where(F.col("doc_id").isNull()).withColumn(name, fp_of("text"))
-    own = fresh(nameless, "_component")
-    alone = named.where("component_id IS NULL").select(F.col("fp").alias(name), F.col("component").alias(own))
-    return kept.unionByName(nameless.join(alone, name).dropDuplicates([own]).select(*docs.columns))
+    """docs with one row of each component: of the smallest doc_id (null last), then the smallest fingerprint, then the smallest hash of the row."""
+    _, named = groups_of(docs, radius, blocks)
+    a, b = fresh(docs, "_k1"), fresh(docs, "_k2")
+    k1, k2 = row_keys(docs)
+    stay = named.where(F.col("node.fp") == F.col("component.fp")).select(F.col("node.k1").alias(a), F.col("node.k2").alias(b))
+    return docs.withColumns({a: k1, b: k2}).join(stay, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)
