@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +29,51 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """pyarrow's file system of a path that Spark gave, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
+#: Folders that written() made, of each scope() that is open.
+_SCOPES: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def save(df: DataFrame, name: str) -> DataFrame:
+    """written(), outside of any scope()."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*paths: str) -> None:
+    """Delete folders of the shared folder."""
+    for path in paths:
+        fs, at = file_system(path)
+        fs.delete_dir(at)
+
+
+@contextmanager
+def scope():
+    """Tables that written() makes inside are deleted when it ends (save() keeps its own)."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        forget(*_SCOPES.pop())
+
+
 def text_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts are long: hand them to Python in small Arrow batches (a session setting), so that a worker holds a few MB of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

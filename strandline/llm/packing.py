@@ -13,7 +13,8 @@ documents, and pieces take their places by rank within their length. The plan:
 Sequences of the same content are one pattern with a count, so the work depends on the lengths, not on the pieces.
 
 Ranks within a length don't gather a length in one task: a length's pieces are dealt by hash into groups of about RANK_ROWS,
-ranked there, and moved on by the sizes of the groups before.
+ranked there, and moved on by the sizes of the groups before. The hash is of all columns, so pieces without an id, or of a repeated one, are spread too;
+only rows that are equal in all columns share a group.
 
 Edge cases: a null or empty text is one piece of the end id alone; an empty table gives no rows; repeated rows are
 packed as often as they occur; a null doc_id is packed like any other; other columns are left alone.
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import text_batches, written
+from .common import fresh, row_keys, text_batches, written
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -192,27 +194,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if any(not 1 <= x <= capacity for x in counts):
         raise ValueError(f"a piece is not of 1 to {capacity} tokens")
     runs, _ = plan(counts, capacity)
-    groups = spark.createDataFrame([(k, -(-n // RANK_ROWS)) for k, n in counts.items()], "length int, groups int")
-    dealt = pieces.join(F.broadcast(groups), "length").withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), "groups"))
-    sizes = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n"))
-    before = sizes.select("length", "_group", (F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("length", "_group").orderBy("doc_id", "piece"))
-    ranked = dealt.withColumn("_place", place).join(before, ["length", "_group"]).withColumn("_rank", F.col("_before") + F.col("_place") - 1)
+    many, group, n, before, place, rank = (fresh(pieces, x) for x in ("_many", "_group", "_n", "_before", "_place", "_rank"))
+    groups = spark.createDataFrame([(k, -(-n_ // RANK_ROWS)) for k, n_ in counts.items()], f"length int, {many} int")
+    dealt = pieces.join(F.broadcast(groups), "length").withColumn(group, F.pmod(F.xxhash64(*row_keys(pieces)), F.col(many)))
+    sizes = dealt.groupBy("length", group).agg(F.count("*").alias(n))
+    sums = sizes.select("length", group, (F.sum(n).over(Window.partitionBy("length").orderBy(group)) - F.col(n)).alias(before))
+    within = F.row_number().over(Window.partitionBy("length", group).orderBy("doc_id", "piece"))
+    ranked = dealt.withColumn(place, within).join(sums, ["length", group]).withColumn(rank, F.col(before) + F.col(place) - 1)
 
     names = [c for c in pieces.columns]
-    out = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    out = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def assign(batches):
         key = runs["length"] << 44 | runs["start"]
         for batch in batches:
             length = batch.column("length").to_numpy().astype(np.int64)
-            rank = batch.column("_rank").to_numpy()
-            i = np.searchsorted(key, length << 44 | rank, "right") - 1
-            k = rank - runs["start"][i]
+            ranks = batch.column(rank).to_numpy()
+            i = np.searchsorted(key, length << 44 | ranks, "right") - 1
+            k = ranks - runs["start"][i]
             sequence, offset = runs["first"][i] + k // runs["each"][i], runs["offset"][i] + k % runs["each"][i] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(assign, out)
+    return ranked.select(*names, rank).mapInArrow(assign, out)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ byte offsets; then a fixed trailer with the bits, the block size, and the number
 opens the trailer, then the index, then only the blocks that a range of ids touches, and unpacks a block with numpy.
 
 Writing: documents are dealt out in ranges of doc_id (no partition count is fixed, so adaptive execution sizes the files), sorted,
-encoded and written as a stream in one pass; a file has its final name only when it is whole, and a rerun of a lost task writes
-the same file. A manifest (a row a file) is the commit: only files that it lists are read.
+encoded and written as a stream in one pass. Every attempt of a task writes a file of its own name, so nothing is renamed or replaced; the manifest (a row a file),
+which Spark commits, says whose file counts, and only files that it lists are read.
 
 Edge cases: a null or empty text is its end id alone; null doc_ids come first; repeated rows are written as often as they
 occur; an empty table gives no files and an empty result.
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_batches, written
+from .common import file_system, shared_dir, text_batches, written
 from .tokens import encoder, tokenizer_path
 
 MAGIC, TRAILER = b"TOKBITS1", struct.Struct("<BIQQQ8s")
@@ -54,12 +54,6 @@ def unpack_bits(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(lanes.ravel(), bitorder="little").view("<u4")
 
 
-def file_system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class Writer:
     """Streams documents into one file; close() gives (documents, ids, bytes)."""
 
@@ -141,18 +135,17 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         for batch in batches:
             if out is None:
                 enc = encoder(tokenizer or tokenizer_path("byte_bpe_50k.json"))
-                fs, path = file_system(f"{folder}/part-{part:06d}.tok")
+                name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
+                fs, path = file_system(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
-                partial = f"{path}.{uuid.uuid4().hex}.partial"
-                sink = fs.open_output_stream(partial)
+                sink = fs.open_output_stream(path)
                 out, last = Writer(sink, bits_for(enc.size), block), int(end).to_bytes(4, "little")
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out.add(doc, np.frombuffer(enc.encode(text.as_py()) + last, "<u4"))
         if out is not None:
             n_docs, n_ids, n_bytes = out.close()
             sink.close()
-            fs.move(partial, path)
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": f"{folder}/part-{part:06d}.tok", "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     manifest = written(ordered.mapInArrow(write, MANIFEST), "tokens-manifest")

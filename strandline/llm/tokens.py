@@ -3,7 +3,7 @@
 A corpus repeats its words, so ids are kept per pre-token. A pre-token is found with the tokenizer's own pattern and
 given to the library's BPE model; the ids of a text are its pre-tokens' ids in order. Where the shortcut could differ
 from Tokenizer.encode (special-token strings, letters beyond the blocks that the patterns agree on) the text goes
-through Tokenizer.encode itself. tests/llm/test_tokens.py holds both ways against each other.
+through Tokenizer.encode itself. tests/llm/test_ops.py holds both ways against each other.
 """
 
 from __future__ import annotations

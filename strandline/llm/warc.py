@@ -8,10 +8,11 @@ Only small rows (page_id, url, digest, length) are shuffled to choose responses
 aggregate with a map-side part, joined back, so a payload of a third of all pages makes no hot task. Payload bytes are
 shuffled once, after each map task has dropped its own copies.
 
-records() rebuilds each record; export_warc() writes them as .warc.gz files of one gzip member a record, read_warc() reads such files.
+records() rebuilds each record by a join on the digest, salted where over MANY records have one payload, and verifies it; read_index() gives
+the records' fields. export_warc() writes them as .warc.gz files of one gzip member a record and about ROLL bytes, read_warc() reads such files as a stream.
 
 Edge cases: null html is an empty payload; payloads under REVISIT_FROM bytes are all responses (stored once all the same); a null
-url is left out of the header; rows that repeat page_id, url and html are records of their own, and count as ties of which
+url is left out of the header; a url with line breaks, or an empty one, stands there in hexadecimal digits too, so that it comes back as it was; rows that repeat page_id, url and html are records of their own, and count as ties of which
 the first is the response; null page_ids come last; an empty table gives an empty archive; other columns are left alone.
 """
 
@@ -19,16 +20,18 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
-from .tokenfile import file_system
+from .common import file_system, shared_dir, written
 
 REVISIT_FROM = 100
+#: Records of one payload that a task rebuilds, about; bytes of an exported file, about.
+MANY, ROLL = 1000, 1 << 30
 #: Fixed value: the profile that WARC 1.1 names for revisits of identical payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed so that an archive of the same pages has the same bytes.
@@ -62,6 +65,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, revisit_from: int
         line("WARC-Record-ID", record_id(F.col("page_id"), F.col("ordinal"))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")), F.lit("")),
+        F.when(F.col("url").rlike(r"^$|[\r\n]"), line("X-Target-URI-Hex", F.concat(F.lit("x"), F.hex(F.encode("url", "UTF-8"))))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("first.page_id"), F.col("first.ordinal"))))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -86,67 +90,71 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     return payloads.withColumn("payload", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")))
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """A row a record, from the archive: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url.
-
-    Payloads are read and verified where they lie; only digest and length meet the headers.
-    """
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, header, payload): each original record, its payload joined back by digest (revisits too). A record without its whole payload fails the job."""
     headers = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
-    h = F.col("header")
-    parsed = headers.select(
-        field(h, "WARC-Record-ID").alias("record_id"), field(h, "WARC-Target-URI").alias("url"), field(h, "WARC-Type").alias("record_type"),
-        F.regexp_replace(field(h, "WARC-Payload-Digest"), "^sha256:", "").alias("digest"), field(h, "WARC-Refers-To").alias("refers"), field(h, "WARC-Payload-Length").cast("long").alias("said"),
-    )
-    facts = stored(spark, folder).select(F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"))
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+):[0-9]+>$', 1) AS bigint)")
-    joined = parsed.join(facts, "digest", "left")
-    length = F.when(F.col("payload_bytes") == F.col("said"), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("no whole payload for "), F.col("record_id"))).cast("long"))
-    return joined.select(page("record_id").alias("page_id"), length.alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page("refers").alias("refers_to"), "record_id", "url")
+    busy = headers.groupBy("digest").agg(F.count("*").alias("times")).where(F.col("times") > MANY).select("digest", F.ceil(F.col("times") / MANY).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    left = headers.join(busy, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("header"), salts)).drop("salts")
+    right = stored(spark, folder).join(busy, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    payload = F.when(F.length("payload") == field(F.col("header"), "WARC-Payload-Length").cast("long"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no whole payload for "), F.col("header"))).cast("binary"))
+    return left.join(right, ["digest", "salt"], "left").select("page_id", "header", payload.alias("payload"))
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, header, payload): each original record, its payload joined back by digest (revisits too)."""
-    headers = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
-    return headers.join(stored(spark, folder), "digest").select("page_id", "header", "payload")
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """A row a record, from the rebuilt records: page_id, payload_bytes, payload_digest (both of the payload itself), record_type, refers_to, record_id, url."""
+    h = F.col("header")
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+):[0-9]+>$', 1) AS bigint)")
+    url = F.coalesce(F.decode(F.unhex(F.substring(field(h, "X-Target-URI-Hex"), 2, 1 << 30)), "UTF-8"), field(h, "WARC-Target-URI")).alias("url")
+    parsed = records(spark, folder).select(
+        field(h, "WARC-Record-ID").alias("record_id"), url, field(h, "WARC-Type").alias("record_type"), field(h, "WARC-Refers-To").alias("refers"),
+        F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+    )
+    return parsed.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers").alias("refers_to"), "record_id", "url")
 
 
-def export_warc(spark: SparkSession, archive: str, folder: str) -> DataFrame:
-    """The archive as .warc.gz files, a file a task and a gzip member a record; gives (path, n_records)."""
+def export_warc(spark: SparkSession, archive: str, folder: str, roll: int = ROLL) -> DataFrame:
+    """The archive as .warc.gz files of a gzip member a record; gives the manifest (path, n_records), which Spark commits: only files that it lists count."""
 
     def write(batches):
-        import uuid
-
-        out = None
+        out, n, size = None, 0, 0
         for batch in batches:
             for header, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if out is None:
-                    fs, path = file_system(f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz")
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    partial, n = f"{path}.{uuid.uuid4().hex}.partial", 0
-                    out = fs.open_output_stream(partial, compression=None)
+                    path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                    fs, at = file_system(path)
+                    fs.create_dir(at.rpartition("/")[0], recursive=True)
+                    out, n, size = fs.open_output_stream(at, compression=None), 0, 0
                 body = b"" if "\r\nWARC-Type: revisit\r\n" in header else payload.as_py()
-                out.write(gzip.compress(header.encode() + body + b"\r\n\r\n", mtime=0))
-                n += 1
+                member = gzip.compress(header.encode() + body + b"\r\n\r\n", mtime=0)
+                out.write(member)
+                n, size = n + 1, size + len(member)
+                if size >= roll:
+                    out.close()
+                    out = None
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
         if out is not None:
             out.close()
-            fs.move(partial, path)
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
 
-    return records(spark, archive).select("header", "payload").mapInArrow(write, "path string, n_records long")
+    return written(records(spark, archive).select("header", "payload").mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, header, body) of every record in a folder of .warc.gz files, read as a stream."""
+def read_warc(spark: SparkSession, files: str | DataFrame) -> DataFrame:
+    """(path, header, body) of every record of .warc.gz files: a manifest with their paths, or a folder. Each is read as a stream of records."""
 
     def read(batches):
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data.as_py())))
-                while stream.peek(1):
-                    header = b"".join(iter(stream.readline, b"\r\n")).decode() + "\r\n"
-                    length = next(int(x.partition(":")[2]) for x in header.split("\r\n") if x.lower().startswith("content-length:"))
-                    body = stream.read(length)
-                    stream.read(4)
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([header]), pa.array([body], pa.binary())], names=["path", "header", "body"])
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "content").mapInArrow(read, "path string, header string, body binary")
+            for path in batch.column(0).to_pylist():
+                fs, at = file_system(path)
+                with fs.open_input_stream(at, compression=None) as raw:
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw))
+                    while stream.peek(1):
+                        header = b"".join(iter(stream.readline, b"\r\n")).decode() + "\r\n"
+                        length = next(int(x.partition(":")[2]) for x in header.split("\r\n") if x.lower().startswith("content-length:"))
+                        body = stream.read(length)
+                        stream.read(4)
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([header]), pa.array([body], pa.binary())], names=["path", "header", "body"])
+
+    paths = files if isinstance(files, DataFrame) else spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(files)
+    return paths.select("path").mapInArrow(read, "path string, header string, body binary")

@@ -250,7 +250,9 @@ def test_archive(spark, tmp_path):
     assert spark.read.parquet(f"{folder}/payloads").count() == 4
     original = sorted(((r.page_id, bytes(r.payload).decode()) for r in warc.records(spark, folder).collect()), key=repr)
     assert original == sorted(((i, h or "") for i, _, h in pages), key=repr)
-    warc.export_warc(spark, folder, f"file://{tmp_path}/out").count()
+    files = warc.export_warc(spark, folder, f"file://{tmp_path}/out", roll=200)
+    assert files.agg({"n_records": "sum"}).first()[0] == df.count() and files.count() > 1
+    assert warc.read_warc(spark, files).count() == df.count()
     back = warc.read_warc(spark, f"file://{tmp_path}/out").collect()
     assert len(back) == len(pages) and all(r.header.startswith("WARC/1.1\r\n") for r in back)
     assert sorted(bytes(r.body).decode() for r in back if "revisit" not in r.header) == sorted(["small", "small", "", big, "ä" * 100])

@@ -32,6 +32,21 @@ def test_stages(spark):
     assert packed.where("piece = 0").count() == docs.count()
 
 
+def test_stages_on_awkward_rows(spark):
+    """Null and long texts, repeated rows and ids, null ids and clashing columns go through every stage."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _k1 string, _score int, _group int"
+    good = "the river runs down to the sea and the boats go out in the morning light of the coast"
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, good, "en", "a"), (3, good, "en", "a"), (None, good + " again and again", "en", None), (4, (good + " ") * 3000, "en", "b"), (5, "12 34", "en", "b")]
+    docs = spark.createDataFrame([(*r, 1, "x", 1, 1) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        if name == "simhash_near_dedup":
+            kept = [(r.doc_id, len(r.text)) for r in docs.collect()]
+            assert len(kept) == len(set(kept)) and (3, len(good)) in kept
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 1
+
+
 def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")

@@ -1,7 +1,5 @@
 """Rows that repeat an id, have none, or hold no letter: one defined result in any row order."""
 
-import itertools
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,10 +13,9 @@ B = "completely different words stand here in this other longer document text"
 def test_repeated_ids_in_any_order(spark):
     """Of (5, A), (5, B), (3, B) document A stays under 5 and B under 3."""
     rows = [(5, A, "en", "s", 1, "x", 1), (5, B, "en", "s", 1, "x", 1), (3, B, "en", "s", 1, "x", 1), (None, B, "en", "s", 1, "x", 1)]
-    for order in itertools.permutations(rows):
-        if order[0] is rows[0] or order[0] is rows[3]:
-            kept = simhash.deduplicate(spark.createDataFrame(list(order), DOCS).coalesce(1))
-            assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, B), (5, A)]
+    for order in (rows, rows[::-1], [rows[1], rows[3], rows[0], rows[2]]):
+        kept = simhash.deduplicate(spark.createDataFrame(order, DOCS).coalesce(1))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, B), (5, A)]
 
 
 def test_vantage_points_tell_bands_apart():
