@@ -1,4 +1,4 @@
-"""Evaluation and calibration (E1-E22, A28, W8-W10): conditional sums, cumulative windows over score groups, bins."""
+"""Evaluation and calibration (E1-E4, E6-E14, E16-E18, A28, W8-W10; E5, E15 and E22 are in selection.py): conditional sums, cumulative windows over score groups, bins."""
 
 from __future__ import annotations
 

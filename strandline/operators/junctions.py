@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import entropy_bits
-
 
 def melt(junctions: DataFrame, donor="donor_pos", acceptor="acceptor_pos") -> DataFrame:
     """A2: a row for each end, with the other end as partner, in one scan."""
@@ -15,25 +13,34 @@ def melt(junctions: DataFrame, donor="donor_pos", acceptor="acceptor_pos") -> Da
     return junctions.withColumn("_e", F.explode(F.array(side(donor, acceptor, "donor"), side(acceptor, donor, "acceptor")))).select(*rest, "_e.*")
 
 
-def psi(reads: Column) -> Column:
+def read_sums(reads) -> list[Column]:
+    """What psi() and entropy() need of a group's reads: four plain sums, so that no list of reads is gathered."""
+    x = F.coalesce(F.col(reads), F.lit(0)).cast("double")
+    return [F.count(reads).alias("_n"), F.sum(x).alias("_sum"), F.max(x).alias("_max"), F.sum(F.when(x > 0, x * F.log2(x)).otherwise(0.0)).alias("_xlogx")]
+
+
+def psi() -> Column:
     """The largest share of reads; null for one junction or none."""
-    total = F.aggregate(reads, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return F.when((F.size(reads) > 1) & (total > 0), F.array_max(reads) / total)
+    return F.when((F.col("_n") > 1) & (F.col("_sum") > 0), F.col("_max") / F.col("_sum"))
+
+
+def entropy() -> Column:
+    """A5: Shannon entropy in bits of the reads' shares: log2(S) - sum(r log2 r) / S; 0 for one junction or no reads."""
+    return F.when((F.col("_n") > 1) & (F.col("_sum") > 0), F.greatest(F.lit(0.0), F.log2("_sum") - F.col("_xlogx") / F.col("_sum"))).otherwise(0.0)
 
 
 def single_index(ends: DataFrame, by: list[str], reads="reads", partner="partner", annotated: str | None = None) -> DataFrame:
     """A3: a row a position of one sample: reads, partners, entropy in bits, PSI."""
-    lists = F.collect_list(F.col(reads).cast("long"))
     got = ends.groupBy(*by).agg(
         F.sum(F.col(reads).cast("double")).alias("total_reads"), F.max(F.col(reads).cast("double")).alias("max_reads"), F.countDistinct(partner).alias("n_partners"),
-        (F.max(annotated) if annotated else F.lit(0)).alias("is_annotated"), lists.alias("_reads"),
+        (F.max(annotated) if annotated else F.lit(0)).alias("is_annotated"), *read_sums(reads),
     )
-    return got.select(*by, "total_reads", "max_reads", "n_partners", "is_annotated", F.log1p("total_reads").alias("log1p_reads"), entropy_bits(F.col("_reads")).alias("entropy"), psi(F.col("_reads")).alias("psi"))
+    return got.select(*by, "total_reads", "max_reads", "n_partners", "is_annotated", F.log1p("total_reads").alias("log1p_reads"), entropy().alias("entropy"), psi().alias("psi"))
 
 
 def tissue_index(ends: DataFrame, by: list[str], tissue="tissue", reads="reads", partner="partner", least_reads: float = 3) -> DataFrame:
     """A4: per (position, tissue), then per position. Tissue variance is the sample's (0 for one tissue), PSI variance the population's (null for one)."""
-    first = ends.groupBy(*by, tissue).agg(F.sum(F.col(reads).cast("double")).alias("t_reads"), F.countDistinct(partner).alias("t_partners"), F.collect_list(F.col(reads).cast("long")).alias("_reads")).withColumn("t_psi", psi(F.col("_reads")))
+    first = ends.groupBy(*by, tissue).agg(F.sum(F.col(reads).cast("double")).alias("t_reads"), F.countDistinct(partner).alias("t_partners"), *read_sums(reads)).withColumn("t_psi", psi())
     return first.groupBy(*by).agg(
         F.sum("t_reads").alias("total_reads"), F.max("t_reads").alias("tissue_max"), F.avg("t_reads").alias("tissue_mean"), F.coalesce(F.var_samp("t_reads"), F.lit(0.0)).alias("tissue_variance"),
         F.sum((F.col("t_reads") >= least_reads).cast("int")).alias("tissue_breadth"), F.max("t_partners").alias("n_partners"), F.avg("t_psi").alias("psi"), F.when(F.count("t_psi") > 1, F.var_pop("t_psi")).alias("psi_variance"),

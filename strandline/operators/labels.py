@@ -1,4 +1,4 @@
-"""Labels, splits and samples (L1-L13, O5-O10, J25-J26): hashes decide, so that reruns and both engines agree."""
+"""Labels, splits and samples (L1-L7, L9-L13, O5-O8, O10): hashes decide, so that reruns and both engines agree."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Joins, sets and aggregates with fixed tie rules."""
+"""Joins, sets and aggregates with fixed tie rules (J1-J4, J13-J18, U1-U8, A1, A9-A17, A19-A22, A25-A30; the others are in selection.py)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Variant effects (R1-R12, J22, J25): events from deltas, their classes, pairs and consequences."""
+"""Variant effects (R1, R2, R4-R8, R10-R12, J25; R3 is in selection.py): events from deltas, their classes, pairs and consequences."""
 
 from __future__ import annotations
 

@@ -108,5 +108,9 @@ def running_totals(df: DataFrame, order: str, values: list[str], by: list[str] =
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "_range", *(F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"_{v}_before") for v in values), *(F.sum(v).over(Window.partitionBy(*by)).alias(f"{v}_all") for v in values))
     w = Window.partitionBy(*by, "_range").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    got = cut.join(sums, [*by, "_range"])
+    sums = sums.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_range").alias("_of_range"), *(c for c in sums.columns if c not in (*by, "_range")))
+    on = F.col("_range") == F.col("_of_range")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))  # a null key is a group
+    got = cut.join(sums, on)
     return got.select(*df.columns, *(f"{v}_all" for v in values), *((F.col(f"_{v}_before") + F.sum(v).over(w)).alias(f"{v}_upto") for v in values))

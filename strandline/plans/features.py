@@ -49,12 +49,12 @@ def base_gradient_features(spark, sf_dir):
 
 
 @query("base_comparative_features", f"""WITH {SCORED}, c AS (SELECT *, lag(donor, 1, 0.0) OVER w AS dm, lead(donor, 1, 0.0) OVER w AS dp, lag(acceptor, 1, 0.0) OVER w AS am, lead(acceptor, 1, 0.0) OVER w AS ap FROM scored WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, round(donor / (dm + dp + 1e-10) - acceptor / (am + ap + 1e-10), 3) AS surge_difference, round((dm - 2 * donor + dp) - (am - 2 * acceptor + ap), 6) AS curvature_difference FROM c WHERE dm > 0 AND dp > 0""")
+SELECT event_id, round(donor / (dm + dp + 1e-10) - acceptor / (am + ap + 1e-10), 3) AS surge_difference, round((dm - 2 * donor + dp) - (am - 2 * acceptor + ap), 6) AS curvature_difference FROM c""")
 def base_comparative_features(spark, sf_dir):
     df = scored(spark, sf_dir)
     for c in ("donor", "acceptor"):
         df = windows.context_scores(df, c, 2, ["user_id"], ["ts", "event_id"])
-    df = df.where("donor_m1 > 0 AND donor_p1 > 0").select("*", *(v.alias(k) for c in ("donor", "acceptor") for k, v in scores.gradient_features(c).items()))
+    df = df.select("*", *(v.alias(k) for c in ("donor", "acceptor") for k, v in scores.gradient_features(c).items()))
     out = scores.comparative_features()
     return df.select("event_id", F.round(out["surge_difference"], 3).alias("surge_difference"), F.round(out["curvature_difference"], 6).alias("curvature_difference"))
 
@@ -162,10 +162,10 @@ def pca_projection(spark, sf_dir):
 
 @query("sequence_stats", """SELECT doc_id, length(s) AS n, round(CASE WHEN length(s) > 0 THEN length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) ELSE 0 END, 6) AS gc_content,
 round(CASE WHEN length(s) > 1 THEN (length(s) - length(replace(s, 'CG', ''))) / 2 / (length(s) - 1) ELSE 0 END, 6) AS cpg_density, reverse(translate(s, 'ACGTN', 'TGCAN')) AS rc, substr(s, 5, 2) AS dinucleotide
-FROM (SELECT doc_id, regexp_replace(translate(lower(text), 'eorisul', 'ACGTACG'), '[^ACGT]', 'N', 'g') AS s FROM documents WHERE length(text) < 400)""")
+FROM (SELECT doc_id, regexp_replace(translate(lower(text), 'eorisul', 'ACGTACG'), '[^ACGT]', 'N', 'g') AS s FROM documents WHERE text IS NOT NULL)""")
 def sequence_stats(spark, sf_dir):
     s = F.regexp_replace(F.translate(F.lower("text"), "eorisul", "ACGTACG"), "[^ACGT]", "N")
-    df = table(spark, sf_dir, "documents").where(F.length("text") < 400).select("doc_id", s.alias("s"))
+    df = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", s.alias("s"))
     return df.select("doc_id", F.length("s").alias("n"), F.round(text.share_of(F.col("s"), "GC"), 6).alias("gc_content"), F.round(text.cpg_density(F.col("s")), 6).alias("cpg_density"), text.reverse_complement(F.col("s")).alias("rc"), F.substring("s", 5, 2).alias("dinucleotide"))
 
 

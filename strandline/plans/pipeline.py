@@ -1,4 +1,4 @@
-"""Feature modalities as plug-ins (Q13, Q14, Q16): name, columns, what they need, and a DataFrame -> DataFrame function."""
+"""Feature modalities as plug-ins (Q13, Q14), and profiles of them (Q16): name, columns, what they need, and a DataFrame -> DataFrame function."""
 
 from __future__ import annotations
 
@@ -44,6 +44,16 @@ class Features:
             waits = {n: w - {free[0]} for n, w in waits.items()}
         return out
 
+    def profile(self, profiles: dict[str, dict], name: str) -> list[str]:
+        """Q16: the modalities of a named profile: those of the profile that it `extends`, and its own `modalities`, without those that it `excludes`."""
+        said, names = profiles[name], []
+        for n in [*(self.profile({k: v for k, v in profiles.items() if k != name}, said["extends"]) if "extends" in said else []), *said.get("modalities", [])]:
+            if n not in self.known:
+                raise ValueError(f"profile {name} names {n}, which isn't registered")
+            if n not in names and n not in said.get("excludes", []):
+                names.append(n)
+        return names
+
     def run(self, df: DataFrame, names: list[str]) -> DataFrame:
         """Each modality in turn; inputs are checked before it and outputs after it."""
         for m in self.order(names):

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import evaluations, features, relational, templates, transcript_plans, variant_plans  # noqa: F401
+    from . import evaluations, features, relational, selection_plans, templates, transcript_plans, variant_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

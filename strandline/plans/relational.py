@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, junctions, labels, relations, verify, windows
+from ..operators import compare, intervals, junctions, labels, relations, verify, windows
 from .registry import query
 from .tables import EXONS, JUNCTIONS, SCORED, exons, scored, table
 from .tables import junctions as junction_rows
@@ -21,20 +21,20 @@ def junction_melt(spark, sf_dir):
 
 @query("junction_index_single", f"""WITH {JUNCTIONS} SELECT side, position, CAST(sum(reads) AS DOUBLE) AS total_reads, CAST(max(reads) AS DOUBLE) AS max_reads, count(DISTINCT partner) AS n_partners, round(ln(1 + sum(reads)), 6) AS log1p_reads,
 CASE WHEN count(*) <= 1 THEN 0.0 ELSE round(log2(sum(reads)) - sum(reads * log2(reads)) / sum(reads), 5) END AS entropy, CASE WHEN count(*) > 1 THEN round(max(reads) / sum(reads), 6) END AS psi
-FROM ends WHERE side = 'donor' GROUP BY side, position""")
+FROM ends GROUP BY side, position""")
 def junction_index_single(spark, sf_dir):
-    ends = junctions.melt(junction_rows(spark, sf_dir)).where("side = 'donor'")
+    ends = junctions.melt(junction_rows(spark, sf_dir))
     df = junctions.single_index(ends, ["side", "position"])
     return df.select("side", "position", "total_reads", "max_reads", "n_partners", *r(df, "log1p_reads", "psi"), F.round("entropy", 5).alias("entropy"))
 
 
-@query("junction_index_tissue", f"""WITH {JUNCTIONS}, t AS (SELECT position, tissue, CAST(sum(reads) AS DOUBLE) AS t_reads, count(DISTINCT partner) AS t_partners, CASE WHEN count(*) > 1 THEN max(reads) / sum(reads) END AS t_psi FROM ends WHERE side = 'donor' GROUP BY 1, 2)
-SELECT position, sum(t_reads) AS total_reads, max(t_reads) AS tissue_max, round(avg(t_reads), 6) AS tissue_mean, round(coalesce(var_samp(t_reads), 0), 4) AS tissue_variance, CAST(sum(CASE WHEN t_reads >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS tissue_breadth,
-max(t_partners) AS n_partners, round(avg(t_psi), 6) AS psi, CASE WHEN count(t_psi) > 1 THEN round(var_pop(t_psi), 6) END AS psi_variance FROM t GROUP BY position""")
+@query("junction_index_tissue", f"""WITH {JUNCTIONS}, t AS (SELECT side, position, tissue, CAST(sum(reads) AS DOUBLE) AS t_reads, count(DISTINCT partner) AS t_partners, CASE WHEN count(*) > 1 THEN max(reads) / sum(reads) END AS t_psi FROM ends GROUP BY 1, 2, 3)
+SELECT side, position, sum(t_reads) AS total_reads, max(t_reads) AS tissue_max, round(avg(t_reads), 6) AS tissue_mean, round(coalesce(var_samp(t_reads), 0), 4) AS tissue_variance, CAST(sum(CASE WHEN t_reads >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS tissue_breadth,
+max(t_partners) AS n_partners, round(avg(t_psi), 6) AS psi, CASE WHEN count(t_psi) > 1 THEN round(var_pop(t_psi), 6) END AS psi_variance FROM t GROUP BY side, position""")
 def junction_index_tissue(spark, sf_dir):
-    ends = junctions.melt(junction_rows(spark, sf_dir)).where("side = 'donor'")
-    df = junctions.tissue_index(ends, ["position"], least_reads=30)
-    return df.select("position", "total_reads", "tissue_max", "tissue_breadth", "n_partners", *r(df, "tissue_mean", "psi", "psi_variance"), F.round("tissue_variance", 4).alias("tissue_variance"))
+    ends = junctions.melt(junction_rows(spark, sf_dir))
+    df = junctions.tissue_index(ends, ["side", "position"], least_reads=30)
+    return df.select("side", "position", "total_reads", "tissue_max", "tissue_breadth", "n_partners", *r(df, "tissue_mean", "psi", "psi_variance"), F.round("tissue_variance", 4).alias("tissue_variance"))
 
 
 @query("tissue_summary", f"""WITH {JUNCTIONS}, j AS (SELECT donor_pos, tissue || status AS tissue, reads FROM junctions), t AS (SELECT donor_pos, tissue, CAST(sum(reads) AS DOUBLE) AS r, count(*) AS s FROM j GROUP BY 1, 2)
@@ -53,23 +53,25 @@ def tissue_matrix(spark, sf_dir):
     return junctions.tissue_matrix(counts, tissues, "l_partkey")
 
 
-@query("junction_feature_join", f"""WITH {JUNCTIONS}, i AS (SELECT position, count(DISTINCT partner) AS n_partners, CASE WHEN count(*) > 1 THEN round(max(reads) / sum(reads), 6) END AS psi FROM ends WHERE side = 'donor' AND reads > 45 GROUP BY position)
-SELECT p_partkey AS position, coalesce(n_partners, 0) AS n_partners, psi FROM part LEFT JOIN i ON p_partkey = position""")
+@query("junction_feature_join", f"""WITH {JUNCTIONS}, i AS (SELECT side, position, count(DISTINCT partner) AS n_partners, CASE WHEN count(*) > 1 THEN round(max(reads) / sum(reads), 6) END AS psi FROM ends WHERE reads > 45 GROUP BY side, position),
+p AS (SELECT p_partkey AS position, unnest(['donor', 'acceptor']) AS side FROM part)
+SELECT p.side, p.position, coalesce(n_partners, 0) AS n_partners, psi FROM p LEFT JOIN i ON p.position = i.position AND p.side = i.side""")
 def junction_feature_join(spark, sf_dir):
-    index = junctions.single_index(junctions.melt(junction_rows(spark, sf_dir)).where("side = 'donor' AND reads > 45"), ["position"]).select("position", "n_partners", F.round("psi", 6).alias("psi"))
-    return junctions.join_features(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position")), index, ["position"], ["n_partners"])
+    index = junctions.single_index(junctions.melt(junction_rows(spark, sf_dir)).where("reads > 45"), ["side", "position"]).select("side", "position", "n_partners", F.round("psi", 6).alias("psi"))
+    sites = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.explode(F.array(F.lit("donor"), F.lit("acceptor"))).alias("side"))
+    return junctions.join_features(sites, index, ["side", "position"], ["n_partners"]).select("side", "position", "n_partners", "psi")
 
 
 DAYS = "CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS BIGINT)"
 
 
-@query("interval_overlap_features", f"""WITH p AS (SELECT l_returnflag AS chrom, l_suppkey AS rbp, l_linestatus AS cell_line, {DAYS} AS start, {DAYS} + l_linenumber AS "end", l_quantity AS signal_value, l_discount AS p FROM lineitem WHERE l_suppkey <= 20),
+@query("interval_overlap_features", f"""WITH p AS (SELECT l_returnflag AS chrom, l_suppkey AS rbp, l_linestatus AS cell_line, {DAYS} AS start, {DAYS} + l_linenumber AS "end", l_quantity AS signal_value, l_discount AS p FROM lineitem),
 q AS (SELECT DISTINCT CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS chrom, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS position FROM orders)
 SELECT chrom, position, count(DISTINCT rbp) AS n_bound, max(signal_value) AS max_signal, round(avg(signal_value), 6) AS mean_signal, max(p) AS max_neg_log10_pvalue, max(CAST(rbp IN (1, 2) AS INTEGER)) AS has_splice_regulator,
 count(DISTINCT CASE WHEN rbp IN (3, 4, 5) THEN rbp END) AS n_sr_proteins, count(DISTINCT cell_line) AS cell_line_breadth FROM q JOIN p USING (chrom) WHERE position >= start AND position < "end" GROUP BY chrom, position""")
 def interval_overlap_features(spark, sf_dir):
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1990-01-01").cast("date")).cast("bigint")
-    peaks = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select(F.col("l_returnflag").alias("chrom"), F.col("l_suppkey").alias("rbp"), F.col("l_linestatus").alias("cell_line"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_linenumber")).alias("end"), F.col("l_quantity").alias("signal_value"), F.col("l_discount").alias("neg_log10_pvalue"))
+    peaks = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), F.col("l_suppkey").alias("rbp"), F.col("l_linestatus").alias("cell_line"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_linenumber")).alias("end"), F.col("l_quantity").alias("signal_value"), F.col("l_discount").alias("neg_log10_pvalue"))
     k = F.col("o_orderkey") % 3
     points = table(spark, sf_dir, "orders").select(F.when(k == 0, "A").when(k == 1, "N").otherwise("R").alias("chrom"), day("o_orderdate").alias("position")).distinct()
     hits = intervals.points_in_intervals(points, peaks, ["chrom"], width=16, closed=False)
@@ -95,11 +97,11 @@ def overlapping_spans(spark, sf_dir):
     return intervals.overlap_summary(s, ["strand"], "transcript_id", width=32).select("transcript_id", "n_overlaps", "overlaps")
 
 
-@query("merged_intervals", f"""WITH {EXONS}, a AS (SELECT biotype, strand, start, "end", max("end") OVER (PARTITION BY biotype, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM exons WHERE transcript_id % 40 < 2),
+@query("merged_intervals", f"""WITH {EXONS}, a AS (SELECT biotype, strand, start, "end", max("end") OVER (PARTITION BY biotype, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM exons),
 i AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b THEN 1 ELSE 0 END) OVER (PARTITION BY biotype, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM a)
 SELECT biotype, strand, min(start) AS start, max("end") AS "end", count(*) AS n_merged FROM i GROUP BY biotype, strand, k""")
 def merged_intervals(spark, sf_dir):
-    return windows.merge_intervals(exons(spark, sf_dir).where("transcript_id % 40 < 2").select("biotype", "strand", "start", "end"), "start", "end", ["biotype", "strand"])
+    return windows.merge_intervals(exons(spark, sf_dir).select("biotype", "strand", "start", "end"), "start", "end", ["biotype", "strand"])
 
 
 @query("novel_sites_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -178,13 +180,10 @@ def gene_bounds(spark, sf_dir):
     return relations.gene_bounds(exons(spark, sf_dir), "transcript_id", attributes=["strand"])
 
 
-@query("class_weights", "SELECT event_type, count(*) AS n, round((SELECT count(*) FROM events) / (5 * count(*)), 6) AS weight FROM events GROUP BY event_type UNION ALL SELECT 'absent', 0, 1.0")
+@query("class_weights", "SELECT event_type, count(*) AS n, round((SELECT count(*) FROM events) / (6 * count(*)), 6) AS weight FROM events GROUP BY event_type UNION ALL SELECT 'absent', 0, 1.0")
 def class_weights(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    kinds = sorted(x[0] for x in e.select("event_type").distinct().collect())  # classes are few
-    got = relations.class_weights(e, "event_type", [*kinds, "absent"])
-    scale = (len(kinds) + 1) / 5
-    return got.select("event_type", "n", F.round(F.when(F.col("n") > 0, F.col("weight") * scale).otherwise(F.col("weight")), 6).alias("weight"))
+    got = relations.class_weights(table(spark, sf_dir, "events"), "event_type", ["click", "error", "purchase", "signup", "view", "absent"])
+    return got.select("event_type", "n", F.round("weight", 6).alias("weight"))
 
 
 @query("norm_stats", "SELECT 'p_retailprice' AS \"column\", round(avg(p_retailprice), 5) AS mean, round(stddev_samp(p_retailprice), 5) AS std FROM part UNION ALL SELECT 'p_size', round(avg(p_size), 5), round(stddev_samp(p_size), 5) FROM part")
@@ -214,10 +213,8 @@ def column_profile(spark, sf_dir):
 @query("gene_page", """WITH f AS (SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE '%11%'), p AS (SELECT *, count(*) OVER () AS total FROM f ORDER BY c_custkey LIMIT 10 OFFSET 10) SELECT c_custkey, c_name, total, CAST(ceil(total / 10) AS BIGINT) AS pages FROM p""")
 def gene_page(spark, sf_dir):
     """A page of a search, with the total."""
-    found = table(spark, sf_dir, "customer").where(F.lower("c_name").contains("11")).select("c_custkey", "c_name")
-    total = found.agg(F.count("*").alias("total"))
-    page = found.orderBy("c_custkey").offset(10).limit(10)
-    return page.join(F.broadcast(total)).select("c_custkey", "c_name", "total", F.ceil(F.col("total") / 10).alias("pages"))
+    page, total = compare.browse(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "11", ["c_name"], 2, 10, "c_custkey")
+    return page.join(F.broadcast(total))  # one row is broadcast
 
 
 @query("common_column_append", "SELECT o_custkey AS key, o_totalprice AS amount FROM orders UNION ALL SELECT c_custkey, c_acctbal FROM customer")
@@ -227,12 +224,12 @@ def common_column_append(spark, sf_dir):
     return relations.common_columns(a, b)
 
 
-@query("stab_query", f"""WITH {EXONS}, g AS (SELECT transcript_id, strand, min(start) AS start, max("end") AS "end" FROM exons WHERE transcript_id <= 200 GROUP BY 1, 2), q AS (SELECT DISTINCT strand, start AS position FROM exons WHERE exon % 50 = 0)
+@query("stab_query", f"""WITH {EXONS}, g AS (SELECT transcript_id, strand, min(start) AS start, max("end") AS "end" FROM exons GROUP BY 1, 2), q AS (SELECT DISTINCT strand, start AS position FROM exons)
 SELECT strand, position, count(*) AS n_genes, min(transcript_id) AS first_gene FROM q JOIN g USING (strand) WHERE position BETWEEN g.start AND g."end" GROUP BY 1, 2""")
 def stab_query(spark, sf_dir):
     e = exons(spark, sf_dir)
-    g = e.where("transcript_id <= 200").groupBy("transcript_id", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    q = e.where("exon % 50 = 0").select("strand", F.col("start").alias("position")).distinct()
+    g = e.groupBy("transcript_id", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    q = e.select("strand", F.col("start").alias("position")).distinct()
     return intervals.points_in_intervals(q, g, ["strand"], width=365).groupBy("strand", "position").agg(F.count("*").alias("n_genes"), F.min("transcript_id").alias("first_gene"))
 
 

@@ -34,12 +34,12 @@ def liftover(spark, sf_dir):
     return transcripts.liftover(exons(spark, sf_dir).select("exon", F.col("strand").alias("chrom"), F.col("start").alias("position")), chain, width=128)
 
 
-MOTIFS = f"""{EXONS}, s AS (SELECT DISTINCT strand, biotype, start AS position FROM exons WHERE transcript_id % 9 = 0), m AS (SELECT DISTINCT strand, start AS spot FROM exons WHERE start % 7 = 3)"""
+MOTIFS = f"""{EXONS}, s AS (SELECT DISTINCT strand, biotype, start AS position FROM exons), m AS (SELECT DISTINCT strand, start AS spot FROM exons WHERE start % 7 = 3)"""
 
 
 def motif_sites(spark, sf_dir):
     e = exons(spark, sf_dir)
-    return e.where("transcript_id % 9 = 0").select("strand", "biotype", F.col("start").alias("position")).distinct(), e.where("start % 7 = 3").select("strand", F.col("start").alias("position"))
+    return e.select("strand", "biotype", F.col("start").alias("position")).distinct(), e.where("start % 7 = 3").select("strand", F.col("start").alias("position"))
 
 
 @query("motif_snapping", f"""WITH {MOTIFS} SELECT s.strand, s.biotype, s.position, CAST(first(spot - s.position ORDER BY abs(spot - s.position), spot) AS INTEGER) AS snap_offset, first(spot ORDER BY abs(spot - s.position), spot) AS snapped FROM s LEFT JOIN m ON m.strand = s.strand AND abs(spot - s.position) <= 2 GROUP BY 1, 2, 3""")
@@ -62,19 +62,19 @@ def sequence_windows(spark, sf_dir):
     return transcripts.sliding_windows(d, "n", 500, 300, ["doc_id"])
 
 
-@query("exon_window_filter", """WITH w AS (SELECT s AS transcript_id, b AS window_start, b + 500 AS window_end FROM (SELECT unnest(range(0, 60000, 300)) AS b), (SELECT unnest(range(1, 41)) AS s)),
-x AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS transcript_id, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 10 AS start FROM orders WHERE o_custkey <= 40)
+@query("exon_window_filter", """WITH w AS (SELECT s AS transcript_id, b AS window_start, b + 500 AS window_end FROM (SELECT unnest(range(0, 60000, 300)) AS b), (SELECT c_custkey AS s FROM customer)),
+x AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS transcript_id, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 10 AS start FROM orders)
 SELECT w.transcript_id, window_start, window_end, round(sum(least(window_end, start + 9) - greatest(window_start, start)) / 500, 8) AS exon_share FROM w JOIN x USING (transcript_id) WHERE start < window_end AND start + 9 > window_start GROUP BY 1, 2, 3 HAVING sum(least(window_end, start + 9) - greatest(window_start, start)) / 500 >= 0.01""")
 def exon_window_filter(spark, sf_dir):
-    w = spark.range(0, 60000, 300).select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("transcript_id"), F.col("id").alias("window_start"), (F.col("id") + 500).alias("window_end"))
-    x = exons(spark, sf_dir).where("transcript_id <= 40").select("transcript_id", (F.col("start") * 10).alias("start")).distinct().withColumn("end", F.col("start") + 9)
+    w = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("transcript_id"), F.explode(F.sequence(*(F.lit(k).cast("long") for k in (0, 59_700, 300)))).alias("window_start")).withColumn("window_end", F.col("window_start") + 500)
+    x = exons(spark, sf_dir).select("transcript_id", (F.col("start") * 10).alias("start")).distinct().withColumn("end", F.col("start") + 9)
     return transcripts.windows_with_exons(w, x, ["transcript_id"], 0.01, 256).withColumn("exon_share", F.round("exon_share", 8))
 
 
-@query("exon_bases", f"""WITH {EXONS}, p AS (SELECT transcript_id, biotype, min(start) AS s, least(max("end"), min(start) + 40) AS e, count(*) AS n FROM exons WHERE transcript_id <= 100 GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT DISTINCT transcript_id, unnest(range(s, e + 1)) AS position FROM p)
+@query("exon_bases", f"""WITH {EXONS}, p AS (SELECT transcript_id, biotype, min(start) AS s, least(max("end"), min(start) + 40) AS e, count(*) AS n FROM exons GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT DISTINCT transcript_id, unnest(range(s, e + 1)) AS position FROM p)
 SELECT transcript_id, count(*) AS n_bases, min(position) AS first_base FROM b GROUP BY transcript_id""")
 def exon_bases(spark, sf_dir):
-    e = exons(spark, sf_dir).where("transcript_id <= 100").groupBy("transcript_id", "biotype").agg(F.min("start").alias("s"), F.least(F.max("end"), F.min("start") + 40).alias("e"), F.count("*").alias("n")).where("n >= 2")
+    e = exons(spark, sf_dir).groupBy("transcript_id", "biotype").agg(F.min("start").alias("s"), F.least(F.max("end"), F.min("start") + 40).alias("e"), F.count("*").alias("n")).where("n >= 2")
     sites = e.select("transcript_id", F.lit(1).alias("tx"), F.col("biotype").alias("exon_rank"), F.explode(F.array("s", "e")).alias("position"))
     return transcripts.exon_bases(sites, "transcript_id", "tx").groupBy("transcript_id").agg(F.count("*").alias("n_bases"), F.min("position").alias("first_base"))
 

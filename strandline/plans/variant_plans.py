@@ -63,11 +63,11 @@ def event_pairing(spark, sf_dir):
     return variants.pair_events(events(spark, sf_dir), "user_id", 2000)
 
 
-@query("affected_exons", f"""WITH {EXONS}, v AS (SELECT exon AS variant, transcript_id, start + 1 AS position FROM exons WHERE exon % 20 = 0)
+@query("affected_exons", f"""WITH {EXONS}, v AS (SELECT exon AS variant, transcript_id, start + 1 AS position FROM exons)
 SELECT v.variant, string_agg(DISTINCT CAST(e.exon AS VARCHAR), ',' ORDER BY CAST(e.exon AS VARCHAR)) AS exons FROM v JOIN exons e ON e.transcript_id = v.transcript_id AND (abs(e.start - v.position) <= 2 OR abs(e."end" - v.position) <= 2) GROUP BY v.variant""")
 def affected_exons(spark, sf_dir):
     e = exons(spark, sf_dir).withColumn("exon_number", F.col("exon").cast("string"))
-    v = e.where("exon % 20 = 0").select(F.col("exon").alias("variant"), "transcript_id", (F.col("start") + 1).alias("position"))
+    v = e.select(F.col("exon").alias("variant"), "transcript_id", (F.col("start") + 1).alias("position"))
     return variants.affected_exons(v, e, ["transcript_id"], "variant").select("variant", F.array_join("exons", ",").alias("exons"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -107,14 +107,15 @@ def aggregated_junctions(df: DataFrame, shift: bool, least: int = 0) -> DataFram
 
 
 def gct(spark: SparkSession, path: str) -> DataFrame:
-    """A matrix of samples as long rows (junction, sample, reads); its header row gives the samples' names."""
+    """A matrix of samples as long rows (junction, sample, reads). The samples' names are a table that its header line is exploded into, joined by column."""
     lines = spark.read.text(path)
-    head = lines.where(F.col("value").startswith("Name\t")).first()
-    names = F.array(*(F.lit(x) for x in head[0].split("\t")[2:]))
     parts = F.split("value", "\t")
-    body = lines.where((F.size(parts) == len(head[0].split("\t"))) & ~F.col("value").startswith("Name\t"))
+    head = lines.where(F.col("value").startswith("Name\t"))
+    names = head.select(F.posexplode(F.slice(parts, 3, 1 << 30)).alias("i", "sample")).distinct()
+    width = head.agg(F.max(F.size(parts)).alias("width"))
+    body = lines.join(F.broadcast(width), (F.size(parts) == F.col("width")) & ~F.col("value").startswith("Name\t"))  # one row is broadcast
     got = body.select(parts[0].alias("junction"), F.posexplode(F.slice(parts, 3, 1 << 30)).alias("i", "n"))
-    return got.select("junction", F.element_at(names, F.col("i") + 1).alias("sample"), F.col("n").cast("bigint").alias("reads"))
+    return got.join(names, "i").select("junction", "sample", F.col("n").cast("bigint").alias("reads"))
 
 
 def narrow_peaks(spark: SparkSession, path: str) -> DataFrame:
@@ -124,39 +125,34 @@ def narrow_peaks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
-    """(chrom, block_start, sequence) in blocks of upper-case bases; lines are numbered per file, so a file is one task."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column(0):
-                name, held, start = None, [], 1
-                rows: list[tuple] = []
-
-                def cut(all_of_it: bool):
-                    nonlocal held, start
-                    s = "".join(held)
-                    while len(s) >= block or (all_of_it and s):
-                        rows.append((name, start, s[:block]))
-                        s, start = s[block:], start + len(s[:block])
-                    held = [s] if s else []
-
-                size = 0
-                for line in content.as_py().decode("ascii").splitlines():
-                    if line.startswith(">"):
-                        cut(True)
-                        name, held, start, size = line[1:].split()[0], [], 1, 0
-                    else:
-                        held.append(line.strip().upper())
-                        size += len(line)
-                        if size >= 16 * block:
-                            cut(False)
-                            size = 0
-                cut(True)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["chrom", "block_start", "sequence"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "chrom string, block_start bigint, sequence string")
+    """(chrom, block_start, sequence) in blocks of `block` upper-case bases.
+
+    Files are read as lines in Spark's splits, so a genome is as many tasks as it has splits, of any size. A line's place is its split and its number
+    there; what a split's leading lines continue (contig and bases so far) comes from the splits before it, of which there is a row each.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    head = F.col("value").startswith(">")
+    lines = lines.select("file", "split", "row", F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"), F.when(head, F.lit("")).otherwise(F.upper(F.trim("value"))).alias("bases"))
+    within = Window.partitionBy("file", "split").orderBy("row")
+    lines = lines.withColumn("contig", F.count("name").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("name", F.last("name", True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    here = Window.partitionBy("file", "split", "contig").orderBy("row")
+    lines = lines.withColumn("at", F.sum(F.length("bases")).over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.length("bases"))
+    ends = lines.groupBy("file", "split", "contig", "name").agg(F.sum(F.length("bases")).alias("size"))
+    tail = ends.groupBy("file", "split").agg(F.max_by("name", "contig").alias("last_name"), F.max_by("size", "contig").alias("last_size"), F.max("contig").alias("contigs"))
+    before = Window.partitionBy("file").orderBy("split")
+    tail = tail.withColumn("run", F.sum((F.col("contigs") > 0).cast("int")).over(before))  # splits since a header: one contig goes on
+    ahead = Window.partitionBy("file", "run").orderBy("split")
+    tail = tail.withColumn("run_name", F.first("last_name", True).over(ahead)).withColumn("run_size", F.sum("last_size").over(ahead))
+    carried = tail.select("file", "split", F.lag("run_name").over(before).alias("before_name"), F.lag("run_size").over(before).alias("before_size"))
+    placed = lines.join(carried, ["file", "split"])
+    first = F.col("contig") == 0
+    placed = placed.select(F.when(first, F.col("before_name")).otherwise(F.col("name")).alias("chrom"), (F.col("at") + F.when(first, F.coalesce("before_size", F.lit(0))).otherwise(0)).alias("at"), "bases").where("bases <> '' AND chrom IS NOT NULL")
+    cut = placed.withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.length("bases") - 1) / block))))
+    start = F.greatest(F.lit(0), F.col("k") * block - F.col("at")).cast("int")
+    end = F.least(F.length("bases"), (F.col("k") + 1) * block - F.col("at")).cast("int")
+    piece = F.struct(F.greatest("at", F.col("k") * block).alias("at"), F.col("bases").substr(start + 1, end - start).alias("bases"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["bases"]), "")
+    return cut.groupBy("chrom", "k").agg(whole.alias("sequence")).select("chrom", (F.col("k") * block + 1).alias("block_start"), "sequence")
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:

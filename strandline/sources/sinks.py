@@ -43,9 +43,28 @@ def bed(df: DataFrame, threshold=0.5) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 and size of every file, hashed where it lies."""
+    """SHA-256 and size of every file, each hashed as a stream by the task that has it, through the file system of its path; files of any size."""
+
+    def hashed(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for name in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name).replace(" ", "%20"))
+                with system.open_input_stream(at, compression=None) as stream:
+                    digest = hashlib.sha256()
+                    while piece := stream.read(1 << 22):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests)], names=["path", "size", "sha256"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.col("length").alias("size")).mapInArrow(hashed, "path string, size long, sha256 string")
 
 
 def stale(now: DataFrame, then: DataFrame) -> DataFrame:
