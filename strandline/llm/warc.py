@@ -32,6 +32,8 @@ from .common import file_system, shared_dir, written
 REVISIT_FROM = 100
 #: Records of one payload that a task rebuilds, about; bytes of an exported file, about.
 MANY, ROLL = 1000, 1 << 30
+#: Payloads of over MANY records up to which their table is broadcast (a digest and a number each).
+BROADCAST = 50_000
 #: Fixed value: the profile that WARC 1.1 names for revisits of identical payloads.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed so that an archive of the same pages has the same bytes.
@@ -90,26 +92,31 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     return payloads.withColumn("payload", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")))
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, header, payload): each original record, its payload joined back by digest (revisits too). A record without its whole payload fails the job."""
+def records(spark: SparkSession, folder: str, facts: dict | None = None) -> DataFrame:
+    """(page_id, header, payload): each original record, its payload joined back by digest (revisits too). A record without its whole payload fails the job.
+
+    With facts (name -> function of the payload column), these stand in place of the payload: they are taken where the payload lies, so that only they cross the join.
+    """
     headers = spark.read.schema("page_id long, digest string, header string").parquet(f"{folder}/headers")
-    busy = headers.groupBy("digest").agg(F.count("*").alias("times")).where(F.col("times") > MANY).select("digest", F.ceil(F.col("times") / MANY).alias("salts"))
+    busy = written(headers.groupBy("digest").agg(F.count("*").alias("times")).where(F.col("times") > MANY).select("digest", F.ceil(F.col("times") / MANY).alias("salts")), "warc-busy")
+    busy = F.broadcast(busy) if busy.count() <= BROADCAST else busy
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     left = headers.join(busy, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("header"), salts)).drop("salts")
-    right = stored(spark, folder).join(busy, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
-    payload = F.when(F.length("payload") == field(F.col("header"), "WARC-Payload-Length").cast("long"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no whole payload for "), F.col("header"))).cast("binary"))
-    return left.join(right, ["digest", "salt"], "left").select("page_id", "header", payload.alias("payload"))
+    of = {name: f(F.col("payload")).alias(name) for name, f in (facts or {"payload": lambda x: x}).items()}
+    right = stored(spark, folder).select("digest", F.length("payload").cast("long").alias("_bytes"), *of.values())
+    right = right.join(busy, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    whole = F.col("_bytes") == field(F.col("header"), "WARC-Payload-Length").cast("long")
+    header = F.when(whole, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("no whole payload for "), F.col("header"))).cast("string"))
+    return left.join(right, ["digest", "salt"], "left").select("page_id", header.alias("header"), *of)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    """A row a record, from the rebuilt records: page_id, payload_bytes, payload_digest (both of the payload itself), record_type, refers_to, record_id, url."""
+    """A row a record, from records(): page_id, payload_bytes, payload_digest (both of the payload itself), record_type, refers_to, record_id, url."""
     h = F.col("header")
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+):[0-9]+>$', 1) AS bigint)")
     url = F.coalesce(F.decode(F.unhex(F.substring(field(h, "X-Target-URI-Hex"), 2, 1 << 30)), "UTF-8"), field(h, "WARC-Target-URI")).alias("url")
-    parsed = records(spark, folder).select(
-        field(h, "WARC-Record-ID").alias("record_id"), url, field(h, "WARC-Type").alias("record_type"), field(h, "WARC-Refers-To").alias("refers"),
-        F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
-    )
+    found = records(spark, folder, {"payload_bytes": lambda x: F.length(x).cast("long"), "payload_digest": lambda x: F.sha2(x, 256)})
+    parsed = found.select(field(h, "WARC-Record-ID").alias("record_id"), url, field(h, "WARC-Type").alias("record_type"), field(h, "WARC-Refers-To").alias("refers"), "payload_bytes", "payload_digest")
     return parsed.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers").alias("refers_to"), "record_id", "url")
 
 
