@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import with_halo
 
 def binned(intervals: DataFrame, start: str, end: str, width: int, name="_bin") -> DataFrame:
     """A row for each bin that [start, end] touches."""
@@ -44,8 +45,8 @@ def overlap_summary(intervals: DataFrame, on: list[str], key: str, start="start"
 
 def near_flagged(df: DataFrame, flag: str, position: str, by: list[str], width: int) -> DataFrame:
     """Whether a flagged row of the group lies within `width` positions (the row itself included)."""
-    w = Window.partitionBy(*by).orderBy(position).rangeBetween(-width, width)
-    return df.withColumn("is_near", F.max(F.col(flag).cast("int")).over(w) == 1)
+    w = Window.partitionBy(*by, "_bin").orderBy(position).rangeBetween(-width, width)
+    return with_halo(df, position, width).withColumn("is_near", F.max(F.col(flag).cast("int")).over(w) == 1).where("_core").drop("_bin", "_core")
 
 
 def best_in_window(sites: DataFrame, scores: DataFrame, on: list[str], width: int, position="position", score="score") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import with_halo
+
 #: Fixed value: multiplier of the arithmetic hash that Spark and plain SQL share.
 MULTIPLIER = 2654435761
 
@@ -66,9 +68,9 @@ def family_sizes(df: DataFrame, family: Column, least=2) -> DataFrame:
 
 def tiers(df: DataFrame, score: str, by: list[str], position: str, key: str, threshold=0.01, width=0, background=0.005, seed=42) -> DataFrame:
     """Sites over the threshold, rows within `width` of one, and a hashed share of the rest; the tier of each row kept."""
-    w = Window.partitionBy(*by).orderBy(position).rangeBetween(-width, width)
+    w = Window.partitionBy(*by, "_bin").orderBy(position).rangeBetween(-width, width)
     site = F.col(score) > threshold
-    got = df.withColumn("_near", F.max(site.cast("int")).over(w) == 1)
+    got = with_halo(df, position, width).withColumn("_near", F.max(site.cast("int")).over(w) == 1).where("_core").drop("_bin", "_core")
     drawn = key_hash(key, 100_000, seed) < round(background * 100_000)
     return got.withColumn("tier", F.when(site, "splice").when(F.col("_near"), "proximity").when(drawn, "background")).where("tier IS NOT NULL").drop("_near")
 

@@ -30,17 +30,28 @@ def splice_sites(exons: DataFrame, transcript="transcript_id", start="start", en
     return got.withColumn("_s", F.explode(F.array(donor, acceptor))).where("_s._is").select(*exons.columns, "_s.splice_type", "_s.position")
 
 
+def with_halo(df: DataFrame, position: str, width: int, bin_size: int | None = None) -> DataFrame:
+    """Rows with `_bin` and `_core`: a row is the core of its own bin of positions and, within `width` of a border, also a halo row of the bin beyond.
+
+    A window of `width` positions over (key, _bin) sees for core rows what one over the whole key sees, so a chromosome is as many tasks as it has bins.
+    """
+    size = max(bin_size or 100_000, 2 * width + 1)
+    bins = [F.floor((F.col(position) + d) / size) for d in (0, -width, width)]
+    return df.withColumn("_bin", F.explode(F.array_distinct(F.array(*bins)))).withColumn("_core", F.col("_bin").eqNullSafe(bins[0]))
+
+
 def track_context(df: DataFrame, value: str, width: int, by=("chrom",), position="position") -> DataFrame:
     """Mean, maximum and population deviation of the values within `width` positions."""
-    w = Window.partitionBy(*by).orderBy(position).rangeBetween(-width, width)
-    return df.select("*", F.avg(value).over(w).alias(f"{value}_context_mean"), F.max(value).over(w).alias(f"{value}_context_max"), F.stddev_pop(value).over(w).alias(f"{value}_context_std"))
+    w = Window.partitionBy(*by, "_bin").orderBy(position).rangeBetween(-width, width)
+    got = with_halo(df, position, width).select("*", F.avg(value).over(w).alias(f"{value}_context_mean"), F.max(value).over(w).alias(f"{value}_context_max"), F.stddev_pop(value).over(w).alias(f"{value}_context_std"))
+    return got.where("_core").drop("_bin", "_core")
 
 
 def directional_ratio(df: DataFrame, value: str, width: int, by=("chrom",), position="position", strand="strand") -> DataFrame:
     """log2 of the mean before, plus 1, less log2 of the mean after, plus 1; the other way round on the minus strand."""
-    w = Window.partitionBy(*by).orderBy(position)
+    w = Window.partitionBy(*by, "_bin").orderBy(position)
     up, down = (F.log2(F.coalesce(F.avg(value).over(w.rangeBetween(a, b)), F.lit(0.0)) + 1) for a, b in ((-width, -1), (1, width)))
-    return df.withColumn(f"{value}_ratio", F.when(F.col(strand) == "-", down - up).otherwise(up - down))
+    return with_halo(df, position, width).withColumn(f"{value}_ratio", F.when(F.col(strand) == "-", down - up).otherwise(up - down)).where("_core").drop("_bin", "_core")
 
 
 def gradient_norm(df: DataFrame, vector: str, by=("gene_id",), order=("position",)) -> DataFrame:

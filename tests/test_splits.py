@@ -43,3 +43,20 @@ def test_profiles():
         f.register(Modality(n, (n,), lambda df: df))
     profiles = {"small": {"modalities": ["base"]}, "full": {"extends": "small", "modalities": ["junction", "track", "base"]}, "no_track": {"extends": "full", "excludes": ["track"]}}
     assert f.profile(profiles, "no_track") == ["base", "junction"] and f.profile(profiles, "small") == ["base"]
+
+
+def test_halo_windows_match_whole_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+    from strandline.operators import intervals
+
+    rng = random.Random(4)
+    rows = [(i % 2, rng.choice([None, *range(-3000, 3000)]) if i % 9 == 0 else rng.randrange(-3000, 3000), rng.random() < 0.02, rng.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, p int, f boolean, v double").withColumn("i", F.monotonically_increasing_id())
+    w = Window.partitionBy("g").orderBy("p").rangeBetween(-40, 40)
+    want = {r.i: r.m for r in df.select("i", F.max("v").over(w).alias("m")).collect()}
+    near = {r.i: r.m for r in df.select("i", (F.max(F.col("f").cast("int")).over(w) == 1).alias("m")).collect()}
+    halo = windows.with_halo(df, "p", 40, 100).withColumn("m", F.max("v").over(Window.partitionBy("g", "_bin").orderBy("p").rangeBetween(-40, 40))).where("_core")
+    assert {r.i: r.m for r in halo.collect()} == want and halo.count() == 900
+    assert {r.i: r.is_near for r in intervals.near_flagged(df, "f", "p", ["g"], 40).collect()} == near
