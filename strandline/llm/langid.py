@@ -28,7 +28,7 @@ from .hashed import fit_logistic, ngrams
 
 BITS, SIZES = 11, (1, 2, 3)
 PER_LANGUAGE, TOTAL, LANGUAGES = 1500, 12_000, 256
-MARGIN, CLEAN = 0.5, 0.001
+MARGIN, CLEAN = 0.1, 0.001
 #: One in so many sampled texts is kept out of the fit.
 APART = 5
 UNKNOWN = "und"
