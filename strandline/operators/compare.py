@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluation import with_rates
+from .evaluation import roc_auc, with_rates
+from .labels import key_hash
 from .windows import running_totals
 
 
@@ -43,6 +49,36 @@ def rank_correlations(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def rescue(df: DataFrame, label: str, base: str, channels: list[str], threshold: float) -> DataFrame:
+    """Each channel's ROC-AUC of positives that the base score leaves under the threshold, and of all positives, against all negatives."""
+    unsure = (F.col(label) == 0) | (F.col(base) < threshold)
+    parts = F.array_compact(F.array(F.lit("all"), F.when(unsure, "uncertain")))
+    per = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("_value")) for c in channels))
+    long = df.select(F.col(label).cast("int").alias("_label"), F.explode(parts).alias("_part"), per.alias("_per")).select("_label", "_part", F.explode("_per").alias("r")).select("_label", "_part", "r.*")
+    of = lambda part, c: F.max(F.when(F.col("_part") == part, F.col(c))).alias(f"{c}_{part}")
+    counts = long.groupBy("channel").agg(F.sum(F.when(F.col("_part") == "uncertain", F.col("_label"))).alias("n_uncertain"))
+    areas = roc_auc(long, "_label", "_value", ["channel", "_part"]).groupBy("channel").agg(of("uncertain", "roc_auc"), of("all", "roc_auc"))
+    return counts.join(areas, "channel")
+
+
+def incremental_auc(df: DataFrame, label: str, base: list[str], groups: dict[str, list[str]], key: str, train_share=0.7, seed=42) -> DataFrame:
+    """ROC-AUC on held-out rows of a logistic regression (classes of equal weight) on the base columns, and its lift with each group's columns. Null values count as 0."""
+    held = key_hash(key, 1000, seed) >= round(train_share * 1000)
+    every = list(dict.fromkeys([*base, *(c for cs in groups.values() for c in cs)]))
+    rows = df.select(F.col(label).cast("double").alias("_label"), held.alias("_held"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in every))
+    n, pos = rows.where(~F.col("_held")).agg(F.count("*"), F.sum("_label")).first()
+    if not n or not pos or n == pos:
+        raise ValueError("the training rows need both classes")
+    weighed = rows.withColumn("_weight", F.when(F.col("_label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
+    found = []
+    for name, columns in {"base": base, **{k: [*base, *v] for k, v in groups.items()}}.items():
+        model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_label", weightCol="_weight")]).fit(weighed.where(~F.col("_held")))
+        scores = model.transform(weighed.where("_held")).select("_label", vector_to_array("rawPrediction")[1].alias("_score"))
+        found.append(roc_auc(scores, "_label", "_score").select(F.lit(name).alias("features"), "roc_auc"))
+    got = reduce(DataFrame.unionByName, found)
+    return got.withColumn("lift", F.col("roc_auc") - F.max(F.when(F.col("features") == "base", F.col("roc_auc"))).over(Window.partitionBy()))  # a row a group of columns
+
+
 def browse(genes: DataFrame, words: str, columns: list[str], page: int, size: int, order: str) -> tuple[DataFrame, DataFrame]:
     """A page of the rows in which one of the columns holds the words (case ignored), and (total, pages)."""
     low = F.lit(words.lower())
@@ -63,6 +99,4 @@ def status_summary(manifest: DataFrame, status="status") -> DataFrame:
 
 def random_common(a: DataFrame, b: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N keys that both annotations have, by least hash."""
-    from .labels import key_hash
-
     return a.select(key).intersect(b.select(key)).orderBy(key_hash(key, 1 << 31, seed), key).limit(n)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import best_in_window, with_offsets
+from .labels import key_hash
 from .windows import running_totals, top_k
 
 
@@ -46,26 +47,47 @@ def ranked_counts(df: DataFrame, label: str, score: str, by: list[str] = ()) ->
     per = df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum(1.0 - F.col(label)).alias("neg"))
     got = running_totals(per, score, ["pos", "neg"], by, descending=True)
     got = got.select(*by, score, "pos", "neg", F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"), F.col("pos_all").alias("p_all"), F.col("neg_all").alias("n_all"))
-    return got.select("*", (F.col("tp") - F.col("pos")).alias("tp0"), (F.col("fp") - F.col("neg")).alias("fp0"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p_all")).alias("recall"))
+    return got.select("*", (F.col("tp") - F.col("pos")).alias("tp0"), (F.col("fp") - F.col("neg")).alias("fp0"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "p_all").alias("recall"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
-    """Sum of precision times the step in recall."""
+    """Sum of precision times the step in recall; null for a group without positives."""
     got = ranked_counts(df, label, score, by)
-    return got.groupBy(*by).agg(F.sum(F.col("precision") * F.col("pos") / F.col("p_all")).alias("average_precision"))
+    return got.groupBy(*by).agg(F.sum(F.try_divide(F.col("precision") * F.col("pos"), F.col("p_all"))).alias("average_precision"))
 
 
 def pr_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
-    """Trapezoids under precision over recall, from the point (0, 1)."""
+    """Trapezoids under precision over recall, from the point (0, 1); null for a group without positives."""
     p0 = F.when(F.col("tp0") + F.col("fp0") > 0, F.col("tp0") / (F.col("tp0") + F.col("fp0"))).otherwise(F.lit(1.0))
     got = ranked_counts(df, label, score, by)
-    return got.groupBy(*by).agg(F.sum(F.col("pos") / F.col("p_all") * (F.col("precision") + p0) / 2).alias("pr_auc"))
+    return got.groupBy(*by).agg(F.sum(F.try_divide("pos", "p_all") * (F.col("precision") + p0) / 2).alias("pr_auc"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] = ()) -> DataFrame:
-    """Trapezoids under true over false positive rate; ties share their step."""
+    """Trapezoids under true over false positive rate; ties share their step; null for a group without both classes."""
     got = ranked_counts(df, label, score, by)
-    return got.groupBy(*by).agg(F.sum(F.col("neg") * (F.col("tp") + F.col("tp0")) / 2 / (F.col("p_all") * F.col("n_all"))).alias("roc_auc"))
+    return got.groupBy(*by).agg(F.sum(F.try_divide(F.col("neg") * (F.col("tp") + F.col("tp0")) / 2, F.col("p_all") * F.col("n_all"))).alias("roc_auc"))
+
+
+def sampled_average_precision(df: DataFrame, label: str, classes: list[str], key: str, rate=0.01, background: int = 2, seed=42) -> DataFrame:
+    """Average precision of each class's score over all sites and a hashed share of the background class."""
+    kept = df.where((F.col(label) != background) | (key_hash(key, 100_000, seed) < round(rate * 100_000)))
+    per = F.explode(F.array(*(F.struct(F.lit(i).alias("class_index"), F.col(c).cast("double").alias("_score"), (F.col(label) == i).cast("int").alias("_label")) for i, c in enumerate(classes))))
+    return average_precision(kept.select(per.alias("r")).select("r.*"), "_label", "_score", ["class_index"])
+
+
+def score_report(df: DataFrame, label: str, scores: list[str], thresholds=(0.1, 0.2, 0.5, 0.8)) -> DataFrame:
+    """For each score, its ROC-AUC and average precision, and sensitivity and specificity (null without such rows) at each threshold; labels other than 0 and 1 stay out."""
+    per = F.explode(F.array(*(F.struct(F.lit(c).alias("scores"), F.col(c).cast("double").alias("_score"), F.col(label).cast("int").alias("_label")) for c in scores)))
+    long = df.where(F.col(label).isin(0, 1)).select(per.alias("r")).select("r.*")
+    share = lambda of, hit: F.avg(F.when(F.col("_label") == of, hit.cast("double")))
+    wide = long.groupBy("scores").agg(
+        F.sum("_label").alias("n_positive"), F.sum(1 - F.col("_label")).alias("n_negative"),
+        *(x for i, t in enumerate(thresholds) for x in (share(1, F.col("_score") >= t).alias(f"_p{i}"), share(0, F.col("_score") < t).alias(f"_n{i}"))),
+    )
+    rows = F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_p{i}").alias("sensitivity"), F.col(f"_n{i}").alias("specificity")) for i, t in enumerate(thresholds))))
+    at = wide.select("scores", "n_positive", "n_negative", rows.alias("r")).select("scores", "n_positive", "n_negative", "r.*")
+    return at.join(roc_auc(long, "_label", "_score", ["scores"]), "scores").join(average_precision(long, "_label", "_score", ["scores"]), "scores")
 
 
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds: list[float], digits=4) -> DataFrame:

@@ -12,8 +12,9 @@ MULTIPLIER = 2654435761
 
 
 def key_hash(key, modulus: int = 1000, seed: int = 0) -> Column:
-    """An arithmetic hash of a whole number, 0 to modulus - 1."""
-    return F.pmod((F.col(key).cast("bigint") % 1000003 + seed) * F.lit(MULTIPLIER), F.lit(1 << 32)).cast("bigint") % modulus
+    """An arithmetic hash of a whole number (a column or its name), 0 to modulus - 1."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.pmod((key.cast("bigint") % 1000003 + seed) * F.lit(MULTIPLIER), F.lit(1 << 32)).cast("bigint") % modulus
 
 
 def three_class(positions: DataFrame, sites: DataFrame, on: list[str], kind="splice_type") -> DataFrame:
@@ -34,7 +35,7 @@ def preset_split(df: DataFrame, chrom="chrom", test=("1", "3", "5", "7", "9")) -
 
 
 def balanced_split(df: DataFrame, key: str, train_share=0.8) -> DataFrame:
-    """Keys from the largest on go to train until those before reach the share; the table has a row a key (chromosomes)."""
+    """L4: keys from the largest on go to train until those before reach the share; the table has a row a key (chromosomes)."""
     n = df.groupBy(key).agg(F.count("*").alias("n"))
     w = Window.orderBy(F.desc("n"), key)  # a row a key: few rows
     before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
@@ -42,6 +43,14 @@ def balanced_split(df: DataFrame, key: str, train_share=0.8) -> DataFrame:
     return n.select(key, "n", F.when(before < total * train_share, "train").otherwise("test").alias("split"))
 
 
+def length_split(df: DataFrame, key: str, length: str, test_share=0.2, seed=42) -> DataFrame:
+    """Keys in the order of their hash go to test until those before reach the share of all lengths; the table has a row a key (chromosomes)."""
+    w = Window.orderBy(key_hash(key, 1 << 31, seed), key)  # a row a key: few rows
+    before = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length)
+    total = F.sum(length).over(Window.partitionBy())
+    return df.withColumn("split", F.when(before < total * test_share, "test").otherwise("train"))
+
+
 def holdout(df: DataFrame, key: str, by: str, share: float, seed=42) -> DataFrame:
     """In each group the max(1, floor(n * share)) rows of least hash are val."""
     w = Window.partitionBy(by)
@@ -76,7 +85,7 @@ def tiers(df: DataFrame, score: str, by: list[str], position: str, key: str, thr
 
 
 def least_hashes(df: DataFrame, by: list[str], key: str, n: Column, seed=42, bits: int = 15) -> DataFrame:
-    """The n rows of least hash of each group (of all, if `by` is empty), ties by key.
+    """The n rows of least hash of each group (of all, if `by` is empty), ties by key. n may depend on the group's columns, as _by0 on.
 
     Rows are counted by ranges of 2**bits hashes first (at most 2**(31 - bits) ranges a group). Ranges under the one that holds the cut are
     kept whole, and only the rows of that one are ranked, so no task sees a group.
@@ -108,12 +117,19 @@ def balance(df: DataFrame, label: str, key: str, seed=42) -> DataFrame:
     return least_hashes(df, [label], key, F.lit(n or 0), seed)
 
 
+def drawn_positions(genes: DataFrame, per: int, start="start", end="end", margin=100, shortest=400, seed=42) -> DataFrame:
+    """Positions inside genes in proportion to length: one draw for each `per` bases of a gene longer than `shortest`, by hash, off the outer `margin`."""
+    size = F.col(end) - F.col(start)
+    draws = genes.where(size > shortest).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(size / per).cast("int") - 1))))
+    hashed = key_hash(F.col(start) + F.col("_draw"), size - 2 * margin, seed)
+    return draws.where(F.col("_draw") < F.floor(size / per)).withColumn("position", F.col(start) + margin + hashed).drop("_draw").distinct()
+
+
 def stratified_negatives(candidates: DataFrame, real: DataFrame, on: list[str], kind: str, key: str, quota: dict[str, int], seed=42) -> DataFrame:
-    """Candidates that aren't real, the quota of each kind by least hash."""
-    left = candidates.join(real, on, "left_anti")
-    w = Window.partitionBy(kind).orderBy(key_hash(key, 1 << 31, seed), key)
-    most = F.element_at(F.create_map(*(F.lit(x) for k, v in quota.items() for x in (k, v))), F.col(kind))
-    return left.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= F.coalesce(most, F.lit(0))).drop("_k")
+    """Candidates that aren't real, the quota of each kind by least hash; only the range of hashes that holds a kind's cut is ranked."""
+    left = candidates.join(real, on, "left_anti").where(F.col(kind).isin(list(quota)))
+    most = F.element_at(F.create_map(*(F.lit(x) for k, v in quota.items() for x in (k, v))), F.col("_by0"))
+    return least_hashes(left, [kind], key, most, seed)
 
 
 def leaking(df: DataFrame, features: list[str], label: str, threshold=0.95) -> DataFrame:

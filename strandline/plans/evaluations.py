@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluation, labels, verify
+from ..operators import compare, evaluation, labels, verify
 from .registry import query
 from .tables import JUDGED, SCORED, judged, scored, table
 
@@ -107,6 +107,73 @@ def threshold_sweep(spark, sf_dir):
 BINS = f"{JUDGED}, b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, avg(score) AS mean_score, avg(quality) AS observed FROM judged GROUP BY 1)"
 
 
+@query("sampled_class_ap", f"""WITH {SCORED}, y AS (SELECT *, least(event_id % 20, 2) AS y FROM scored), kept AS (SELECT * FROM y WHERE y < 2 OR ((event_id % 1000003 + 42) * 2654435761) % 4294967296 % 100000 < 10000),
+l AS (SELECT 0 AS class_index, donor AS p, CAST(y = 0 AS INTEGER) AS label FROM kept UNION ALL SELECT 1, acceptor, CAST(y = 1 AS INTEGER) FROM kept UNION ALL SELECT 2, neither, CAST(y = 2 AS INTEGER) FROM kept),
+g AS (SELECT class_index, p, sum(label) AS pos, count(*) AS n FROM l GROUP BY 1, 2), c AS (SELECT class_index, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS upto, sum(pos) OVER (PARTITION BY class_index) AS p_all FROM g WINDOW w AS (PARTITION BY class_index ORDER BY p DESC))
+SELECT class_index, round(sum(tp / upto * pos / p_all), 7) AS average_precision FROM c GROUP BY class_index""")
+def sampled_class_ap(spark, sf_dir):
+    """E8."""
+    df = scored(spark, sf_dir).withColumn("y", F.least(F.col("event_id") % 20, F.lit(2)))
+    return evaluation.sampled_average_precision(df, "y", ["donor", "acceptor", "neither"], "event_id", 0.1).select("class_index", F.round("average_precision", 7).alias("average_precision"))
+
+
+#: ROC-AUC of l(k, label, p) by k.
+AREAS = """g AS (SELECT k, p, sum(label) AS pos, count(*) - sum(label) AS neg FROM l GROUP BY k, p),
+a AS (SELECT k, pos, neg, sum(pos) OVER w AS tp, sum(pos) OVER w + sum(neg) OVER w AS upto, sum(pos) OVER (PARTITION BY k) AS p_all, sum(neg) OVER (PARTITION BY k) AS n_all FROM g WINDOW w AS (PARTITION BY k ORDER BY p DESC)),
+area AS (SELECT k, round(sum(neg * (tp - pos / 2) / (p_all * n_all)), 7) AS roc_auc, round(sum(tp / upto * pos / p_all), 7) AS average_precision FROM a GROUP BY k)"""
+
+
+@query("score_report", f"""WITH {JUDGED}, l AS (SELECT 'score' AS k, quality AS label, score AS p FROM judged UNION ALL SELECT 'base', quality, (doc_id * 31 % 1000) / 1000.0::DOUBLE FROM judged), {AREAS}
+SELECT k AS scores, threshold, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative, round(avg(CAST(p >= threshold AS INTEGER)) FILTER (label = 1), 7) AS sensitivity,
+round(avg(CAST(p < threshold AS INTEGER)) FILTER (label = 0), 7) AS specificity, roc_auc, average_precision FROM l JOIN area USING (k), (SELECT unnest([0.1, 0.2, 0.5, 0.8]::DOUBLE[]) AS threshold) GROUP BY k, threshold, roc_auc, average_precision""")
+def score_report(spark, sf_dir):
+    """E17."""
+    df = judged(spark, sf_dir).withColumn("base", F.col("doc_id") * 31 % 1000 / 1000.0)
+    got = evaluation.score_report(df, "quality", ["score", "base"])
+    return got.select("scores", "threshold", "n_positive", "n_negative", *(F.round(c, 7).alias(c) for c in ("sensitivity", "specificity", "roc_auc", "average_precision")))
+
+
+CHANNELS = {"first": 31, "second": 137}
+
+
+def channels(spark, sf_dir):
+    return judged(spark, sf_dir).withColumns({c: F.col("doc_id") * m % 1000 / 1000.0 + 0.1 * F.col("quality") for c, m in CHANNELS.items()})
+
+
+@query("rescue_signal", f"""WITH {JUDGED}, c AS (SELECT quality, score, unnest(['first', 'second']) AS channel, unnest([doc_id * 31 % 1000, doc_id * 137 % 1000]) / 1000.0::DOUBLE + 0.1::DOUBLE * quality AS p FROM judged),
+l AS (SELECT channel || '|all' AS k, quality AS label, p FROM c UNION ALL SELECT channel || '|uncertain', quality, p FROM c WHERE quality = 0 OR score < 0.3), {AREAS}
+SELECT channel, (SELECT count(*) FROM judged WHERE quality = 1 AND score < 0.3) AS n_uncertain, (SELECT roc_auc FROM area WHERE k = channel || '|uncertain') AS roc_auc_uncertain, (SELECT roc_auc FROM area WHERE k = channel || '|all') AS roc_auc_all
+FROM (SELECT unnest(['first', 'second']) AS channel)""")
+def rescue_signal(spark, sf_dir):
+    """L11."""
+    got = compare.rescue(channels(spark, sf_dir), "quality", "score", list(CHANNELS), 0.3)
+    return got.select("channel", "n_uncertain", F.round("roc_auc_uncertain", 7).alias("roc_auc_uncertain"), F.round("roc_auc_all", 7).alias("roc_auc_all"))
+
+
+@query("incremental_auc")
+def incremental_auc(spark, sf_dir):
+    """A fitted model, so without SQL; tests/test_reports.py holds it against closed cases."""
+    return compare.incremental_auc(channels(spark, sf_dir), "quality", ["score"], {c: [c] for c in CHANNELS}, "doc_id")
+
+
+@query("length_split", """WITH n AS (SELECT c_nationkey, count(*) AS length FROM customer GROUP BY 1), h AS (SELECT *, ((c_nationkey % 1000003 + 42) * 2654435761) % 4294967296 % 2147483648 AS h FROM n),
+b AS (SELECT *, sum(length) OVER (ORDER BY h, c_nationkey) - length AS before, sum(length) OVER () AS total FROM h) SELECT c_nationkey, length, CASE WHEN before < total * 0.2::DOUBLE THEN 'test' ELSE 'train' END AS split FROM b""")
+def length_split(spark, sf_dir):
+    """L9."""
+    return labels.length_split(table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("length")), "c_nationkey", "length")
+
+
+@query("length_weighted_negatives", """WITH g AS (SELECT p_partkey, p_partkey * 1000 AS start, p_size * 20 AS size FROM part WHERE p_size * 20 > 400), d AS (SELECT start, size, unnest(range(0, size // 50)) AS k FROM g),
+c AS (SELECT DISTINCT start + 100 + ((start + k) % 1000003 + 42) * 2654435761 % 4294967296 % (size - 200) AS position FROM d), n AS (SELECT position, CASE WHEN position % 4 = 0 THEN 'hard' ELSE 'easy' END AS kind FROM c WHERE position NOT IN (SELECT l_suppkey * 1000 + 150 FROM lineitem)),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY (position % 1000003 + 42) * 2654435761 % 4294967296 % 2147483648, position) AS k FROM n) SELECT position, kind FROM r WHERE k <= CASE kind WHEN 'hard' THEN 40 ELSE 60 END""")
+def length_weighted_negatives(spark, sf_dir):
+    """O10; parts are genes of 20 bases a size."""
+    genes = table(spark, sf_dir, "part").select((F.col("p_partkey") * 1000).alias("start"), (F.col("p_partkey") * 1000 + F.col("p_size") * 20).alias("end"))
+    drawn = labels.drawn_positions(genes, 50).select("position", F.when(F.col("position") % 4 == 0, "hard").otherwise("easy").alias("kind"))
+    real = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 1000 + 150).alias("position"))
+    return labels.stratified_negatives(drawn, real, ["position"], "kind", "position", {"hard": 40, "easy": 60}).select("position", "kind")
+
+
 @query("calibration_bins", f"WITH {BINS} SELECT CAST(bin AS INTEGER) AS bin, n, round(mean_score, 7) AS mean_score, round(observed, 7) AS observed FROM b")
 def calibration_bins(spark, sf_dir):
     return evaluation.calibration_bins(judged(spark, sf_dir), "quality", "score").select("bin", "n", F.round("mean_score", 7).alias("mean_score"), F.round("observed", 7).alias("observed"))

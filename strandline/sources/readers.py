@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -199,6 +200,23 @@ def metric_runs(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/metrics\.json$", 1))
 
 
+def prediction_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of a folder: Parquet files by chromosome if there are any, else predictions.tsv, else the chunks (TSV)."""
+    for pattern in ("predictions_{chr*,[^c]*}.parquet", "predictions.tsv", "predictions_chunk_*.tsv"):
+        try:
+            path = f"{folder.rstrip('/')}/{pattern}"
+            return standardise(spark.read.parquet(path) if pattern.endswith("parquet") else delimited(spark, path, sep="\t"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(f"no predictions in {folder}")
+
+
+def sample_tissues(spark: SparkSession, path: str, sample="SAMPID", tissue="SMTSD") -> DataFrame:
+    """(sample, tissue) of a metadata table, without samples that have no tissue."""
+    return delimited(spark, path, sep="\t").select(F.col(sample).alias("sample"), F.col(tissue).alias("tissue")).where("tissue IS NOT NULL").distinct()
+
+
 def union_files(*frames: DataFrame) -> DataFrame:
-    """S2, U1."""
+    """Files of one schema, in any order of columns."""
     return reduce(DataFrame.unionByName, frames)
