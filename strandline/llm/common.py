@@ -103,7 +103,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 64)
 
     edges: (src, dst) of a type that has an order, any direction, repeats and loops allowed, no nulls. Alternating large-star and
     small-star steps; each round is a written table, so the lineage stays short and no vertex's neighbours are ever
-    gathered in one place (minima are aggregated, then joined back; adaptive skew joins split the hubs).
+    gathered in one place: minima are aggregated, written, and joined back. A join with a table that was just aggregated keeps that table's
+    partitions, and adaptive execution can't split a hub there; with a written one it can (or Spark broadcasts it, under its own size bound).
     """
     pair = lambda df: df.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
 
@@ -116,7 +117,7 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 64)
         if not seen[0]:
             break
         both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        least = written(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), f"{name}-least")
         large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         least = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
