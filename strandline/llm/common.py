@@ -98,6 +98,12 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def ascii_lower(text):
+    """A-Z lower-cased and nothing else: lower() does that to a text of ASCII, translate(), slower, to others."""
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, capitals, capitals.lower()))
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 64) -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 

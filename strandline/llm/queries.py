@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, neargraph, packing, quality, simhash, tokenfile, warc
+from . import ann, chat, langid, lines, mixing, neargraph, packing, quality, simhash, tokenfile, warc
 from .common import written
 
 
@@ -98,6 +98,24 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neargraph.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines and the digest of those that stay (operator 11). Null or empty text: one empty line, which stays; null doc_id: one document, the last in order; repeated rows: one document, alike; empty table: no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, n_lines="n_lines", n_dropped="n_dropped").select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS p FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+b AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2),
+m AS (SELECT k.*, b.key IS NOT NULL AND k.doc_id IS DISTINCT FROM b.first AS gone FROM k LEFT JOIN b ON k.key = b.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_files": op2_token_files,
@@ -109,8 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
-ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op11_line_dedup": OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
