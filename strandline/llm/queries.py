@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, lines, mixing, neargraph, packing, quality, simhash, tokenfile, warc
+from . import ann, chat, importance, langid, lines, mixing, neargraph, packing, quality, simhash, tokenfile, warc
 from .common import written
 
 
@@ -116,6 +116,35 @@ FROM m GROUP BY r
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score against the benchmark's words, and its rank in the draw (operator 12). Null, empty or wordless text: no features, weight 0, not drawn; null doc_id: hashed as empty, last among ties; repeated rows: ranked one by one; empty table: no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.ranked(importance.scored(docs, table(spark, sf_dir, "benchmark").select("text")))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 is a fold over a word's bytes with a table of 256 that the recursion makes from its polynomial.
+OP12_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS step FROM bits WHERE k = 8),
+texts AS (SELECT 0 AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark),
+split AS (SELECT side, r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM texts),
+used AS (SELECT side, r, unnest(words) AS w FROM split),
+hexed AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM used)),
+hashed AS (SELECT w, xor(4294967295, list_reduce(list_transform(range(0, len(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS BIGINT) + 1, 2) AS BIGINT)), lambda c, b: xor(step[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) % 10000 AS bucket FROM hexed, crc),
+featured AS (SELECT side, r, bucket FROM used JOIN hashed USING (w)),
+counted AS (SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM featured GROUP BY bucket),
+whole AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) AS DOUBLE) AS t_all FROM counted),
+gained AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM counted, whole),
+weighed AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM featured JOIN gained USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM split LEFT JOIN weighed USING (r) WHERE side = 0),
+drawn AS (SELECT *, n_features >= 20 AS may, count(*) FILTER (n_features >= 20) OVER () AS n, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND k <= 10 * n // 100 THEN k END AS rank FROM drawn
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_files": op2_token_files,
@@ -128,8 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
 }
-ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op11_line_dedup": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op11_line_dedup": OP11_SQL, "op12_importance_resampling": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
