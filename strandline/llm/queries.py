@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, importance, langid, lines, mixing, neargraph, packing, quality, simhash, tokenfile, warc
+from . import ann, chat, importance, langid, lines, mixing, neargraph, packing, phrases, quality, simhash, tokenfile, warc
 from .common import written
 
 
@@ -145,6 +145,29 @@ SELECT doc_id, n_features, weight, score, CASE WHEN may AND k <= 10 * n // 100 T
 """
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases (operator 13). Null or empty text: no words; null lang: und; null doc_id and repeated rows: count as often as they occur; empty table: no rows."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS id, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND f >= 30),
+inner_runs AS (SELECT lang, a, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, a, w, size, k, unnest(range(1, size - k + 2)) AS i FROM c, (VALUES (2), (3)) s(k) WHERE k < size)),
+covered AS (SELECT lang, phrase, max(a) AS longer FROM inner_runs GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN covered USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, size), ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (SELECT t.lang, t.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score FROM cuts t JOIN f l ON l.lang = t.lang AND l.phrase = x JOIN f r ON r.lang = t.lang AND r.phrase = y),
+least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_files": op2_token_files,
@@ -158,8 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_line_dedup": op11_line_dedup,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
-ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op11_line_dedup": OP11_SQL, "op12_importance_resampling": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_warc_archive": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op11_line_dedup": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
