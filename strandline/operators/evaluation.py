@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .intervals import best_in_window, with_offsets
 from .labels import key_hash
-from .windows import running_totals, top_k
+from .scans import top_k
+from .windows import running_totals
 
 
 def classify_sites(truth: DataFrame, scores: DataFrame, on: list[str], threshold=0.5, width=2, position="position", score="score") -> DataFrame:

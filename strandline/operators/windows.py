@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import ranges, scan
+
 
 def context_scores(df: DataFrame, score: str, width: int = 2, by=("gene_id",), order=("position",)) -> DataFrame:
     """The score of the `width` rows before (m1...) and after (p1...), 0 beyond the gene. A neighbour is the adjacent row."""
@@ -63,19 +65,17 @@ def gradient_norm(df: DataFrame, vector: str, by=("gene_id",), order=("position"
     return got.withColumn("local_gradient", F.sqrt(off)).drop("_a", "_b")
 
 
-def top_k(df: DataFrame, score: str, k: Column, by: list[str], tiebreak: list[str]) -> DataFrame:
-    """The k best rows of each group, ties by the tiebreak ascending. k may differ from group to group."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score), *tiebreak)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def merge_intervals(df: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
-    """Closed intervals that touch or overlap as one; the number merged."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
-    island = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("_island")
+    """Closed intervals that touch or overlap as one; the number merged. Rows without a start or an end go; a null key is a key.
+
+    Equal intervals are one row first; then a running maximum of the ends says where an island begins, and a running sum numbers the islands.
+    """
+    one = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*by, start, end).agg(F.count("*").alias("_n"))
+    at = ranges(one, [start, end])
+    got = scan(one, by, [start, end], at, _before=("max_before", end))
+    new = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before")), 1).otherwise(0)
+    island = scan(got.withColumn("_new", new), by, [start, end], at, _island=("sum", "_new"))
+    return island.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n_merged")).drop("_island")
 
 
 def roll(df: DataFrame, value: str, shift: int, by: list[str], order: list[str], edge=0.0) -> DataFrame:
@@ -85,9 +85,8 @@ def roll(df: DataFrame, value: str, shift: int, by: list[str], order: list[str],
 
 
 def chunk_numbers(df: DataFrame, size: int, by: list[str], order: list[str]) -> DataFrame:
-    """Ordered rows in chunks of `size`, counted within each key so that no task takes all rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Ordered rows in chunks of `size`, counted within each key by ranges of the order, so that no task takes all rows of a key."""
+    return scan(df, by, order, _place=("sum", F.lit(1))).withColumn("chunk", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
 
 
 def exon_numbers(exons: DataFrame, transcript="transcript_id", start="start", strand="strand") -> DataFrame:
@@ -97,12 +96,10 @@ def exon_numbers(exons: DataFrame, transcript="transcript_id", start="start", st
 
 
 def nearest_flagged(df: DataFrame, flag: str, position: str, by: list[str], order: list[str]) -> DataFrame:
-    """Distance to the nearest flagged row of the group, itself included; null where there is none."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Distance to the nearest flagged row of the group, itself included; null where there is none. `order` must rise with the position."""
     at = F.when(F.col(flag), F.col(position))
-    before = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("nearest_distance", F.least(F.col(position) - before, after - F.col(position)))
+    got = scan(df, by, order, _before=("last", at), _after=("next", at))
+    return got.withColumn("nearest_distance", F.least(F.col(position) - F.col("_before"), F.col("_after") - F.col(position))).drop("_before", "_after")
 
 
 def running_totals(df: DataFrame, order: str, values: list[str], by: list[str] = (), descending: bool = False, parts: int = 64) -> DataFrame:

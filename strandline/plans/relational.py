@@ -94,7 +94,16 @@ p AS (SELECT a.strand, a.transcript_id, b.transcript_id AS other, row_number() O
 SELECT s.transcript_id, coalesce(count(other), 0) AS n_overlaps, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY k) FILTER (k <= 10), '') AS overlaps FROM s LEFT JOIN p USING (transcript_id) GROUP BY s.transcript_id""")
 def overlapping_spans(spark, sf_dir):
     s = exons(spark, sf_dir).groupBy("transcript_id", "strand").agg(F.min("start").alias("start"), (F.min("start") + 20).alias("end"))
-    return intervals.overlap_summary(s, ["strand"], "transcript_id", width=32).select("transcript_id", "n_overlaps", "overlaps")
+    return intervals.overlap_summary(s, ["strand"], "transcript_id").select("transcript_id", "n_overlaps", "overlaps")
+
+
+@query("overlapping_whole_spans", f"""WITH {EXONS}, s AS (SELECT transcript_id, strand, min(start) AS start, max("end") AS "end" FROM exons GROUP BY 1, 2),
+p AS (SELECT a.transcript_id, b.transcript_id AS other, row_number() OVER (PARTITION BY a.transcript_id ORDER BY b.start, b.transcript_id) AS k FROM s a JOIN s b ON a.strand = b.strand AND a.start <= b."end" AND b.start <= a."end" AND a.transcript_id <> b.transcript_id)
+SELECT s.transcript_id, coalesce(count(other), 0) AS n_overlaps, coalesce(string_agg(CAST(other AS VARCHAR), ',' ORDER BY k) FILTER (k <= 10), '') AS overlaps FROM s LEFT JOIN p USING (transcript_id) GROUP BY s.transcript_id""")
+def overlapping_whole_spans(spark, sf_dir):
+    """J8 on whole spans, nearly all of which overlap: counts by ranks, no pairs."""
+    s = exons(spark, sf_dir).groupBy("transcript_id", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return intervals.overlap_summary(s, ["strand"], "transcript_id").select("transcript_id", "n_overlaps", "overlaps")
 
 
 @query("merged_intervals", f"""WITH {EXONS}, a AS (SELECT biotype, strand, start, "end", max("end") OVER (PARTITION BY biotype, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM exons),

@@ -90,6 +90,15 @@ def site_calls(spark, sf_dir):
     return variants.call_sites(scored(spark, sf_dir), threshold=0.4).groupBy("user_id", "call").agg(F.count("*").alias("n"))
 
 
+@query("nearest_site", f"""WITH {SCORED}, b AS (SELECT DISTINCT user_id, position AS mark FROM scored WHERE event_type = 'error' AND event_id % 4 = 1) SELECT s.event_id, first(mark - s.position ORDER BY abs(mark - s.position), mark) AS mark_distance
+FROM (SELECT event_id, user_id, position FROM scored) s LEFT JOIN b ON b.user_id = s.user_id GROUP BY s.event_id""")
+def nearest_site(spark, sf_dir):
+    """At any distance; some users have one mark or none."""
+    s = scored(spark, sf_dir)
+    marks = s.where("event_type = 'error' AND event_id % 4 = 1").select("user_id", F.col("position").alias("mark"))
+    return intervals.nearest_at_any_distance(s.select("event_id", "user_id", "position"), marks, ["user_id"]).select("event_id", "mark_distance")
+
+
 @query("nearest_boundary", f"""WITH {SCORED}, b AS (SELECT DISTINCT user_id, position AS mark FROM scored WHERE event_type = 'error') SELECT s.event_id, first(mark - s.position ORDER BY abs(mark - s.position), mark) AS mark_distance
 FROM (SELECT event_id, user_id, position FROM scored) s LEFT JOIN b ON b.user_id = s.user_id AND abs(mark - s.position) <= 1000 GROUP BY s.event_id""")
 def nearest_boundary(spark, sf_dir):

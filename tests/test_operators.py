@@ -82,7 +82,7 @@ def test_interval_ends(spark):
 
 def test_overlaps_meet_once(spark):
     df = spark.createDataFrame([("c", i, 5 * i, 5 * i + 100) for i in range(30)], "chrom string, id bigint, start bigint, end bigint")
-    got = {r.id: (r.n_overlaps, r.overlaps) for r in intervals.overlap_summary(df, ["chrom"], "id", width=8).collect()}
+    got = {r.id: (r.n_overlaps, r.overlaps) for r in intervals.overlap_summary(df, ["chrom"], "id").collect()}
     for i in range(30):
         near = [j for j in range(30) if j != i and abs(i - j) <= 20]
         assert got[i] == (len(near), ",".join(map(str, near[:10])))
