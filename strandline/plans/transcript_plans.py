@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, transcripts
+from ..operators import compare, sequences, transcripts
 from .registry import query
 from .tables import EXONS, JUDGED, SCORED, exons, judged, scored, table
 
@@ -126,3 +126,70 @@ def random_common_keys(spark, sf_dir):
 def similar_families(spark, sf_dir):
     """Pairs of sequences that share a fifth of their 3-letter words or more."""
     return transcripts.similar_sequences(table(spark, sf_dir, "benchmark"), "item_id", "text", 3, 0.8)
+
+
+def contigs(spark, sf_dir):
+    """documents as contigs of A, C, G, T and N, named chr and the id."""
+    bases = F.regexp_replace(F.translate(F.lower("text"), "eorisul", "ACGTACG"), "[^ACGT]", "N")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("chr"), F.col("doc_id")).alias("contig"), bases.alias("bases"))
+
+
+CONTIGS = "contigs AS (SELECT doc_id, regexp_replace(translate(lower(text), 'eorisul', 'ACGTACG'), '[^ACGT]', 'N', 'g') AS bases, length(text) AS n FROM documents WHERE text IS NOT NULL)"
+
+
+@query("fetched_spans", f"""WITH {CONTIGS}, s AS (SELECT doc_id, k, bases, CASE k WHEN 0 THEN -9 WHEN 1 THEN n // 3 WHEN 2 THEN n - 30 ELSE n + 5 END AS start, CASE k WHEN 0 THEN 40 WHEN 1 THEN n // 3 + 800 WHEN 2 THEN n + 100 ELSE n + 9 END AS stop FROM contigs, range(4) r(k)),
+f AS (SELECT doc_id, k, CASE WHEN stop < 1 OR stop < start THEN '' ELSE substr(bases, greatest(start, 1), stop - greatest(start, 1) + 1) END AS q FROM s)
+SELECT doc_id, CAST(k AS INTEGER) AS k, length(q) AS n_bases, CASE WHEN (doc_id + k) % 2 = 0 THEN reverse(translate(q, 'ACGTN', 'TGCAN')) ELSE q END AS bases FROM f""")
+def fetched_spans(spark, sf_dir):
+    """Spans off both ends, over several blocks and beyond the end, from blocks of 256 bases; names with and without chr."""
+    c = contigs(spark, sf_dir)
+    n = F.length("bases")
+    ends = [(F.lit(-9), F.lit(40)), (F.floor(n / 3), F.floor(n / 3) + 800), (n - 30, n + 100), (n + 5, n + 9)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end")) for k, (a, b) in enumerate(ends))))
+    spans = c.select("doc_id", "contig", each.alias("s")).select("doc_id", "contig", "s.*")
+    spans = spans.select("doc_id", "k", "start", "end", F.when(F.col("k") % 2 == 0, F.col("contig")).otherwise(F.col("doc_id").cast("string")).alias("chrom"), F.when((F.col("doc_id") + F.col("k")) % 2 == 0, "-").otherwise("+").alias("strand"))
+    got = sequences.fetch(spans, sequences.blocks(c, "contig", "bases", 256), strand="strand", size=256)
+    return got.select("doc_id", "k", F.length("sequence").cast("bigint").alias("n_bases"), F.col("sequence").alias("bases"))
+
+
+def labelled(exons: str, checked: str) -> str:
+    """SQL of genes with labels: of the exons and introns that two conditions let through."""
+    return f"""WITH {CONTIGS}, g AS (SELECT doc_id, 31 AS gene_start, n - 20 AS stop, CASE WHEN doc_id % 2 = 0 THEN '-' ELSE '+' END AS strand, substr(bases, 31, n - 50) AS q FROM contigs WHERE n >= 60),
+o AS (SELECT *, CASE WHEN strand = '-' THEN reverse(translate(q, 'ACGTN', 'TGCAN')) ELSE q END AS s FROM g),
+x AS (SELECT doc_id, t, 31 + (t + 1) * 60 * i AS start, 31 + (t + 1) * 60 * i + (doc_id + i) % 40 AS stop FROM (SELECT doc_id, stop AS gene_stop, t, unnest(range(0, stop // ((t + 1) * 60) + 1)) AS i FROM g, (VALUES (0), (1)) v(t)) WHERE start <= gene_stop - 40),
+p AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY max(stop) - min(start) DESC, min(start), t) AS k FROM x GROUP BY doc_id, t),
+n AS (SELECT doc_id, t, stop, lead(start) OVER (PARTITION BY doc_id, t ORDER BY start) AS nxt, min(start) OVER (PARTITION BY doc_id, t) AS first, row_number() OVER (PARTITION BY doc_id, t ORDER BY start) AS nth FROM x JOIN p USING (doc_id, t) WHERE {exons}),
+d AS (SELECT n.*, s, CASE WHEN strand = '-' THEN length(s) - (nxt - gene_start) - 1 ELSE n.stop - gene_start END AS donor, CASE WHEN strand = '-' THEN length(s) - (n.stop - gene_start) - 1 ELSE nxt - gene_start END AS acceptor FROM n JOIN o USING (doc_id) WHERE nxt IS NOT NULL),
+i AS (SELECT * FROM d WHERE {checked}),
+l AS (SELECT doc_id, offset_, label, row_number() OVER (PARTITION BY doc_id, offset_ ORDER BY first DESC, t DESC, nth DESC, label) AS k FROM (SELECT doc_id, first, t, nth, donor AS offset_, 2 AS label FROM i UNION ALL SELECT doc_id, first, t, nth, acceptor, 1 FROM i)),
+c AS (SELECT o.doc_id, s, string_agg(CAST(coalesce(label, 0) AS VARCHAR), '' ORDER BY b) AS labels, CAST(coalesce(sum(CASE label WHEN 2 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_donors, CAST(coalesce(sum(CASE label WHEN 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_acceptors
+  FROM (SELECT doc_id, s, unnest(range(length(s))) AS b FROM o) o LEFT JOIN l ON l.doc_id = o.doc_id AND l.offset_ = b AND l.k = 1 GROUP BY o.doc_id, s)
+SELECT doc_id, length(s) AS n_bases, md5(s) AS bases_md5, md5(labels) AS labels_md5, n_donors, n_acceptors FROM c"""
+
+
+def genes_and_exons(spark, sf_dir):
+    """A gene a contig, with two transcripts of exons every 60 and 120 bases."""
+    c = contigs(spark, sf_dir).where(F.length("bases") >= 60)
+    genes = c.select("doc_id", F.col("contig").alias("chrom"), F.lit(31).cast("bigint").alias("start"), (F.length("bases") - 20).cast("bigint").alias("end"), F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+").alias("strand"))
+    step = (F.col("transcript_id") + 1) * 60
+    each = genes.select("doc_id", F.col("end").alias("_stop"), F.explode(F.array(F.lit(0), F.lit(1))).alias("transcript_id"))
+    each = each.select("doc_id", "_stop", "transcript_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_stop") / step))).alias("_i"))
+    exon = each.select("doc_id", "transcript_id", "_stop", (31 + step * F.col("_i")).alias("start"), (31 + step * F.col("_i") + (F.col("doc_id") + F.col("_i")) % 40).alias("end"))
+    return genes, exon.where(F.col("start") <= F.col("_stop") - 40).drop("_stop"), sequences.blocks(c, "contig", "bases", 1024)
+
+
+def label_digests(df):
+    count = lambda of: F.length(F.regexp_replace("labels", f"[^{of}]", "")).cast("bigint")
+    return df.select("doc_id", F.length("sequence").cast("bigint").alias("n_bases"), F.md5("sequence").alias("bases_md5"), F.md5("labels").alias("labels_md5"), count(2).alias("n_donors"), count(1).alias("n_acceptors"))
+
+
+@query("gene_base_labels", labelled("k = 1", "true"))
+def gene_base_labels(spark, sf_dir):
+    """The canonical transcript's sites, motifs unchecked."""
+    return label_digests(sequences.genes_with_labels(*genes_and_exons(spark, sf_dir), checked=False, gene="doc_id", size=1024))
+
+
+@query("gene_base_labels_checked", labelled("true", "acceptor >= 2 AND (substr(s, donor + 2, 2), substr(s, acceptor - 1, 2)) IN (('GT', 'AG'), ('GC', 'AG'), ('AT', 'AC'))"))
+def gene_base_labels_checked(spark, sf_dir):
+    """All transcripts' sites whose introns begin and end with known motifs."""
+    return label_digests(sequences.genes_with_labels(*genes_and_exons(spark, sf_dir), canonical=False, gene="doc_id", size=1024))

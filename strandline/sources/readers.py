@@ -126,7 +126,7 @@ def narrow_peaks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
-    """(chrom, block_start, sequence) in blocks of `block` upper-case bases.
+    """(chrom, block_start, sequence) in blocks of `block` upper-case bases. A contig's name stands once in all files; a second one raises an error, as its blocks could not be told apart.
 
     Files are read as lines in Spark's splits, so a genome is as many tasks as it has splits, of any size. A line's place is its split and its number
     there; what a split's leading lines continue (contig and bases so far) comes from the splits before it, of which there is a row each.
@@ -152,8 +152,12 @@ def fasta(spark: SparkSession, path: str, block: int = 1 << 16) -> DataFrame:
     start = F.greatest(F.lit(0), F.col("k") * block - F.col("at")).cast("int")
     end = F.least(F.length("bases"), (F.col("k") + 1) * block - F.col("at")).cast("int")
     piece = F.struct(F.greatest("at", F.col("k") * block).alias("at"), F.col("bases").substr(start + 1, end - start).alias("bases"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["bases"]), "")
-    return cut.groupBy("chrom", "k").agg(whole.alias("sequence")).select("chrom", (F.col("k") * block + 1).alias("block_start"), "sequence")
+    got = cut.select("chrom", "k", piece.alias("piece")).groupBy("chrom", "k").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    x = F.col("pieces")
+    size = F.aggregate(x, F.lit(0).cast("bigint"), lambda n, y: n + F.length(y["bases"]))
+    once = size == F.element_at(x, -1)["at"] + F.length(F.element_at(x, -1)["bases"]) - F.element_at(x, 1)["at"]  # the bases of a second contig would lie over the first's
+    whole = F.when(once, F.array_join(F.transform(x, lambda y: y["bases"]), "")).otherwise(F.raise_error(F.concat(F.lit("two contigs have the name "), "chrom")))
+    return got.select("chrom", (F.col("k") * block + 1).alias("block_start"), whole.alias("sequence"))
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
