@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import compare, evaluation, labels, verify
+from ..streaming import metrics
 from .registry import query
-from .tables import JUDGED, SCORED, judged, scored, table
+from .tables import JUDGED, SCORED, judged, scored, scored_events, table
 
 SITES = f"""{SCORED}, pos AS (SELECT user_id, position, max(donor) AS score, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS truth FROM scored GROUP BY 1, 2),
 t AS (SELECT DISTINCT user_id, position FROM pos WHERE truth = 1)"""
@@ -190,12 +191,35 @@ def brier(spark, sf_dir):
     return evaluation.brier(judged(spark, sf_dir), "quality", "score").select(*(F.round(c, 8).alias(c) for c in ("brier", "calibration", "refinement", "uncertainty")))
 
 
-@query("confusion_by_class", f"""WITH {SCORED}, k AS (SELECT CAST(event_id % 3 AS INTEGER) AS y, CASE greatest(donor, acceptor, neither) WHEN donor THEN 0 WHEN acceptor THEN 1 ELSE 2 END AS z FROM scored), c AS (SELECT unnest([0, 1, 2]) AS class_index)
-SELECT class_index, count(*) FILTER (y = class_index) AS n_true, count(*) FILTER (y = class_index AND z = class_index) AS tp, count(*) FILTER (y <> class_index AND z = class_index) AS fp, count(*) FILTER (y = class_index AND z <> class_index) AS fn FROM k, c GROUP BY 1""")
+CONFUSION = f"""WITH {SCORED}, k AS (SELECT CAST(event_id % 3 AS INTEGER) AS y, CASE greatest(donor, acceptor, neither) WHEN donor THEN 0 WHEN acceptor THEN 1 ELSE 2 END AS z FROM scored), c AS (SELECT unnest([0, 1, 2]) AS class_index)
+SELECT class_index, count(*) FILTER (y = class_index) AS n_true, count(*) FILTER (y = class_index AND z = class_index) AS tp, count(*) FILTER (y <> class_index AND z = class_index) AS fp, count(*) FILTER (y = class_index AND z <> class_index) AS fn FROM k, c GROUP BY 1"""
+
+
+@query("confusion_by_class", CONFUSION)
 def confusion_by_class(spark, sf_dir):
     return evaluation.confusion_by_class(scored(spark, sf_dir).withColumn("y", F.col("event_id") % 3), "y", ["donor", "acceptor", "neither"])
 
 
+def streamed(spark, sf_dir):
+    """events read as a stream, counted as state (G1): the counters of each class."""
+    kind, folder = table(spark, sf_dir, "events").schema, metrics.shared_folder(spark, "class-counters")
+    stream = scored_events(spark.readStream.schema(kind).parquet(f"{sf_dir}/event[s].parquet")).withColumn("y", F.col("event_id") % 3)  # as a pattern, a file or a folder
+    metrics.accumulate(stream, f"{folder}/counters", f"{folder}/checkpoint", "y", ["donor", "acceptor", "neither"], "user_id", shards=8)
+    return metrics.totals(spark, f"{folder}/counters")
+
+
+@query("streamed_class_counters", CONFUSION)
+def streamed_class_counters(spark, sf_dir):
+    return streamed(spark, sf_dir).select("class_index", "n_true", "tp", "fp", "fn")
+
+
+@query("streamed_class_sweep", f"""WITH {SCORED}, k AS (SELECT event_id % 3 AS y, unnest([0, 1, 2]) AS c, unnest([donor, acceptor, neither]) AS p FROM scored), b AS (SELECT c, y = c AS hit, least(greatest(floor(p * 100), 0), 99) AS at_bin FROM k), t AS (SELECT unnest(range(100)) AS t),
+n AS (SELECT c AS class_index, t / 100 AS threshold, count(*) FILTER (hit AND at_bin >= t) AS tp, count(*) FILTER (NOT hit AND at_bin >= t) AS fp, count(*) FILTER (hit AND at_bin < t) AS fn FROM b, t GROUP BY c, t)
+SELECT CAST(class_index AS INTEGER) AS class_index, threshold, tp, fp, fn FROM n""")
+def streamed_class_sweep(spark, sf_dir):
+    return metrics.swept(streamed(spark, sf_dir)).select("class_index", "threshold", "tp", "fp", "fn")
+
+
 @query("offset_detection", f"""WITH {SITES}, c AS (SELECT user_id, position FROM pos WHERE score >= 0.4), o AS (SELECT unnest(range(-5, 6)) AS o), h AS (SELECT o, count(*) AS tp FROM t, o WHERE EXISTS (SELECT 1 FROM c WHERE c.user_id = t.user_id AND c.position = t.position + o) GROUP BY o),
 f AS (SELECT o, 2 * tp / ((SELECT count(*) FROM t) + (SELECT count(*) FROM c)) AS f1 FROM h), b AS (SELECT first(o ORDER BY f1 DESC, abs(o)) AS best, max(f1) AS best_f1, coalesce(max(f1) FILTER (o = 0), 0) AS base_f1 FROM f)
 SELECT CAST(CASE WHEN best_f1 > base_f1 THEN best ELSE 0 END AS INTEGER) AS "offset", round(best_f1, 8) AS best_f1, round(base_f1, 8) AS base_f1 FROM b""")

@@ -12,7 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as positions of a gene (user) with three class scores that sum to 1; position is whole minutes since 2020 or so."""
-    e = table(spark, sf_dir, "events")
+    return scored_events(table(spark, sf_dir, "events"))
+
+
+def scored_events(e: DataFrame) -> DataFrame:
     a = F.pmod(F.col("event_id") * 7919, F.lit(997)) / 997.0
     b = F.pmod(F.col("event_id") * 104729, F.lit(991)) / 991.0
     c = F.pmod(F.col("event_id") * 1299709, F.lit(983)) / 983.0 + 0.5
