@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, coords, scores, text
-from ..operators import relations, windows
+from ..operators import moments, relations, windows
+from ..streaming.metrics import shared_folder
 from .registry import query
 from .tables import EXONS, SCORED, exons, scored, table
 
@@ -160,6 +164,31 @@ def pca_projection(spark, sf_dir):
     return e.select("vec_id", *(F.round(arrays.project(F.col("embedding"), mean, a), 6).alias(f"pca_{i}") for i, a in enumerate(axes, 1)))
 
 
+@query("vector_moments", """WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings WHERE embedding IS NOT NULL),
+m AS (SELECT i, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY i), c AS (SELECT vec_id, e.i, CAST(x AS DOUBLE) - m AS x, m FROM e JOIN m ON e.i = m.i)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, count(*) AS n, round(any_value(a.m), 7) AS mean_i, round(any_value(b.m), 7) AS mean_j, round(avg(a.x * b.x), 7) AS covariance FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i""")
+def vector_moments(spark, sf_dir):
+    """The moments of four batches, added up."""
+    e = moments.usable(table(spark, sf_dir, "embeddings"), "embedding")
+    first = moments.batch_moments(e)
+    shift = (first.select("shift").first() or [[]])[0]
+    part = F.pmod(F.xxhash64("x"), F.lit(4))
+    several = [moments.batch_moments(e.where(part == k), shift) for k in range(4)]
+    df = moments.explained(moments.merged(reduce(DataFrame.unionByName, several)))
+    return df.select("i", "j", "n", *(F.round(c, 7).alias(c) for c in ("mean_i", "mean_j", "covariance")))
+
+
+@query("incremental_pca")
+def incremental_pca(spark, sf_dir):
+    """Loadings of two components, fitted batch by batch into a folder."""
+    e, folder = table(spark, sf_dir, "embeddings"), shared_folder(spark, "moments")
+    for k in range(3):
+        moments.partial_fit(e.where(F.pmod(F.xxhash64("vec_id"), F.lit(3)) == k), folder, str(k))
+    mean, axes, variances = moments.components(moments.merged(moments.held_moments(spark, folder)), 2)
+    rows = [(c, i, x, variances[c]) for c, axis in enumerate(axes) for i, x in enumerate(axis)]
+    return spark.createDataFrame(rows, "component int, i int, loading double, variance double").select("component", "i", F.round("loading", 6).alias("loading"), F.round("variance", 6).alias("variance"))
+
+
 @query("sequence_stats", """SELECT doc_id, length(s) AS n, round(CASE WHEN length(s) > 0 THEN length(regexp_replace(s, '[^GC]', '', 'g')) / length(s) ELSE 0 END, 6) AS gc_content,
 round(CASE WHEN length(s) > 1 THEN (length(s) - length(replace(s, 'CG', ''))) / 2 / (length(s) - 1) ELSE 0 END, 6) AS cpg_density, reverse(translate(s, 'ACGTN', 'TGCAN')) AS rc, substr(s, 5, 2) AS dinucleotide
 FROM (SELECT doc_id, regexp_replace(translate(lower(text), 'eorisul', 'ACGTACG'), '[^ACGT]', 'N', 'g') AS s FROM documents WHERE text IS NOT NULL)""")
