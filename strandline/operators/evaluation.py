@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,3 +196,66 @@ def fit_temperature(df: DataFrame, logits: list[str], label: str, grid=None, dig
 
     row = df.agg(*(nll(t).alias(f"t{i}") for i, t in enumerate(grid))).first()
     return float(grid[int(np.argmin(row))])
+
+
+#: The temperatures that a class may have.
+COOLEST, HOTTEST = 0.05, 5.0
+
+
+def scaled_log_likelihood(logits: list[str], inverse: list[float], label: str) -> tuple[Column, list[Column]]:
+    """Of a row: the negative log-likelihood of its label under softmax(logits * inverse temperatures), and each class's share."""
+    z = [F.col(c).cast("double") * float(b) for c, b in zip(logits, inverse)]
+    top = F.greatest(*z)
+    parts = [F.exp(x - top) for x in z]
+    total = reduce(lambda a, b: a + b, parts)
+    own = reduce(lambda rest, i: F.when(F.col(label) == i, z[i]).otherwise(rest), reversed(range(len(z))), F.lit(None).cast("double"))
+    return F.log(total) + top - own, [x / total for x in parts]
+
+
+def newton_terms(df: DataFrame, logits: list[str], inverse: list[float], label: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood, its gradient and its curvature by the inverse temperatures: one aggregate over the table."""
+    nll, share = scaled_log_likelihood(logits, inverse, label)
+    k = len(logits)
+    z = [F.col(c).cast("double") for c in logits]
+    hit = [(F.col(label) == i).cast("double") for i in range(k)]
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    row = df.agg(F.avg(nll), *(F.avg(z[i] * (share[i] - hit[i])) for i in range(k)), *(F.avg(z[i] * z[j] * share[i] * ((1.0 if i == j else 0.0) - share[j])) for i, j in upper)).first()
+    if row[0] is None:
+        return float("nan"), np.zeros(k), np.eye(k)
+    curve = np.zeros((k, k))
+    for (i, j), v in zip(upper, row[1 + k :]):
+        curve[i, j] = curve[j, i] = v
+    return row[0], np.array(row[1 : 1 + k]), curve
+
+
+def fit_class_temperatures(df: DataFrame, logits: list[str], label: str, steps: int = 50, within: float = 1e-10) -> dict:
+    """A temperature a class, of least negative log-likelihood: softmax(logit / temperature of its class), each between COOLEST and HOTTEST.
+
+    In the inverse temperatures the mean negative log-likelihood is convex, so Newton steps find its least value; each is one aggregate of gradient and curvature, whatever the
+    table's size. A class at a bound that its gradient pushes against stays there while the others move. A step that doesn't help is halved. Rows with a null, or a label that is no
+    class, stay out; a table without rows gives temperatures of 1 and null likelihoods.
+    """
+    k, low, high = len(logits), 1 / HOTTEST, 1 / COOLEST
+    some = df.where(F.col(label).isin(list(range(k)))).dropna(subset=logits).select(*logits, label)
+    b = np.ones(k)
+    nll, gradient, curve = newton_terms(some, logits, b, label)
+    before, n_steps = nll, 0
+    for _ in range(steps):
+        held = ((b <= low) & (gradient > 0)) | ((b >= high) & (gradient < 0))
+        free = ~held
+        if not free.any() or np.isnan(nll) or np.abs(gradient[free]).max() < within:
+            break
+        move = np.zeros(k)
+        move[free] = np.linalg.lstsq(curve[np.ix_(free, free)] + 1e-12 * np.eye(free.sum()), -gradient[free], rcond=None)[0]
+        size = 1.0
+        while True:
+            tried = np.clip(b + size * move, low, high)
+            terms = newton_terms(some, logits, tried, label)
+            if terms[0] <= nll + 1e-15 or size < 1e-6:
+                break
+            size /= 2
+        if np.array_equal(tried, b):
+            break
+        b, (nll, gradient, curve), n_steps = tried, terms, n_steps + 1
+    blank = np.isnan(nll)
+    return {"temperature": (1 / b).tolist(), "gradient": gradient.tolist(), "nll_before": None if blank else before, "nll_after": None if blank else nll, "steps": n_steps}

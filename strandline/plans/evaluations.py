@@ -235,6 +235,44 @@ def temperature_fit(spark, sf_dir):
     return spark.createDataFrame([(evaluation.fit_temperature(df, ["donor", "acceptor", "neither"], "y"),)], "temperature double")
 
 
+#: Labels drawn by a hash from softmax(logit * inverse temperature), so that the fit has something to find.
+DRAWN = (0.6, 1.7, 1.1)
+
+
+def newton_sql(steps: int) -> str:
+    """The same Newton steps as common tables: sums of gradient and curvature, then Cramer's rule."""
+    z = ("z0", "z1", "z2")
+    tables = [f"""{SCORED}, l AS (SELECT event_id, ln(donor + 1e-10) AS z0, ln(acceptor + 1e-10) AS z1, ln(neither + 1e-10) AS z2, ((event_id * 31337) % 9973) / 9973.0::DOUBLE AS u FROM scored),
+e AS (SELECT *, exp({DRAWN[0]}::DOUBLE * z0) AS e0, exp({DRAWN[1]}::DOUBLE * z1) AS e1, exp({DRAWN[2]}::DOUBLE * z2) AS e2 FROM l),
+y AS MATERIALIZED (SELECT z0, z1, z2, CASE WHEN u < e0 / (e0 + e1 + e2) THEN 0 WHEN u < (e0 + e1) / (e0 + e1 + e2) THEN 1 ELSE 2 END AS y FROM e),
+b0 AS (SELECT 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2)"""]
+    for k in range(steps):
+        share = ", ".join(f"exp(b{i} * z{i}) / (exp(b0 * z0) + exp(b1 * z1) + exp(b2 * z2)) AS p{i}" for i in range(3))
+        sums = ", ".join([f"avg({z[i]} * (p{i} - CASE WHEN y = {i} THEN 1 ELSE 0 END)) AS g{i}" for i in range(3)] + [f"avg({z[i]} * {z[j]} * p{i} * ({1 if i == j else 0} - p{j})) AS h{i}{j}" for i in range(3) for j in range(i, 3)])
+        det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+        solved = (
+            f"(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det}",
+            f"(h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det}",
+            f"(h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det}",
+        )
+        tables.append(f"s{k} AS MATERIALIZED (SELECT b0, b1, b2, {sums} FROM (SELECT z0, z1, z2, y, b0, b1, b2, {share} FROM y, b{k}) GROUP BY b0, b1, b2)")
+        tables.append(f"b{k + 1} AS MATERIALIZED (SELECT {', '.join(f'b{i} - {solved[i]} AS b{i}' for i in range(3))} FROM s{k})")
+    nll = lambda n: f"(SELECT avg(ln(exp(b0 * z0) + exp(b1 * z1) + exp(b2 * z2)) - CASE y WHEN 0 THEN b0 * z0 WHEN 1 THEN b1 * z1 ELSE b2 * z2 END) FROM y, b{n})"
+    return f"WITH {', '.join(tables)} SELECT CAST(i AS INTEGER) AS class_index, round(1 / CASE i WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END, 6) AS temperature, round({nll(0)}, 8) AS nll_before, round({nll(steps)}, 8) AS nll_after FROM b{steps}, range(3) r(i)"
+
+
+@query("class_temperatures", newton_sql(9))
+def class_temperatures(spark, sf_dir):
+    """A temperature a class by Newton steps, one aggregate each."""
+    df = scored(spark, sf_dir).select("event_id", *(F.log(F.col(c) + 1e-10).alias(c) for c in ("donor", "acceptor", "neither")))
+    parts = [F.exp(F.lit(b) * F.col(c)) for b, c in zip(DRAWN, ("donor", "acceptor", "neither"))]
+    u, total = F.pmod(F.col("event_id") * 31337, F.lit(9973)) / 9973.0, parts[0] + parts[1] + parts[2]
+    df = df.withColumn("y", F.when(u < parts[0] / total, 0).when(u < (parts[0] + parts[1]) / total, 1).otherwise(2))
+    got = evaluation.fit_class_temperatures(df, ["donor", "acceptor", "neither"], "y")
+    rows = [(i, round(t, 6), got["nll_before"] and round(got["nll_before"], 8), got["nll_after"] and round(got["nll_after"], 8)) for i, t in enumerate(got["temperature"])]
+    return spark.createDataFrame(rows, "class_index int, temperature double, nll_before double, nll_after double")
+
+
 @query("balanced_split", """WITH n AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) SELECT c_nationkey, n, CASE WHEN sum(n) OVER (ORDER BY n DESC, c_nationkey ROWS UNBOUNDED PRECEDING) - n < 0.8 * sum(n) OVER () THEN 'train' ELSE 'test' END AS split FROM n""")
 def balanced_split(spark, sf_dir):
     return labels.balanced_split(table(spark, sf_dir, "customer"), "c_nationkey")
