@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, sequences, transcripts
+from ..operators import alignment, compare, sequences, transcripts
 from .registry import query
 from .tables import EXONS, JUDGED, SCORED, exons, judged, scored, table
 
@@ -122,6 +122,18 @@ def random_common_keys(spark, sf_dir):
     return compare.random_common(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "key", 50)
 
 
+@query("aligned_paralogs")
+def aligned_paralogs(spark, sf_dir):
+    """Documents as sequences of 8 bases a word, by a hash of it and the word before; those of the test split that have a paralog in the train split, both split by source."""
+    w = F.split(F.trim("text"), "[ \n]+")
+    word = lambda x, before: F.translate(F.lpad(F.conv(F.pmod(F.xxhash64(x, before), F.lit(65536)).cast("string"), 10, 4), 8, "0"), "0123", "ACGT")
+    bases = F.array_join(F.zip_with("_w", F.slice(F.concat(F.array(F.lit("")), "_w"), F.lit(1), F.size("_w")), word), "")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", w.alias("_w")).select("doc_id", "source", bases.alias("bases"))
+    in_test = F.coalesce(F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(4)) == 1, F.lit(False))
+    got = alignment.paralogs(d.where(in_test), d.where(~in_test), "doc_id", "bases")
+    return got.select("doc_id", "target", F.round("identity", 6).alias("identity"), F.round("coverage", 6).alias("coverage"))
+
+
 @query("similar_families")
 def similar_families(spark, sf_dir):
     """Pairs of sequences that share a fifth of their 3-letter words or more."""
