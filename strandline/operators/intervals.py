@@ -116,10 +116,11 @@ def best_in_window(sites: DataFrame, scores: DataFrame, on: list[str], width: in
 
     A site is exploded into its 2 * width + 1 offsets, so the join is an equi-join on position.
     """
-    probe = sites.select(*sites.columns, F.explode(F.sequence(F.lit(-width), F.lit(width))).alias("_offset")).withColumn("_at", F.col(position) + F.col("_offset"))
+    keyed = sites.withColumn("_site", F.struct(*sites.columns))  # equal in all columns, null to null
+    probe = keyed.distinct().select(*on, "_site", F.explode(F.sequence(F.lit(-width), F.lit(width))).alias("_offset"), F.col(position).alias("_here")).withColumn("_at", F.col("_here") + F.col("_offset"))
     near = scores.select(*on, F.col(position).alias("_at"), F.col(score).alias("_score"))
-    got = probe.join(near, [*on, "_at"]).groupBy(*sites.columns).agg(F.max("_score").alias("best_score"), F.max_by("_offset", F.struct("_score", -F.col("_offset"))).alias("best_offset"))
-    return sites.join(got, sites.columns, "left")
+    got = probe.join(near, [*on, "_at"]).groupBy("_site").agg(F.max("_score").alias("best_score"), F.max_by("_offset", F.struct("_score", -F.col("_offset"))).alias("best_offset"))
+    return keyed.join(got, "_site", "left").select(*sites.columns, "best_score", "best_offset")
 
 
 def nearest_of(points: DataFrame, marks: DataFrame, on: list[str], position="position", mark="mark", within: int = 50) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .labels import least_hashes
+
 #: What a column's name holds if it tells the label or only names the row.
 LEAKING = ("label", "splice_type", "is_correct", "error_type", "truth", "target")
 NAMING = ("gene_id", "gene_name", "transcript_id", "chrom", "strand", "position", "start", "end")
@@ -135,6 +137,11 @@ def subsample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFram
     return df.where((F.pmod(F.col(key) * 7919 + seed, F.lit(10_007)) / 10_007.0) < share)
 
 
+def subsample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """N rows (all, if there are fewer) by least hash of the key, ties by the key; only the range of hashes that holds the cut is ranked."""
+    return least_hashes(df, [], key, F.lit(n), seed)
+
+
 def by_magnitude(events: DataFrame, delta: str, n: int, *tiebreak: str) -> DataFrame:
     """The n events of the largest magnitude."""
     return events.orderBy(F.abs(delta).desc(), *tiebreak).limit(n)
@@ -172,6 +179,27 @@ def directory_report(paths_and_columns: DataFrame, required: list[str]) -> DataF
     return paths_and_columns.select("path", lacks.alias("missing"), (F.size(lacks) == 0).alias("passes"))
 
 
+def artifact_report(tables: dict[str, DataFrame], required: list[str], keys: list[str]) -> DataFrame:
+    """V7: a row a table: its rows, those with a null in a key, those that repeat a key, the required columns it lacks, and whether it passes. Names are compared without case.
+
+    Each table is read once, its keys alone. Without its keys a table's rows are only counted; an empty table doesn't pass.
+    """
+    out = []
+    for name, df in tables.items():
+        there = {c.lower(): c for c in df.columns}
+        lacks = [c for c in required if c.lower() not in there]
+        held = [F.col(f"`{there[k.lower()]}`") for k in keys if k.lower() in there]
+        if len(held) == len(keys) and keys:
+            blank = reduce(lambda a, b: a | b, (k.isNull() for k in held))
+            per = df.groupBy(*(k.alias(f"k{i}") for i, k in enumerate(held))).agg(F.count("*").alias("n"), F.max(blank).alias("blank"))
+            row = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("n_null_keys"), F.coalesce(F.sum(F.when(~F.col("blank"), F.col("n") - 1)), F.lit(0)).alias("n_repeated"))
+        else:
+            row = df.agg(F.count("*").alias("n_rows"), F.lit(None).cast("bigint").alias("n_null_keys"), F.lit(None).cast("bigint").alias("n_repeated"))
+        fine = F.lit(not lacks) & (F.col("n_rows") > 0) & (F.coalesce(F.col("n_null_keys") + F.col("n_repeated"), F.lit(0)) == 0)
+        out.append(row.select(F.lit(name).alias("artifact"), "n_rows", "n_null_keys", "n_repeated", F.lit(",".join(lacks)).alias("missing"), fine.alias("passes")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def gene_problems(genes: DataFrame) -> DataFrame:
     """V8: genes with a null or empty id, an unknown strand, a null coordinate, an end before the start, or a repeated id; a row a problem."""
     twice = F.count("*").over(Window.partitionBy("gene_id"))
@@ -185,12 +213,13 @@ def record_deltas(records: DataFrame, scores: DataFrame, distance: int = 50, mas
 
     records: variant, chrom, position, ref_allele, alt_allele. scores: variant, allele (ref or alt), offset in that allele's sequence from the variant,
     donor, acceptor. Positions after the variant are shifted so that both alleles meet: with an insertion the inserted positions take
-    their largest score, and with a deletion the lost positions score 0. Records that are neither base change, insertion nor deletion, and records
+    their largest score, and with a deletion the lost positions score 0. Records that are neither base change, insertion nor deletion, those with a symbolic allele (<DEL>, *, .), and records
     whose reference is longer than twice the distance, are skipped. mask: (chrom, position, splice_type) of annotated sites: gains at
     them and losses elsewhere are 0. Ties go to the smaller offset.
     """
     ref, alt = F.length("ref_allele"), F.length("alt_allele")
-    ok = ((ref == 1) | (alt == 1)) & (ref <= 2 * distance) & (F.col("ref_allele") != F.col("alt_allele"))
+    bases = F.col("ref_allele").rlike("^[A-Za-z]+$") & F.col("alt_allele").rlike("^[A-Za-z]+$")
+    ok = bases & ((ref == 1) | (alt == 1)) & (ref <= 2 * distance) & (F.col("ref_allele") != F.col("alt_allele"))
     told = records.where(ok).select("variant", "chrom", "position", ref.alias("_ref"), alt.alias("_alt"))
     got = scores.join(told, "variant")
     at, inserted = F.col("offset"), F.col("_alt") - F.col("_ref")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coords, scores, text
-from ..operators import labels, selection, verify
+from ..operators import labels, selection, variants, verify
 from .registry import query
 from .tables import EXONS, JUDGED, SCORED, exons, judged, scored, table
 
@@ -174,6 +174,42 @@ def directory_report(spark, sf_dir):
     return selection.directory_report(found, ["p_partkey", "p_size"]).withColumn("missing", F.array_join("missing", ","))
 
 
+@query("artifact_report", """SELECT * FROM (SELECT 'part' AS artifact, count(*) AS n_rows, 0 AS n_null_keys, count(*) - count(DISTINCT p_partkey) AS n_repeated, '' AS missing, count(*) > 0 AND count(*) = count(DISTINCT p_partkey) AS passes FROM part)
+UNION ALL SELECT 'supplier', count(*), NULL, NULL, 'p_partkey,p_size', false FROM supplier UNION ALL SELECT 'brands', count(*), 0, 0, 'p_partkey', false FROM (SELECT DISTINCT p_size FROM part)""")
+def artifact_report(spark, sf_dir):
+    """V7: rows, keys and columns of three artifacts."""
+    part = table(spark, sf_dir, "part")
+    tables = {"part": part, "supplier": table(spark, sf_dir, "supplier")}
+    got = selection.artifact_report(tables, ["p_partkey", "p_size"], ["p_partkey"])
+    return got.unionByName(selection.artifact_report({"brands": part.select("p_size").distinct()}, ["p_partkey"], ["p_size"]))
+
+
+@query("subsample_rows", "SELECT event_id FROM events ORDER BY (event_id % 1000003 + 42) * 2654435761 % 4294967296 % 2147483648, event_id LIMIT (SELECT count(*) // 3 FROM events)")
+def subsample_rows(spark, sf_dir):
+    """A number of rows."""
+    e = table(spark, sf_dir, "events").select("event_id")
+    return selection.subsample_rows(e, "event_id", e.count() // 3)
+
+
+@query("channel_deltas", f"""WITH {SCORED}, r AS (SELECT user_id, position, max(donor) AS donor, max(acceptor) AS acceptor FROM scored WHERE event_id % 2 = 0 GROUP BY 1, 2), a AS (SELECT user_id, position, max(donor) AS donor, max(acceptor) AS acceptor FROM scored GROUP BY 1, 2)
+SELECT user_id, position, round(a.donor - r.donor, 8) AS delta_donor, round(a.acceptor - r.acceptor, 8) AS delta_acceptor FROM a JOIN r USING (user_id, position)""")
+def channel_deltas(spark, sf_dir):
+    """The largest scores of all events of a position less those of its even ones."""
+    s = scored(spark, sf_dir)
+    best = lambda df: df.groupBy("user_id", "position").agg(F.max("donor").alias("donor"), F.max("acceptor").alias("acceptor"))
+    got = scores.deltas(best(s), best(s.where("event_id % 2 = 0")), ["user_id", "position"], ["donor", "acceptor"])
+    return got.select("user_id", "position", *(F.round(c, 8).alias(c) for c in ("delta_donor", "delta_acceptor")))
+
+
+@query("knockdown_boundary", """SELECT l_orderkey, l_linenumber, CASE WHEN kind = 'A5SS' THEN CASE WHEN forward THEN l_partkey ELSE l_suppkey END ELSE CASE WHEN forward THEN l_suppkey ELSE l_partkey END END AS boundary
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'A5SS' ELSE 'A3SS' END AS kind, (l_linestatus = 'O') = (l_discount - 0.05 > 0) AS forward FROM lineitem)""")
+def knockdown_boundary(spark, sf_dir):
+    """R12."""
+    kind, strand = F.when(F.col("l_returnflag") == "A", "A5SS").otherwise("A3SS"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-")
+    at = variants.kd_gained_boundary(kind, strand, F.col("l_discount") - 0.05, F.col("l_partkey"), F.col("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", at.alias("boundary"))
+
+
 @query("rows_preserved", "SELECT (SELECT count(*) FROM orders) AS n_before, (SELECT count(*) FROM orders LEFT JOIN customer ON o_custkey = c_custkey) AS n_after, true AS preserved")
 def rows_preserved(spark, sf_dir):
     """V6."""
