@@ -88,8 +88,9 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def row_keys(df: DataFrame) -> list:
-    """128 bits over all columns (but those with maps, which have no hash) as two longs: equal in equal rows."""
-    of = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    """128 bits over all columns as two longs: equal in equal rows, and in no others. Columns with maps or variants, which have no hash, take part as JSON."""
+    text = lambda c: F.to_json(F.struct(c), {"ignoreNullFields": "false"})
+    of = [text(F.col(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]
     return [F.xxhash64(F.lit(k), *of) for k in (1, 2)]
 
 

@@ -5,8 +5,9 @@ logistic loss of every bit against a language's codeword, each bit weighted by h
 takes the language of least loss. The score is that language's share of exp(-loss). A text is ambiguous where the two best
 codewords are closer than a gap that is set on labelled texts kept out of the fit: MARGIN, or less if over CLEAN of the rightly decoded ones would be closer.
 
-Training rows: text and lang both there and crc32(doc_id as text) mod 4 not 2; of the LANGUAGES most frequent languages, at most about PER_LANGUAGE distinct texts
-each and TOTAL in all, chosen by a hash of the text (documented bounds; chosen from all rows, whole texts; copies of a text are one).
+Training rows: text and lang both there and crc32(doc_id as text) mod 4 not 2; at most about PER_LANGUAGE distinct texts a language
+and TOTAL in all, chosen by a hash of the text (documented bounds; chosen from all rows, whole texts; copies of a text are one). Every language is learned, up to the TOTAL that so many texts can show; the more there
+are, the more bits a codeword has.
 Predictions see the text alone.
 
 Edge cases: a null text or one without a letter (Unicode category L: numerals such as one half or Roman two are none) is `und`, score 0; a single learned language is predicted for all others, and
@@ -27,7 +28,7 @@ from .common import fresh, text_batches
 from .hashed import fit_logistic, ngrams
 
 BITS, SIZES = 11, (1, 2, 3)
-PER_LANGUAGE, TOTAL, LANGUAGES = 1500, 12_000, 256
+PER_LANGUAGE, TOTAL = 1500, 12_000
 MARGIN, CLEAN = 0.1, 0.001
 #: One in so many sampled texts is kept out of the fit.
 APART = 5
@@ -55,11 +56,11 @@ def codebook(k: int) -> np.ndarray:
         bits = [[1] * n] + [[-1 if (j >> (k - 1 - i)) & 1 else 1 for j in range(1, n + 1)] for i in range(1, k)]
         return np.array(bits, np.float32)
     n, rng, best = int(12 + 6 * np.ceil(np.log2(k))), np.random.default_rng(5), (-1, None)
-    for _ in range(200):
+    for _ in range(max(1, 200 * 256**2 // max(k, 256) ** 2)):  # many codewords are compared fewer times, a block of rows at a time
         code = np.where(rng.random((k, n)) < 0.5, -1, 1).astype(np.float32)
         if (abs(code.sum(0)) == k).any():
             continue
-        apart = ((n - code @ code.T) / 2 + n * np.eye(k)).min()
+        apart = min(((n - code[a : a + 256] @ code.T) / 2 + n * np.eye(len(code[a : a + 256]), k, a)).min() for a in range(0, k, 256))
         best = max(best, (apart, code), key=lambda x: x[0])
     return best[1]
 
@@ -71,13 +72,13 @@ def held_out(doc_id):
 def draw(docs: DataFrame, per_language: int) -> tuple[list[str], pd.DataFrame]:
     """The learned languages, and (lang, h, x) of the sampled texts: features as bytes, in one order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64(F.lit(7), "text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.count("*").alias("all")).orderBy(F.desc("all"), "lang").limit(TOTAL).collect()}
     langs = sorted(counts)
     if not langs:
         return [], pd.DataFrame()
     most = max(1, min(per_language, TOTAL // len(langs)))
-    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(1.0, most / counts[lang]))))
-    drawn = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang"))).groupBy("lang", "h", "text").agg(F.lit(1).alias("_one"))
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, most / counts[lang])) for lang in langs], "lang string, share double")  # at most TOTAL rows
+    drawn = rows.join(F.broadcast(share), "lang").where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < F.col("share")).groupBy("lang", "h", "text").agg(F.lit(1).alias("_one"))
 
     @F.pandas_udf("binary")
     def vector(text: pd.Series) -> pd.Series:

@@ -17,7 +17,7 @@ row's rest, which is rounded like any other document's. So a row that is repeate
 
 Edge cases: a null text or one of white space has size 0, takes no part in the transfers, and its own hash decides its
 copies; a null source is a source; a null doc_id is an id like others; an empty table gives an empty result; other columns are left alone (they
-tell units apart; columns of maps do not).
+tell units apart).
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ bits are cut into `blocks` parts; of two fingerprints within RADIUS, at least bl
 of that many parts is a tree of its own under the Hamming distance on these bits, in which such a pair is at distance 0: by the
 triangle bound both lie at the same distance from every vantage point, so the rings around a first set of points are
 shards that no pair crosses. A tree has half as many such points as bits and some more: their distances together tell nearly all values of these bits apart
-(tests/llm/test_simhash.py), so a shard holds about as many fingerprints as share the bits: of 134 million random ones, some 60 in each of 15 trees. Last, rings of WIDTH around one more point under the full distance split each shard; here a pair may
+(tests/llm/test_rows.py), so a shard holds about as many fingerprints as share the bits: of 134 million random ones, some 60 in each of 15 trees. Last, rings of WIDTH around one more point under the full distance split each shard; here a pair may
 lie across a boundary, so a fingerprint within RADIUS of the next ring also visits that ring's shard. Inside a shard the
 fingerprints are sorted by distance to a local vantage point and each is compared with those within RADIUS of its own distance
 only. Every pair within RADIUS meets in at least one shard, so the links are exact.

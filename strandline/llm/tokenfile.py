@@ -123,7 +123,7 @@ class Reader:
 
 
 def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end: int = END, block: int = BLOCK) -> DataFrame:
-    """Write every text's ids in ascending doc_id order; the manifest, with ids_before: the ids in the files before."""
+    """Write every text's ids in ascending order of doc_id (null first), then of a hash of the text, so that a doc_id of many rows is many files; the manifest, with ids_before: the ids in the files before."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
     text_batches(spark)
@@ -147,7 +147,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
             sink.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": n_docs, "n_ids": n_ids, "n_bytes": n_bytes}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "_hash"]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = written(ordered.mapInArrow(write, MANIFEST), "tokens-manifest")
     return manifest.withColumn("ids_before", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
 

@@ -65,6 +65,42 @@ def test_mix_without_ids_and_with_repeats(spark):
     assert {r.source: r.n for r in mix.groupBy("source").agg(F.sum(mixing.words()).alias("n")).collect()} == total
 
 
+def test_rows_that_differ_in_a_map_are_two(spark):
+    d = spark.sql("SELECT 1L AS doc_id, 'a b c' AS text, 'en' AS lang, 's' AS source, map('k', v) AS m, named_struct('n', map(1, v)) AS s FROM VALUES ('x'), ('y'), (NULL), ('y') t(v)")
+    mix = mixing.mix(d, total=2.0).collect()
+    assert sorted((str(r.m["k"]), str(r.s.n[1])) for r in mix) == [("None", "None")] * 2 + [("x", "x")] * 2 + [("y", "y")] * 4
+
+
+def test_many_languages_are_all_learned(spark):
+    """More than the 256 that were once the most: each has its own words, and texts that were held out get theirs."""
+    rng = np.random.default_rng(1)
+    own = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(own[i % 300], 30)), f"l{i % 300:03d}") for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(d)["langs"]) == 300
+    told = langid.identify(d).where("held_out").join(d, "doc_id")
+    assert told.select("lang_pred").distinct().count() > 256
+    assert told.where("lang_pred = lang").count() > 0.6 * told.count()
+    code = langid.codebook(300)
+    assert code.shape[1] > langid.codebook(200).shape[1] and len({tuple(c) for c in code.tolist()}) == 300
+
+
+def test_one_doc_id_is_many_files(spark, tmp_path):
+    """Rows of one id are dealt by their text, and read back as they were."""
+    from strandline.llm import tokenfile
+
+    d = spark.createDataFrame([(7, f"text number {i} of one id " * 3) for i in range(400)] + [(None, f"none {i}") for i in range(50)], "doc_id long, text string").repartition(8)
+    few = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(few, "false")
+    try:
+        manifest = tokenfile.write_tokens(d)
+    finally:
+        spark.conf.unset(few)
+    got = tokenfile.read_tokens(manifest).collect()
+    assert manifest.count() > 1 and len(got) == 450 and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 50 + [7] * 400
+    assert len({r.ids_crc32 for r in got}) == 450
+
+
 def test_hot_unit_is_shared_out(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 50)
     d = spark.createDataFrame([(7, "same text again", "en", "b", 0, "x", 1)] * 120, DOCS)
