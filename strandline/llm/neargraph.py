@@ -1,7 +1,8 @@
 """Embedding near-duplicates over a robust-pruned flat graph built on overlapping cluster shards.
 
 1. Rows with the same label and an equal vector are one node with a count. Vectors are compared with those of their own length only.
-2. Shards: centres are fitted on at most FIT nodes (a documented bound, by hash), as many as give shards of about SHARD nodes; every node joins the shards of its
+2. Shards: labels fall into tiers by their size, four times as large a label a tier; a label of up to SHARD nodes is one shard. A tier has centres of its own, as many as give its
+   largest label shards of about SHARD nodes; all tiers together are fitted on about FIT nodes (a documented bound, by hash). Every node joins the shards of its
    `overlap` nearest centres, within its label. Over FLAT centres the nearest ones are looked up in two levels.
 3. Cores: nodes within half the threshold's angle of their nearest centre lie, by the triangle inequality, within the threshold of each
    other. Their links are counted by one aggregate a core, without any comparison: a dense group of n near copies costs n rows.
@@ -16,9 +17,11 @@
    reach) and no pairs. The few pairs across a border that share no shard are rows of their own.
    A shard of over `most` nodes isn't walked: its nodes are cut by hash into blocks, its core apart, and every two blocks that
    aren't both of the core are a group of their own in which all pairs are verified. No task holds such a shard whole.
-7. Audit: the true links of AUDIT nodes (by hash) and of LINKED nodes that have links are counted by brute force over all nodes. If less than ENOUGH of them
+7. Audit: the true links of AUDIT nodes are counted by brute force over all nodes of their labels. The draw doesn't look at the result, and goes through the labels in turn, so
+   that a small label has as much say as a large one. Where fewer than LINKED of these nodes have links, WIDE nodes are drawn instead. If less than ENOUGH of the true links
    was found, the work is done again with twice the overlap and four times the steps, and after that exactly, by blocks of each label.
-   The share found is given with the result; it is null where the audited nodes have no link, which says nothing.
+   The share found is given with the result. It is null where no audited node has a link: on tables of up to WIDE nodes, all of them are audited, and there is no link at all; on a larger
+   one it says nothing.
 
 Edge cases: unusable vectors (vectors.usable), null labels: no links, component_id is the
 row's own vec_id; a null vec_id has no links and a null component; rows that repeat vec_id, label and vector count as others of
@@ -32,8 +35,9 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -43,7 +47,7 @@ from .vectors import lengths, matrix, parts, usable
 COSINE = 0.93
 FIT, SHARD, FLAT, LOOK = 100_000, 1000, 1024, 8
 DEGREE, ALPHA, SLACK = 24, 1.2, 0.05
-GROUP_ROWS, AUDIT, LINKED, ENOUGH = 8192, 512, 64, 0.95
+GROUP_ROWS, AUDIT, LINKED, WIDE, ENOUGH = 8192, 512, 64, 8192, 0.95
 #: A shard of over MOST nodes is cut into blocks of about BLOCK.
 MOST, BLOCK = 2048, 2048
 #: (overlap, expand) of each attempt; the one after them is exact.
@@ -290,30 +294,45 @@ def exact_links(nodes: DataFrame, cosine: float = COSINE, block: int = BLOCK) ->
 def links(nodes: DataFrame, cosine: float = COSINE, most: int = MOST, block: int = BLOCK, overlap: int = ATTEMPTS[0][0], expand: int = ATTEMPTS[0][1]) -> DataFrame:
     """(cid, m, root): for each node and shard (or two blocks of a large one, or core) in which it has links, the vectors linked there and the smallest node reached. nodes: a written table (cid, label, embedding, n)."""
     spark, kind = nodes.sparkSession, dict(nodes.dtypes)["embedding"]
-    n, largest = nodes.groupBy("label").agg(F.count("*").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("m"))
+    tier = F.when(F.col("m") <= SHARD, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("m") * overlap / SHARD)))).cast("int").alias("tier")
+    sizes = written(sizes.select("label", "m", tier), "graph-sizes")
+    tiers = {r["tier"]: r for r in sizes.groupBy("tier").agg(F.sum("m").alias("nodes"), F.max("m").alias("largest")).collect()}  # a row a fourfold size
+    n = sum(r["nodes"] for r in tiers.values())
     if not n:
         return spark.createDataFrame([], LINKS)
-    drawn = nodes.where((F.pmod(F.xxhash64(F.lit(11), "cid"), F.lit(1 << 30)) / float(1 << 30)) < min(1.0, FIT / n)).select("cid", "embedding").toPandas().sort_values("cid")  # about FIT rows
-    k = int(min(max(1, largest * overlap // SHARD), max(1, len(drawn) // 4)))
-    sample = unit(np.stack(drawn["embedding"].to_numpy()).astype(np.float64)) if len(drawn) else np.eye(1, len(nodes.first()["embedding"]))
-    c, overlap = fit_centres(sample, k), min(overlap, k)
+    tiered = nodes.join(sizes.select("label", "tier"), "label")
+    want = {t: max(256, FIT * 4**t // sum(4**u for u in tiers)) for t in tiers}
+    share = F.create_map(*(F.lit(x) for t, r in tiers.items() for x in (t, min(1.0, want[t] / r["nodes"]))))[F.col("tier")]
+    drawn = tiered.where((F.pmod(F.xxhash64(F.lit(11), "cid"), F.lit(1 << 30)) / float(1 << 30)) < share).select("cid", "tier", "embedding").toPandas().sort_values("cid")  # about FIT rows
+    c, dim = {}, len(nodes.first()["embedding"])
+    for t, r in tiers.items():
+        of = drawn.loc[drawn["tier"] == t, "embedding"]
+        sample = unit(np.stack(of.to_numpy()).astype(np.float64)) if len(of) else np.eye(1, dim)
+        c[t] = fit_centres(sample, 1 if t == 0 else int(min(max(1, r["largest"] * overlap // SHARD), max(1, len(of) // 4))))
+    overlap = min(overlap, max(len(x.all) for x in c.values()))
     inner = np.cos(np.arccos(cosine) / 2) + 1e-4  # half the angle, less what single precision may err
 
     def deal(batches):
         for batch in batches:
-            near, value = nearest_centres(unit(matrix(batch.column("embedding"), np.float64)).astype(np.float32), c, overlap)
-            flat = pa.array(near.ravel().astype(np.int64))
-            core = pa.array(np.where(value[:, 0] >= inner, near[:, 0], NONE).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(flat, overlap).cast(pa.list_(pa.int64())), core, *batch.columns], names=["centres", "inner", *batch.schema.names])
-
-    dealt = nodes.select("cid", "label", "embedding", "n").mapInArrow(deal, f"centres array<long>, inner long, cid long, label {dict(nodes.dtypes)['label']}, embedding {kind}, n long")
+            x, tier = unit(matrix(batch.column("embedding"), np.float64)).astype(np.float32), batch.column("tier").to_numpy()
+            near, core = np.zeros((len(x), overlap), np.int64), np.full(len(x), NONE, np.int64)
+            for t in np.unique(tier).tolist():
+                some = np.flatnonzero(tier == t)
+                at, value = nearest_centres(x[some], c[t], min(overlap, len(c[t].all)))
+                near[some] = np.pad(at, ((0, 0), (0, overlap - at.shape[1])), mode="edge")  # a centre may stand twice
+                core[some] = np.where(value[:, 0] >= inner, at[:, 0], NONE)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), overlap).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(core), *batch.drop_columns(["tier"]).columns], names=["centres", "inner", "cid", "label", "embedding", "n"])
+
+    dealt = tiered.select("cid", "label", "embedding", "n", "tier").mapInArrow(deal, f"centres array<long>, inner long, cid long, label {dict(nodes.dtypes)['label']}, embedding {kind}, n long")
     homes = F.transform("centres", lambda x: F.xxhash64("label", x)).alias("homes")
     core = F.when(F.col("inner") == NONE, F.lit(NONE).cast("long")).otherwise(F.xxhash64("label", "inner")).alias("core")
     placed = written(dealt.select("cid", homes, core, F.col("embedding").alias("v"), "n"), "graph-nodes-placed")
     cores = placed.where(F.col("core") != NONE).groupBy("core").agg(F.sum("n").alias("all"), F.min("cid").alias("root"))
     inside = placed.select("cid", "core", "n").join(cores, "core").select("cid", (F.col("all") - F.col("n")).alias("m"), "root").where("m > 0")
 
-    dealt = placed.select(F.explode("homes").alias("shard"), "*")
+    dealt = placed.select(F.explode(F.array_distinct("homes")).alias("shard"), "*")
     some = dealt.groupBy("shard").agg(F.count("*").alias("size"), F.count_if(F.col("core") == F.col("shard")).alias("in_core")).where(F.col("size") > most)
     part = lambda x: F.ceil(x / block).cast("int")
     some = some.select("shard", (part(F.col("in_core")) + part(F.greatest(F.col("size") - F.col("in_core"), F.lit(1)))).alias("blocks"), part(F.col("in_core")).alias("cores"))
@@ -367,26 +386,45 @@ def links(nodes: DataFrame, cosine: float = COSINE, most: int = MOST, block: int
     return found.where("NOT far").select("cid", "m", "root").unionByName(far).unionByName(across).unionByName(inside)
 
 
-def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, n: int = AUDIT, of_linked: int = LINKED) -> tuple[float | None, int]:
-    """The share of the true links of n nodes (by hash), and of so many that have links, that was found, and the number of these nodes that have true links; no share if none has. linked: (cid, m)."""
+def audited_nodes(nodes: DataFrame, n: int) -> DataFrame:
+    """(cid, label, embedding) of n nodes by hash, the labels in turn: one of each, then a second one, and so on; all nodes, if no more.
+
+    A label's nodes fall into 4 n hash buckets, of each of which the least is kept, so that a window sees at most 4 n rows a label."""
+    h = F.xxhash64(F.lit(23), "cid")
+    few = nodes.groupBy("label", F.pmod(h, F.lit(4 * n)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "cid")).alias("a")).select("label", "a.*")
+    turns = few.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h", "cid")))
+    drawn = turns.orderBy("turn", "h", "cid").limit(n).select("cid")
+    return nodes.join(drawn, "cid", "left_semi").select("cid", "label", "embedding")
+
+
+def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, draws: tuple[int, ...] = (AUDIT, WIDE), enough: int = LINKED) -> tuple[float | None, int]:
+    """The share of the true links of audited_nodes that was found, and the number of these nodes that have true links; no share if none has. linked: (cid, m). The next draw is taken where fewer than `enough` nodes have links."""
     nodes = nodes.withColumn("label", F.col("label").cast("string"))
-    order = [F.xxhash64(F.lit(23), "cid"), F.col("cid")]
-    asked = nodes.orderBy(*order).limit(n).unionByName(nodes.join(linked.where("m > 0").orderBy(*order).limit(of_linked).select("cid"), "cid", "left_semi")).dropDuplicates(["cid"]).select("cid", "label", "embedding").toPandas()
-    if not len(asked):
-        return None, 0
-    q, qid, label = unit(np.stack(asked["embedding"].to_numpy()).astype(np.float64)), asked["cid"].to_numpy(), asked["label"].to_numpy()
-
-    def run(batches):
-        total = np.zeros(len(qid), np.int64)
-        for batch in batches:
-            ids, of, times = batch.column("cid").to_numpy(), np.array(batch.column("label").to_pylist(), object), batch.column("n").to_numpy()
-            near = (q @ unit(matrix(batch.column("embedding"), np.float64)).T >= cosine) & (label[:, None] == of[None]) & (qid[:, None] != ids[None])
-            total += near @ times
-        yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], names=["cid", "m"])
-
-    true = nodes.select("cid", "label", "embedding", "n").mapInArrow(run, "cid long, m long").groupBy("cid").agg(F.sum("m").alias("true"))
-    all_, hit, some = true.join(linked, "cid", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("m", F.lit(0)), F.col("true"))), F.count_if(F.col("true") > 0)).first()
-    return (hit / all_ if all_ else None), some
+    share, some = None, 0
+    for n in draws:
+        asked = audited_nodes(nodes, n).toPandas()
+        if not len(asked):
+            break
+        q, qid, of_label = unit(np.stack(asked["embedding"].to_numpy()).astype(np.float64)), asked["cid"].to_numpy(), asked.groupby("label").indices
+
+        def run(batches, q=q, qid=qid, of_label=of_label):
+            total = np.zeros(len(qid), np.int64)
+            for batch in batches:
+                ids, times = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
+                x = unit(matrix(batch.column("embedding"), np.float64))
+                for label, rows in pd.Series(np.arange(len(ids))).groupby(batch.column("label").to_pandas()).indices.items():
+                    a = of_label.get(label, np.zeros(0, np.int64))
+                    for s in range(0, len(rows) if len(a) else 0, 512):
+                        b = rows[s : s + 512]
+                        total[a] += ((q[a] @ x[b].T >= cosine) & (qid[a][:, None] != ids[b][None])) @ times[b]
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], names=["cid", "m"])
+
+        true = nodes.select("cid", "label", "embedding", "n").mapInArrow(run, "cid long, m long").groupBy("cid").agg(F.sum("m").alias("true"))
+        all_, hit, some = true.join(linked, "cid", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("m", F.lit(0)), F.col("true"))), F.count_if(F.col("true") > 0)).first()
+        share = hit / all_ if all_ else None
+        if some >= enough or len(asked) < n:
+            break
+    return share, some
 
 
 def audited_links(nodes: DataFrame, cosine: float = COSINE, enough: float = ENOUGH, attempts=ATTEMPTS) -> tuple[DataFrame, float | None]:

@@ -61,3 +61,36 @@ def test_guests_cross_shards():
     homes, core = np.array([[1, 2], [1, 2], [3, 4]]), np.full(3, neargraph.NONE)
     linked, _, far = neargraph.shard_links(x, 2, np.ones(3, np.int64), homes, core, 1, lists, 0.93, 4)
     assert linked.tolist() == [1, 1, 0] and sorted(map(tuple, far.tolist())) == [(0, 2), (1, 2)]
+
+
+def test_small_label_beside_a_large_one(spark):
+    """A small label has shards of its own size: no link of it is lost beside a label that has many centres."""
+    rng = np.random.default_rng(9)
+    big, one = rng.normal(size=(24_000, 16)), rng.normal(size=(150, 16))
+    two = one + rng.normal(size=one.shape) * 0.27
+    x = np.concatenate([big, one, two])
+    df = spark.createDataFrame([(i, "big" if i < 24_000 else "small", v.tolist()) for i, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    small = x[24_000:] / np.linalg.norm(x[24_000:], axis=1, keepdims=True)
+    want = ((small @ small.T >= neargraph.COSINE) & ~np.eye(300, dtype=bool)).sum(1)
+    rows = neargraph.near_duplicates(df).where("vec_id >= 24000").collect()
+    got = np.zeros(300, int)
+    for r in rows:
+        got[r.vec_id - 24_000] = r.n_links
+    assert want.sum() > 100 and np.array_equal(got, want) and rows[0].audit_recall >= neargraph.ENOUGH
+
+
+def test_tiers_and_guests_in_many_small_shards(spark, monkeypatch):
+    """Labels of several tiers, with shards so small that nodes have several homes."""
+    monkeypatch.setattr(neargraph, "SHARD", 40)
+    rng = np.random.default_rng(10)
+    sizes = {"a": 700, "b": 130, "c": 30}
+    label = np.repeat(list(sizes), list(sizes.values()))
+    x = rng.normal(size=(len(label) // 5, 8)).repeat(5, 0) + rng.normal(size=(len(label), 8)) * 0.2
+    df = spark.createDataFrame([(i, str(a), v.tolist()) for i, (a, v) in enumerate(zip(label, x))], "vec_id long, label string, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= neargraph.COSINE) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in neargraph.near_duplicates(df).collect()}
+    for a in sizes:
+        at = np.flatnonzero(label == a)
+        assert sum(got[i] for i in at) >= 0.95 * true[at].sum() > 0
+    assert all(got[i] <= true[i].sum() for i in range(len(x)))
