@@ -12,7 +12,9 @@ shards that no pair crosses. A tree has half as many such points as bits and som
 (tests/llm/test_rows.py), so a shard holds about as many fingerprints as share the bits: of 134 million random ones, some 60 in each of 15 trees. Last, rings of WIDTH around one more point under the full distance split each shard; here a pair may
 lie across a boundary, so a fingerprint within RADIUS of the next ring also visits that ring's shard. Inside a shard the
 fingerprints are sorted by distance to a local vantage point and each is compared with those within RADIUS of its own distance
-only. Every pair within RADIUS meets in at least one shard, so the links are exact.
+only. Every pair within RADIUS meets in at least one shard, so the links are exact. A shard of over MOST fingerprints, as a share of a SHARE-th of them tells,
+is cut into blocks by hash, and every two of its blocks are a group of their own: no task holds such a shard, whatever its size, and all its pairs still meet. The
+estimate decides how the work is cut, and not the result.
 
 A shard gives back a spanning forest of its links, not its pairs, so a group of n near copies costs n rows. Equal
 fingerprints are one node whatever the number of documents. `blocks` grows with the number of distinct fingerprints (5 to 8); it
@@ -41,6 +43,8 @@ WIDTH = 8
 BLOCKS = ((5, 1 << 22), (6, 1 << 27), (7, 1 << 32), (8, 1 << 62))
 #: Rows that a Python group of shards has, about.
 GROUP_ROWS = 4000
+#: A shard of over MOST fingerprints is cut into blocks of about BLOCK; shards are counted on one of SHARE fingerprints.
+MOST, BLOCK, SHARE = 32_768, 16_384, 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -154,14 +158,21 @@ def shards(fps: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
 NODE = "struct<none:boolean,doc_id:bigint,fp:bigint,k1:bigint,k2:bigint>"
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def hot_shards(nodes: DataFrame, blocks: int, radius: int, most: int, block: int, share: int) -> DataFrame:
+    """(shard, blocks) of the shards of over `most` fingerprints, about: counted on one of `share` fingerprints, by hash."""
+    some = shards(nodes.where(F.pmod(F.xxhash64(F.lit(5), "fp"), F.lit(share)) == 0), blocks, radius)
+    sizes = some.groupBy("shard").agg((F.count("*") * share).alias("size")).where(F.col("size") > most)
+    return written(sizes.select("shard", F.greatest(F.lit(2), F.ceil(F.col("size") / block)).cast("int").alias("blocks")), "simhash-hot")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None, most: int = MOST, block: int = BLOCK, share: int = SHARE) -> DataFrame:
     """(src, dst): links between nodes of distinct fingerprints that connect all those that a chain of links connects. nodes: (fp, node)."""
     n = nodes.count()
-    blocks = blocks or next(k for k, most in BLOCKS if n <= most)
+    blocks = blocks or next(k for k, most_ in BLOCKS if n <= most_)
     dealt = shards(nodes, blocks, radius)
     groups = max(1, round(1.5 * n * len(views(blocks, radius)) / GROUP_ROWS))
 
-    def of(key, got):
+    def of(got):
         got = got.sort_by([("shard", "ascending"), ("fp", "ascending")])
         shard, node = got.column("shard").to_numpy(), got.column("node")
         fp, visits = got.column("fp").to_numpy().view(np.uint64), got.column("visits").to_numpy()
@@ -174,7 +185,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
         pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"src": node.take(pa.array(pairs[:, 0])), "dst": node.take(pa.array(pairs[:, 1]))})
 
-    return dealt.groupBy(F.pmod("shard", F.lit(groups)).alias("group")).applyInArrow(of, f"src {NODE}, dst {NODE}")
+    def whole(df):
+        return df.groupBy(F.pmod("shard", F.lit(groups)).alias("group")).applyInArrow(lambda key, got: of(got), f"src {NODE}, dst {NODE}")
+
+    hot = hot_shards(nodes, blocks, radius, most, block, share)
+    if hot.isEmpty():
+        return whole(dealt)
+    cut = dealt.join(hot, "shard").withColumn("own", F.pmod(F.xxhash64(F.lit(6), "fp"), "blocks").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")  # two of a block meet in each of its groups
+    cut = cut.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "visits", "node")
+    across = cut.groupBy("shard", "low", "high").applyInArrow(lambda key, got: of(got), f"src {NODE}, dst {NODE}")
+    return whole(dealt.join(hot, "shard", "left_anti")).unionByName(across)
 
 
 def groups_of(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
