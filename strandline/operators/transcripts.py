@@ -58,12 +58,28 @@ def sliding_windows(df: DataFrame, length: str, size: int, step: int, keys: list
     return got.select(*keys, start.alias("window_start"), F.least(start + size, F.col("_n")).alias("window_end")).distinct()
 
 
+def grid_windows_with_exons(exons: DataFrame, keys: list[str], size: int, step: int, last: int, least: float) -> DataFrame:
+    """Windows of `size` that start every `step` from 0 to `last`, of which exons (0-based, half-open, disjoint) cover a share of `least` (over 0) or more.
+
+    An exon names the windows that it touches, so no window is made that has none.
+    """
+    lo = F.greatest(F.floor((F.col("start") - size) / step) + 1, F.lit(0))
+    hi = F.least(F.ceil(F.col("end") / step) - 1, F.lit(last // step))
+    each = exons.where((F.col("start") < F.col("end")) & (lo <= hi)).select(*keys, "start", "end", F.explode(F.sequence(lo, hi)).alias("_k"))
+    each = each.withColumn("window_start", F.col("_k") * step).withColumn("window_end", F.col("window_start") + size)
+    inside = F.least("window_end", "end") - F.greatest("window_start", "start")
+    return each.groupBy(*keys, "window_start", "window_end").agg((F.sum(inside) / size).alias("exon_share")).where(F.col("exon_share") >= least)
+
+
 def windows_with_exons(windows: DataFrame, exons: DataFrame, keys: list[str], least: float, width=1024) -> DataFrame:
-    """Windows of which exons (0-based, half-open, disjoint) cover a share of `least` or more."""
+    """Windows of which exons (0-based, half-open, disjoint) cover a share of `least` or more.
+
+    Catalyst doesn't see that exploded windows are many, and would broadcast them for their small source; hence the hint.
+    """
     cut = exons.where(F.col("start") < F.col("end")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
     probe = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("window_start") / width), F.floor((F.col("window_end") - 1) / width))))
     lo, hi = F.greatest("window_start", "start", F.col("_bin") * width), F.least("window_end", "end", (F.col("_bin") + 1) * width)
-    inside = probe.join(cut, [*keys, "_bin"]).where(hi > lo).groupBy(*keys, "window_start", "window_end").agg((F.sum(hi - lo) / F.first(F.col("window_end") - F.col("window_start"))).alias("exon_share"))
+    inside = probe.hint("merge").join(cut, [*keys, "_bin"]).where(hi > lo).groupBy(*keys, "window_start", "window_end").agg((F.sum(hi - lo) / F.first(F.col("window_end") - F.col("window_start"))).alias("exon_share"))
     return inside.where(F.col("exon_share") >= least)
 
 

@@ -66,9 +66,9 @@ def sequence_windows(spark, sf_dir):
 x AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS transcript_id, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) * 10 AS start FROM orders)
 SELECT w.transcript_id, window_start, window_end, round(sum(least(window_end, start + 9) - greatest(window_start, start)) / 500, 8) AS exon_share FROM w JOIN x USING (transcript_id) WHERE start < window_end AND start + 9 > window_start GROUP BY 1, 2, 3 HAVING sum(least(window_end, start + 9) - greatest(window_start, start)) / 500 >= 0.01""")
 def exon_window_filter(spark, sf_dir):
-    w = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("transcript_id"), F.explode(F.sequence(*(F.lit(k).cast("long") for k in (0, 59_700, 300)))).alias("window_start")).withColumn("window_end", F.col("window_start") + 500)
     x = exons(spark, sf_dir).select("transcript_id", (F.col("start") * 10).alias("start")).distinct().withColumn("end", F.col("start") + 9)
-    return transcripts.windows_with_exons(w, x, ["transcript_id"], 0.01, 256).withColumn("exon_share", F.round("exon_share", 8))
+    x = x.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("transcript_id")), "transcript_id")
+    return transcripts.grid_windows_with_exons(x, ["transcript_id"], 500, 300, 59_700, 0.01).withColumn("exon_share", F.round("exon_share", 8))
 
 
 @query("exon_bases", f"""WITH {EXONS}, p AS (SELECT transcript_id, biotype, min(start) AS s, least(max("end"), min(start) + 40) AS e, count(*) AS n FROM exons GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT DISTINCT transcript_id, unnest(range(s, e + 1)) AS position FROM p)
