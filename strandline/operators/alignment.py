@@ -1,9 +1,9 @@
 """Paralogs by alignment: minimizer seeds, colinear chains, identity and coverage of a hit.
 
-Each distinct sequence is sampled into minimizers (of `w` neighbouring k-mers those of least hash, of either strand). Test and train minimizers meet in a plain join on the hash; a minimizer that
-occurs in the train sequences more than `most` times is no seed, as in the aligners that this follows. Pairs of sequences with few seeds go by an aggregate. The seeds of a pair and
-strand are chained in their own group, whose size the two sequences bound: a chain is the best run of seeds that rise in both. Between neighbouring seeds of the best chain the bases are
-aligned exactly (unit costs), and beyond its ends as far as matches outweigh the rest; identity is matches / columns, and coverage columns / length of the test sequence. Equal sequences are aligned once, and all
+Each distinct sequence is sampled into minimizers (of `w` neighbouring k-mers those of least hash, of either strand). Train minimizers that no test sequence can have are left out by a bit array of fixed
+size; the rest meet in a join on the hash, and a minimizer that occurs in the train sequences more than `most` times is no seed, as in the aligners that this follows. The seeds of a test sequence
+are one group, which its length and `most` bound: those of a pair and strand are chained there, without the texts, and pairs with few seeds or a short chain go. A chain is the best run of seeds
+that rise in both. Between neighbouring seeds of the best chain the bases are aligned exactly (unit costs), and beyond its ends as far as matches outweigh the rest; identity is matches / columns, and coverage columns / length of the test sequence. Equal sequences are aligned once, and all
 members of their classes get the result.
 """
 
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ K, W = 15, 10
 MOST, LEAST_SEEDS, GAP, BACK = 500, 3, 1000, 64
 CODE = np.full(256, 4, np.uint8)
 CODE[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
-SEEDS = "hash bigint, position int, forward boolean"
+#: Bits of the array of test minimizers. A full one lets more rows pass, with the same result.
+SIEVE = 1 << 26
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,16 +63,30 @@ def minimizers(sequence: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
     return h[at].astype(np.int64), at.astype(np.int32), forward[at]
 
 
-def seeds(sequences: DataFrame, k: int, w: int) -> DataFrame:
-    """(class, hash, position, forward) of (class, sequence)."""
+def seeds(sequences: DataFrame, k: int, w: int, sieve: Broadcast | None = None) -> DataFrame:
+    """(class, length, hash, seed) of (class, sequence); seed: twice the position, plus 1 on the forward strand. sieve: minimizers that its bits lack are left out."""
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = sieve.value if sieve else None
         for part in parts:
             for name, text in zip(part["class"], part["sequence"]):
                 h, at, forward = minimizers(text, k, w)
-                yield pd.DataFrame({"class": name, "hash": h, "position": at, "forward": forward})
+                if bits is not None:
+                    low = h & (len(bits) * 64 - 1)
+                    there = (bits[low >> 6] >> (low & 63)) & 1 == 1
+                    h, at, forward = h[there], at[there], forward[there]
+                yield pd.DataFrame({"class": name, "length": len(text), "hash": h, "seed": at * 2 + forward})
 
-    return sequences.mapInPandas(find, f"class string, {SEEDS}")
+    return sequences.mapInPandas(find, "class bigint, length int, hash bigint, seed int")
+
+
+def sieve_of(posted: DataFrame, bits: int) -> Broadcast:
+    """A bit array (as signed words) of the low bits of all hashes; a task sends a row a word at most."""
+    low = F.col("hash").bitwiseAND(bits - 1)
+    words = posted.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return posted.sparkSession.sparkContext.broadcast(out)
 
 
 def best_chain(q: np.ndarray, t: np.ndarray, k: int = K, gap: int = GAP, back: int = BACK) -> np.ndarray:
@@ -136,14 +153,19 @@ def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     return matches, matches + (matches - score) // LOSS, *at
 
 
-def hit(query: str, target: str, q: np.ndarray, t: np.ndarray, k: int = K, span: float = 0.0) -> tuple[int, int, int, int, int, int] | None:
-    """(first and last base of the query, of the target, matches, columns) of the best chain of seeds at q and t, both on one strand; none, if it spans less than a share of the query."""
+def chain(q: np.ndarray, t: np.ndarray, length: int, k: int = K, span: float = 0.0) -> tuple[np.ndarray, np.ndarray] | None:
+    """The seeds at q and t, both on one strand, of the best chain; none, if it spans less than a share of the query's length."""
+    if q.max() + k - q.min() < span * length:
+        return None
     order = np.lexsort((t, q))
     q, t = q[order].astype(np.int64), t[order].astype(np.int64)
     path = best_chain(q, t, k)
     q, t = q[path], t[path]
-    if q[-1] + k - q[0] < span * len(query):
-        return None
+    return None if q[-1] + k - q[0] < span * length else (q, t)
+
+
+def hit(query: str, target: str, q: np.ndarray, t: np.ndarray, k: int = K) -> tuple[int, int, int, int, int, int]:
+    """(first and last base of the query, of the target, matches, columns) of a chain of seeds at q and t, both on one strand."""
     a, b = (np.frombuffer(x.upper().encode("ascii", "replace"), np.uint8) for x in (query, target))
     matches = columns = k
     for q0, t0, q1, t1 in zip(q[:-1].tolist(), t[:-1].tolist(), q[1:].tolist(), t[1:].tolist()):
@@ -155,35 +177,60 @@ def hit(query: str, target: str, q: np.ndarray, t: np.ndarray, k: int = K, span:
     return q0 - before[2], q1 + after[2] - 1, t0 - before[3], t1 + after[3] - 1, matches, columns
 
 
+def chains(met: DataFrame, k: int, span: float) -> DataFrame:
+    """(q_class, t_class, forward, q, t) of the best chain of each pair and strand with enough seeds; met: a row a test seed, with the train seeds of its hash as two arrays."""
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table["seeds"].combine_chunks() if table["seeds"].num_chunks != 1 else table["seeds"].chunk(0)
+        many = np.diff(lists.offsets.to_numpy())
+        targets = np.concatenate([c.flatten().to_numpy() for c in table["targets"].chunks])
+        ts = lists.flatten().to_numpy()
+        qs = np.repeat(table["seed"].to_numpy(), many)
+        name, length = table["class"][0].as_py(), table["length"][0].as_py()
+        same = (qs & 1) == (ts & 1)
+        order = np.lexsort((same, targets))
+        targets, same, q, t = targets[order], same[order], qs[order] >> 1, ts[order] >> 1
+        q = np.where(same, q, length - k - q)
+        cuts = np.flatnonzero(np.concatenate([[True], (targets[1:] != targets[:-1]) | (same[1:] != same[:-1]), [True]]))
+        rows = []
+        for i in np.flatnonzero(np.diff(cuts) >= LEAST_SEEDS).tolist():
+            a, b = cuts[i], cuts[i + 1]
+            if found := chain(q[a:b], t[a:b], length, k, span):
+                rows.append((name, int(targets[a]), bool(same[a]), *found))
+        kinds = [("q_class", pa.int64()), ("t_class", pa.int64()), ("forward", pa.bool_()), ("q", pa.list_(pa.int32())), ("t", pa.list_(pa.int32()))]
+        return pa.table({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(kinds)}, pa.schema(kinds))
+
+    dealt = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class")  # few bytes are much work here too
+    return dealt.groupBy("class").applyInArrow(find, "q_class bigint, t_class bigint, forward boolean, q array<int>, t array<int>")
+
+
 def hits(test: DataFrame, train: DataFrame, key: str, sequence: str, k: int = K, w: int = W, most: int = MOST, span: float = 0.0) -> DataFrame:
     """(query, target, forward, q_start, q_end, t_start, t_end, matches, columns, identity, coverage) of each pair of test and train sequences with enough seeds, the better strand's; 1-based, of the query's strand.
 
     span: chains over less than that share of the query are no hits, and their bases aren't aligned.
     Null keys and sequences, and those shorter than k, have no hit; a key that is in both tables isn't paired with itself.
     """
-    grouped = lambda df: df.where(F.col(key).isNotNull() & (F.length(sequence) >= k)).select(F.col(key).alias("_key"), F.upper(F.col(sequence)).alias("sequence")).withColumn("class", F.sha2("sequence", 256))
+    grouped = lambda df: df.where(F.col(key).isNotNull() & (F.length(sequence) >= k)).select(F.col(key).alias("_key"), F.upper(F.col(sequence)).alias("sequence")).withColumn("class", F.xxhash64("sequence"))
     tests, trains = grouped(test), grouped(train)
-    q_text, t_text = (df.select("class", "sequence").dropDuplicates(["class"]) for df in (tests, trains))
-    posted = seeds(t_text, k, w)
+    one = F.when(F.min("sequence") == F.max("sequence"), F.min("sequence")).otherwise(F.raise_error("two sequences have one hash"))
+    q_text, t_text = (df.groupBy("class").agg(one.alias("sequence")) for df in (tests, trains))
+    asked = seeds(q_text, k, w)
+    posted = seeds(t_text, k, w, sieve_of(asked, SIEVE)).drop("length").repartition("hash")
     common = posted.groupBy("hash").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("hash")
-    posted = posted.join(common, "hash").select("hash", F.col("class").alias("t_class"), F.col("position").alias("t"), F.col("forward").alias("t_forward"))
-    met = seeds(q_text, k, w).withColumnsRenamed({"class": "q_class", "position": "q"}).join(posted, "hash").select("q_class", "t_class", (F.col("forward") == F.col("t_forward")).alias("forward"), "q", "t")
-    pairs = met.groupBy("q_class", "t_class", "forward").agg(F.collect_list(F.struct("q", "t")).alias("seeds")).where(F.size("seeds") >= LEAST_SEEDS)
-    both = pairs.join(q_text.withColumnsRenamed({"class": "q_class", "sequence": "q_text"}), "q_class").join(t_text.withColumnsRenamed({"class": "t_class", "sequence": "t_text"}), "t_class")
+    listed = posted.join(common, "hash").groupBy("hash").agg(F.collect_list("class").alias("targets"), F.collect_list("seed").alias("seeds"))
+    both = chains(asked.join(listed, "hash").drop("hash"), k, span)
+    both = both.join(q_text.withColumnsRenamed({"class": "q_class", "sequence": "q_text"}), "q_class").join(t_text.withColumnsRenamed({"class": "t_class", "sequence": "t_text"}), "t_class")
     both = both.withColumn("q_text", F.when(F.col("forward"), F.col("q_text")).otherwise(reverse_complement(F.col("q_text"))))
 
     @F.pandas_udf("q_start int, q_end int, t_start int, t_end int, matches int, columns int")
-    def align(q_text: pd.Series, t_text: pd.Series, forward: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, same, found in zip(q_text, t_text, forward, seeds):
-            q, t = (np.array([x[c] for x in found], np.int64) for c in ("q", "t"))
-            h = hit(a, b, q if same else len(a) - k - q, t, k, span)
-            rows.append((h[0] + 1, h[1] + 1, h[2] + 1, h[3] + 1, *h[4:]) if h else (None,) * 6)
+    def align(q_text: pd.Series, t_text: pd.Series, q: pd.Series, t: pd.Series) -> pd.DataFrame:
+        rows = [(h[0] + 1, h[1] + 1, h[2] + 1, h[3] + 1, *h[4:]) for h in (hit(a, b, np.asarray(x), np.asarray(y), k) for a, b, x, y in zip(q_text, t_text, q, t))]
         return pd.DataFrame(rows, columns=["q_start", "q_end", "t_start", "t_end", "matches", "columns"], dtype="Int32")
 
-    # Few bytes are much work here, so that partitions aren't merged; and the function runs once a row, not once more for the filter on its result.
+    # Few bytes are much work here, so that partitions aren't merged; and the function runs once a row.
     dealt = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "q_class", "t_class")
-    found = dealt.select("q_class", "t_class", "forward", F.length("q_text").alias("_length"), align.asNondeterministic()("q_text", "t_text", "forward", "seeds").alias("h")).select("q_class", "t_class", "forward", "_length", "h.*").where("columns IS NOT NULL")
+    found = dealt.select("q_class", "t_class", "forward", F.length("q_text").alias("_length"), align.asNondeterministic()("q_text", "t_text", "q", "t").alias("h")).select("q_class", "t_class", "forward", "_length", "h.*")
     found = found.withColumn("identity", F.col("matches") / F.col("columns")).withColumn("coverage", F.col("columns") / F.col("_length"))
     names = [c for c in found.columns if c not in ("q_class", "t_class", "_length")]
     better = found.groupBy("q_class", "t_class").agg(F.max_by(F.struct(*names), F.struct("matches", -F.col("columns"), "forward")).alias("h")).select("q_class", "t_class", "h.*")

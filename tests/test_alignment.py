@@ -79,3 +79,23 @@ def test_seeds_are_of_both_strands():
     h2, at2, forward2 = alignment.minimizers(text.translate(TURN)[::-1])
     assert sorted(zip(h.tolist(), at.tolist(), forward.tolist())) == sorted((x, 500 - 15 - p, not f) for x, p, f in zip(h2.tolist(), at2.tolist(), forward2.tolist()))
     assert 500 / 10 < len(h) < 500 / 3 and alignment.minimizers("ACGT")[0].size == 0 and alignment.minimizers("N" * 99)[0].size == 0
+
+
+def test_pairs_of_seeds_are_not_shuffled_as_rows(spark):
+    """Train minimizers that no test sequence has stay where they are, and texts follow only chains that are long enough; a full sieve changes nothing."""
+    rng = random.Random(4)
+    train = [(f"t{i}", "".join(rng.choices("ACGT", k=500))) for i in range(40)]
+    test = [("q0", changed(rng, train[0][1], 0.03)), ("q1", train[1][1][:60] + "".join(rng.choices("ACGT", k=600)))]
+    df, base = (spark.createDataFrame(x, "id string, seq string") for x in (test, train))
+    seen = df.selectExpr("xxhash64(seq) AS class", "seq AS sequence")
+    asked = alignment.seeds(seen, 15, 10)
+    posted = alignment.seeds(base.selectExpr("xxhash64(seq) AS class", "seq AS sequence"), 15, 10, alignment.sieve_of(asked, 1 << 20))
+    every = alignment.seeds(base.selectExpr("xxhash64(seq) AS class", "seq AS sequence"), 15, 10)
+    assert posted.count() < every.count() / 10 and posted.join(asked, "hash").count() == every.join(asked, "hash").count()
+    before = alignment.hits(df, base, "id", "seq").collect()
+    keep, alignment.SIEVE = alignment.SIEVE, 64
+    try:
+        assert sorted(alignment.hits(df, base, "id", "seq").collect()) == sorted(before) != []
+    finally:
+        alignment.SIEVE = keep
+    assert alignment.chain(np.array([0, 20, 40]), np.array([5, 25, 45]), 600, 15, 0.25) is None
