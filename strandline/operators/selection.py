@@ -221,19 +221,32 @@ def record_deltas(records: DataFrame, scores: DataFrame, distance: int = 50, mas
     bases = F.col("ref_allele").rlike("^[A-Za-z]+$") & F.col("alt_allele").rlike("^[A-Za-z]+$")
     ok = bases & ((ref == 1) | (alt == 1)) & (ref <= 2 * distance) & (F.col("ref_allele") != F.col("alt_allele"))
     told = records.where(ok).select("variant", "chrom", "position", ref.alias("_ref"), alt.alias("_alt"))
-    got = scores.join(told, "variant")
+    if mask is not None:
+        told = told.hint("merge").join(sites_around(told, mask, distance), ["chrom", "position"], "left")
+    got = scores.hint("merge").join(told, "variant")  # exploded rows look few to Catalyst, which would broadcast them
     at, inserted = F.col("offset"), F.col("_alt") - F.col("_ref")
     shifted = F.when((F.col("allele") == "ref") | (at <= 0), at).when(inserted > 0, F.greatest(F.lit(0), at - inserted)).otherwise(at - inserted)
-    one = got.withColumn("at", shifted).where(F.abs("at") <= distance).groupBy("variant", "chrom", "position", "at").agg(*(F.max(F.when(F.col("allele") == a, F.col(s))).alias(f"{a}_{s}") for a in ("ref", "alt") for s in ("donor", "acceptor")))
+    got = got.withColumn("at", shifted).where(F.abs("at") <= distance)
+    known = lambda s: F.coalesce(F.array_contains(f"_{s}s", F.col("position") + F.col("at")), F.lit(False))
+    marks = [] if mask is None else [F.max(known(s)).alias(f"_{s}_known") for s in ("donor", "acceptor")]
+    one = got.groupBy("variant", "chrom", "position", "at").agg(*(F.max(F.when(F.col("allele") == a, F.col(s))).alias(f"{a}_{s}") for a in ("ref", "alt") for s in ("donor", "acceptor")), *marks)
     change = lambda s: F.coalesce(f"alt_{s}", F.lit(0.0)) - F.coalesce(f"ref_{s}", F.lit(0.0))
-    long = one.select("variant", "chrom", "at", (F.col("position") + F.col("at")).alias("_p"), F.explode(F.array(*(F.struct(F.lit(s).alias("splice_type"), change(s).alias("delta")) for s in ("donor", "acceptor")))).alias("_s")).select("variant", "chrom", "at", "_p", "_s.*")
+    one = one.withColumns({f"_{s}": change(s) for s in ("donor", "acceptor")})
     if mask is not None:
-        known = mask.select("chrom", F.col("position").alias("_p"), "splice_type").distinct().withColumn("_known", F.lit(True))
-        long = long.join(known, ["chrom", "_p", "splice_type"], "left")
-        hidden = (F.col("_known").isNotNull() & (F.col("delta") > 0)) | (F.col("_known").isNull() & (F.col("delta") < 0))
-        long = long.withColumn("delta", F.when(hidden, 0.0).otherwise(F.col("delta")))
+        hidden = lambda s: F.when(F.col(f"_{s}_known"), F.col(f"_{s}") > 0).otherwise(F.col(f"_{s}") < 0)
+        one = one.withColumns({f"_{s}": F.when(hidden(s), 0.0).otherwise(F.col(f"_{s}")) for s in ("donor", "acceptor")})
     out = []
     for name, s, sign in (("acceptor_gain", "acceptor", 1), ("acceptor_loss", "acceptor", -1), ("donor_gain", "donor", 1), ("donor_loss", "donor", -1)):
-        size = F.when(F.col("splice_type") == s, F.greatest(F.lit(0.0), sign * F.col("delta")))
-        out += [F.max(size).alias(name), F.max_by("at", F.when(size.isNotNull(), F.struct(size, -F.col("at")))).alias(f"{name}_at")]
-    return long.groupBy("variant").agg(*out)
+        size = F.greatest(F.lit(0.0), sign * F.col(f"_{s}"))
+        out += [F.max(size).alias(name), F.max_by("at", F.struct(size, -F.col("at"))).alias(f"{name}_at")]
+    return one.groupBy("variant").agg(*out)
+
+
+def sites_around(records: DataFrame, mask: DataFrame, distance: int) -> DataFrame:
+    """(chrom, position, _donors, _acceptors) of records with annotated sites within the distance or a little more: the sites' positions as two arrays, from bins of 2 * distance + 1 positions."""
+    size = 2 * distance + 1
+    of = lambda s: F.collect_set(F.when(F.col("splice_type") == s, F.col("position"))).alias(f"_{s}s")
+    cut = mask.groupBy("chrom", F.floor(F.col("position") / size).alias("_bin")).agg(of("donor"), of("acceptor"))
+    low, high = (F.floor((F.col("position") + d) / size) for d in (-distance, distance))
+    asked = records.where(F.col("position").isNotNull()).select("chrom", "position").distinct().withColumn("_bin", F.explode(F.sequence(low, high)))
+    return asked.hint("merge").join(cut, ["chrom", "_bin"]).groupBy("chrom", "position").agg(*(F.flatten(F.collect_list(f"_{s}s")).alias(f"_{s}s") for s in ("donor", "acceptor")))
