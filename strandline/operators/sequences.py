@@ -35,10 +35,10 @@ def other_name(chrom: Column) -> Column:
 
 
 def names_held(wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """(chrom, held): each wanted name and the name that the blocks have for it: the same, else with or without `chr`. A row a name."""
-    there = held.select(F.col("chrom").alias("held")).distinct()
+    """(chrom, held, _length): each wanted name, the name that the blocks have for it (the same, else with or without `chr`) and its length. A row a name; the blocks are read once."""
+    there = index(held).select(F.col("chrom").alias("held"), F.col("length").alias("_length"))
     tried = wanted.select("chrom").distinct().select("chrom", F.posexplode(F.array("chrom", other_name(F.col("chrom")))).alias("_try", "held"))
-    return tried.join(there, "held").groupBy("chrom").agg(F.min_by("held", "_try").alias("held"))
+    return tried.join(there, "held").groupBy("chrom").agg(F.min_by(F.struct("held", "_length"), "_try").alias("_is")).select("chrom", "_is.*")
 
 
 def fetch(spans: DataFrame, held: DataFrame, start="start", end="end", strand: str | None = None, size: int = BLOCK, name="sequence") -> DataFrame:
@@ -47,9 +47,8 @@ def fetch(spans: DataFrame, held: DataFrame, start="start", end="end", strand: s
     With a strand column, rows with '-' get the reverse complement. Null where the name is unknown or a column is null; empty where no base lies in the span. size: the blocks' size.
     """
     key = spans.select("chrom", F.col(start).cast("bigint").alias("_start"), F.col(end).cast("bigint").alias("_end")).distinct()
-    known = key.join(names_held(key, held), "chrom").where(F.col("_start").isNotNull() & F.col("_end").isNotNull())
+    inside = key.join(names_held(key, held), "chrom").where(F.col("_start").isNotNull() & F.col("_end").isNotNull())
     touched = F.sequence(F.greatest(F.floor((F.col("_start") - 1) / size), F.lit(0)), F.floor((F.least("_end", "_length") - 1) / size))
-    inside = known.join(index(held).select(F.col("chrom").alias("held"), F.col("length").alias("_length")), "held")
     some = (F.greatest("_start", F.lit(1)) <= F.least("_end", "_length"))
     asked = inside.where(some).select("chrom", "held", "_start", "_end", F.explode(touched).alias("_k"))
     from_blocks = held.select(F.col("chrom").alias("held"), F.floor((F.col("block_start") - 1) / size).alias("_k"), "block_start", F.col("sequence").alias("_block"))
@@ -65,6 +64,20 @@ def fetch(spans: DataFrame, held: DataFrame, start="start", end="end", strand: s
     return got.withColumn(name, bases).drop("_chrom", "_start", "_end", "_found")
 
 
+#: Bases of a piece: a letter of a long text is found by counting from its start.
+PIECE = 256
+
+
+def pieces(sequence: Column) -> Column:
+    """A text in pieces of PIECE letters, each with the first letter of the next."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(sequence) - 1) / PIECE), F.lit(0)).cast("int")), lambda i: F.substring(sequence, i * PIECE + 1, F.lit(PIECE + 1)))
+
+
+def two_letters(cut: Column, at: Column) -> Column:
+    """The two letters at a 0-based place, not negative, of a text in pieces."""
+    return F.substring(F.get(cut, F.floor(at / PIECE).cast("int")), (F.pmod(at, F.lit(PIECE)) + 1).cast("int"), F.lit(2))
+
+
 def site_offsets(genes: DataFrame, exons: DataFrame, checked: bool = True, gene="gene_id", transcript="transcript_id", sequence="sequence") -> DataFrame:
     """(gene, offset, label) of the sites of a gene's transcripts in its sequence (0-based, in the gene's direction): 2 a donor, 1 an acceptor.
 
@@ -74,19 +87,24 @@ def site_offsets(genes: DataFrame, exons: DataFrame, checked: bool = True, gene=
     """
     w = Window.partitionBy(gene, transcript).orderBy("start", "end")
     introns = exons.select(gene, transcript, "start", "end", F.min("start").over(Window.partitionBy(gene, transcript)).alias("_from"), F.lead("start").over(w).alias("_next"), F.row_number().over(w).alias("_nth")).where("_next IS NOT NULL")
-    placed = introns.join(genes.select(gene, F.col("start").alias("_at"), F.col("strand").alias("_strand"), F.col(sequence).alias("_bases")), gene)
-    size, minus = F.length("_bases"), F.col("_strand") == "-"
-    one, two = F.col("end") - F.col("_at"), F.col("_next") - F.col("_at")
-    placed = placed.select("*", F.when(minus, size - two - 1).otherwise(one).alias("_donor"), F.when(minus, size - one - 1).otherwise(two).alias("_acceptor"))
-    after, before = F.substring("_bases", (F.col("_donor") + 2).cast("int"), F.lit(2)), F.substring("_bases", (F.col("_acceptor") - 1).cast("int"), F.lit(2))
-    if checked:
-        known = F.lit(False)
-        for donor, acceptor in MOTIFS:
-            known |= (F.upper(after) == donor) & (F.upper(before) == acceptor)
-        placed = placed.where(known & (F.col("_acceptor") >= 2) & (F.col("_donor") >= 0))
-    turn = F.struct(F.col("_from"), F.col(transcript), F.col("_nth"))
-    site = lambda at, label: F.struct(F.col(at).alias("offset"), F.lit(label).alias("label"), F.struct(turn.alias("t"), F.lit(2 - label).alias("i")).alias("turn"))
-    rows = placed.select(gene, size.alias("_size"), F.explode(F.array(site("_donor", 2), site("_acceptor", 1))).alias("s")).select(gene, "_size", "s.*")
+    listed = introns.groupBy(gene).agg(F.collect_list(F.struct(F.col("_from"), F.col(transcript).alias("_transcript"), F.col("_nth"), F.col("end"), F.col("_next"))).alias("_introns"))
+    placed = genes.select(gene, F.col("start").alias("_at"), F.col("strand").alias("_strand"), F.length(sequence).alias("_size"), pieces(F.col(sequence)).alias("_pieces")).join(listed, gene)
+    size, minus = F.col("_size"), F.col("_strand") == "-"
+
+    def ends(x: Column) -> Column:
+        one, two = x["end"] - F.col("_at"), x["_next"] - F.col("_at")
+        turn = F.struct(x["_from"].alias("_from"), x["_transcript"].alias("_transcript"), x["_nth"].alias("_nth"))
+        return F.struct(F.when(minus, size - two - 1).otherwise(one).alias("donor"), F.when(minus, size - one - 1).otherwise(two).alias("acceptor"), turn.alias("turn"))
+
+    def known(x: Column) -> Column:
+        after, before = (F.upper(two_letters(F.col("_pieces"), at)) for at in (x["donor"] + 1, x["acceptor"] - 2))
+        return (x["acceptor"] >= 2) & (x["donor"] >= 0) & F.concat(after, before).isin(*("".join(m) for m in MOTIFS))
+
+    # The bases stay in the gene's row: with the introns as rows each would carry them all.
+    found = F.filter(F.transform("_introns", ends), known) if checked else F.transform("_introns", ends)
+    site = lambda x, at, label: F.struct(x[at].alias("offset"), F.lit(label).alias("label"), F.struct(x["turn"].alias("t"), F.lit(2 - label).alias("i")).alias("turn"))
+    each = F.flatten(F.transform(found, lambda x: F.array(site(x, "donor", 2), site(x, "acceptor", 1))))
+    rows = placed.select(gene, "_size", F.explode(each).alias("s")).select(gene, "_size", "s.*")
     return rows.where((F.col("offset") >= 0) & (F.col("offset") < F.col("_size"))).groupBy(gene, "offset").agg(F.max_by("label", "turn").alias("label"))
 
 

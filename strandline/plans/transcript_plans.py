@@ -141,9 +141,9 @@ def similar_families(spark, sf_dir):
 
 
 def contigs(spark, sf_dir):
-    """documents as contigs of A, C, G, T and N, named chr and the id."""
+    """documents as contigs of A, C, G, T and N, named chr and the id. n: the number of bases, told without making them."""
     bases = F.regexp_replace(F.translate(F.lower("text"), "eorisul", "ACGTACG"), "[^ACGT]", "N")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("chr"), F.col("doc_id")).alias("contig"), bases.alias("bases"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("chr"), F.col("doc_id")).alias("contig"), bases.alias("bases"), F.length(F.lower("text")).alias("n"))
 
 
 CONTIGS = "contigs AS (SELECT doc_id, regexp_replace(translate(lower(text), 'eorisul', 'ACGTACG'), '[^ACGT]', 'N', 'g') AS bases, length(text) AS n FROM documents WHERE text IS NOT NULL)"
@@ -155,7 +155,7 @@ SELECT doc_id, CAST(k AS INTEGER) AS k, length(q) AS n_bases, CASE WHEN (doc_id
 def fetched_spans(spark, sf_dir):
     """Spans off both ends, over several blocks and beyond the end, from blocks of 256 bases; names with and without chr."""
     c = contigs(spark, sf_dir)
-    n = F.length("bases")
+    n = F.col("n")
     ends = [(F.lit(-9), F.lit(40)), (F.floor(n / 3), F.floor(n / 3) + 800), (n - 30, n + 100), (n + 5, n + 9)]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end")) for k, (a, b) in enumerate(ends))))
     spans = c.select("doc_id", "contig", each.alias("s")).select("doc_id", "contig", "s.*")
@@ -181,8 +181,8 @@ SELECT doc_id, length(s) AS n_bases, md5(s) AS bases_md5, md5(labels) AS labels_
 
 def genes_and_exons(spark, sf_dir):
     """A gene a contig, with two transcripts of exons every 60 and 120 bases."""
-    c = contigs(spark, sf_dir).where(F.length("bases") >= 60)
-    genes = c.select("doc_id", F.col("contig").alias("chrom"), F.lit(31).cast("bigint").alias("start"), (F.length("bases") - 20).cast("bigint").alias("end"), F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+").alias("strand"))
+    c = contigs(spark, sf_dir).where("n >= 60")
+    genes = c.select("doc_id", F.col("contig").alias("chrom"), F.lit(31).cast("bigint").alias("start"), (F.col("n") - 20).cast("bigint").alias("end"), F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+").alias("strand"))
     step = (F.col("transcript_id") + 1) * 60
     each = genes.select("doc_id", F.col("end").alias("_stop"), F.explode(F.array(F.lit(0), F.lit(1))).alias("transcript_id"))
     each = each.select("doc_id", "_stop", "transcript_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_stop") / step))).alias("_i"))

@@ -59,3 +59,22 @@ def test_two_contigs_of_one_name_are_an_error(spark, tmp_path, texts):
 def test_labels_are_not_all_zero(spark):
     rows = registry.queries()["gene_base_labels_checked"](spark, SF).collect()
     assert sum(r.n_donors for r in rows) > 0 and sum(r.n_acceptors for r in rows) > 0
+
+
+def test_introns_carry_no_bases(spark):
+    """Motifs on the borders of pieces are seen, and the plan explodes rows without the gene's sequence."""
+    n = 3 * sequences.PIECE
+    bases = list("A" * n)
+    bases[255:257], bases[510:512] = "GT", "AG"  # donor at 254, acceptor at 512
+    genes = spark.createDataFrame([("g", 1, n, "+", "".join(bases))], "gene_id string, start long, end long, strand string, sequence string")
+    exons = spark.createDataFrame([("g", "t", 1, 255), ("g", "t", 513, n), ("g", "u", 1, 256), ("g", "u", 513, n)], "gene_id string, transcript_id string, start long, end long")
+    got = sequences.site_offsets(genes, exons)
+    assert sorted((r.offset, r.label) for r in got.collect()) == [(254, 2), (512, 1)]
+    made = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+    assert len(made) == 1 and "_introns" in made[0]
+
+
+def test_bases_are_made_for_blocks_alone(spark):
+    """Once for the blocks and once for their lengths, not again for the spans."""
+    plan = registry.queries()["fetched_spans"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("length(lower(") >= 2 and 0 < plan.count("AS bases") <= 4
