@@ -127,7 +127,7 @@ def drawn_positions(genes: DataFrame, per: int, start="start", end="end", margin
 
 def stratified_negatives(candidates: DataFrame, real: DataFrame, on: list[str], kind: str, key: str, quota: dict[str, int], seed=42) -> DataFrame:
     """Candidates that aren't real, the quota of each kind by least hash; only the range of hashes that holds a kind's cut is ranked."""
-    left = candidates.join(real, on, "left_anti").where(F.col(kind).isin(list(quota)))
+    left = candidates.join(real.select(*on).distinct(), on, "left_anti").where(F.col(kind).isin(list(quota)))
     most = F.element_at(F.create_map(*(F.lit(x) for k, v in quota.items() for x in (k, v))), F.col("_by0"))
     return least_hashes(left, [kind], key, most, seed)
 
