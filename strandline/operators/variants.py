@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,26 +36,55 @@ def pair_events(events: DataFrame, variant: str, most: int = 500) -> DataFrame:
     """Each loss, strongest first, takes the strongest gain of its channel within `most` bases that is still free.
 
     The choice depends on the ones before, so events are handled in order in one group: a chain of a variant's events of one channel. An empty
-    stretch of `most` positions or more closes a chain, as no pair crosses it. In a chain of n events a choice takes log(n) steps.
+    stretch of `most` positions or more closes a chain, as no pair crosses it. In a chain of n events a choice takes log(n) steps. Most chains are
+    of a few events, so tasks stream through their chains and take those of an Arrow batch at once; only a chain that is longer is held across batches.
     """
     width = max(1, most)
-    own = events.select(F.col(variant).alias("_variant"), "channel", "position", "delta", "direction").withColumn("_bin", F.floor(F.col("position") / width))
+    own = events.select(F.col(variant).alias("_variant"), "channel", F.col("position").cast("bigint").alias("position"), F.col("delta").cast("double").alias("delta"), "direction").withColumn("_bin", F.floor(F.col("position") / width))
     bins = own.select(F.col("_variant").alias("_v"), F.col("channel").alias("_c"), F.col("_bin").alias("_b")).distinct()
     w = Window.partitionBy("_v", "_c").orderBy("_b")  # a row a bin
     opens = F.when(F.col("_b") - F.lag("_b").over(w) <= 1, 0).otherwise(1)
     chains = bins.withColumn("_new", opens).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     held = own.join(chains, F.col("_variant").eqNullSafe(F.col("_v")) & F.col("channel").eqNullSafe(F.col("_c")) & F.col("_bin").eqNullSafe(F.col("_b")))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf["delta"].abs()).sort_values(["size", "position"], ascending=[False, True], kind="stable")
-        gains, losses = pdf[pdf["direction"] == "gain"].reset_index(drop=True), pdf[pdf["direction"] == "loss"]
-        taken = strongest_free(gains["position"].to_numpy(), losses["position"].to_numpy(), most)
-        gain = gains.reindex(taken)  # -1 is in no index: null
-        return pd.DataFrame({variant: losses["_variant"].to_numpy(), "channel": losses["channel"].to_numpy(), "loss_position": losses["position"].to_numpy(), "loss_delta": losses["delta"].to_numpy(), "gain_position": gain["position"].astype("Int64").array, "gain_delta": gain["delta"].to_numpy()})
+    size = F.nanvl(F.abs("delta"), F.lit(None).cast("double"))
+    strongest = Window.partitionBy("_variant", "channel", "_chain").orderBy(F.desc_nulls_last(size), F.asc_nulls_last("position"))
+    ordered = held.select("_variant", "channel", "position", "delta", "direction", F.row_number().over(strongest).alias("_k"))  # a task has chain after chain, each from _k = 1
+
+    def paired(batches):
+        parts = []  # of the chain that may go on
+        for batch in batches:
+            first = np.flatnonzero(batch.column("_k").to_numpy() == 1)
+            if len(first):
+                if whole := [*parts, *([batch.slice(0, first[-1])] if first[-1] else [])]:
+                    yield from pair_chains(whole, most, names)
+                parts = []
+            parts.append(batch.slice(first[-1]) if len(first) else batch)
+        if parts:
+            yield from pair_chains(parts, most, names)
 
     kind = dict(events.dtypes)
-    got = held.select("_variant", "channel", "_chain", "position", "delta", "direction").groupBy("_variant", "channel", "_chain")
-    return got.applyInPandas(pair, f"{variant} {kind[variant]}, channel string, loss_position bigint, loss_delta double, gain_position bigint, gain_delta double")
+    names = [variant, "channel", "loss_position", "loss_delta", "gain_position", "gain_delta"]
+    return ordered.mapInArrow(paired, f"`{variant}` {kind[variant]}, channel string, loss_position bigint, loss_delta double, gain_position bigint, gain_delta double")
+
+
+def pair_chains(parts: list[pa.RecordBatch], most: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The losses of whole chains with their gains. Chains are laid out more than `most` apart, so one pass over all of them pairs within each."""
+    t = pa.Table.from_batches(parts)
+    if not len(t):
+        return
+    at, known = t["position"].fill_null(0).to_numpy(), t["position"].is_valid().to_numpy()
+    new = t["_k"].to_numpy() == 1
+    start, chain = np.flatnonzero(new), np.cumsum(new) - 1
+    low = np.minimum.reduceat(at, start)
+    room = np.maximum.reduceat(at, start) - low + most + 1
+    at = at - low[chain] + (np.cumsum(room) - room)[chain]
+    is_kind = lambda k: pc.fill_null(pc.equal(t["direction"], k), False).to_numpy()
+    gains, losses = np.flatnonzero(is_kind("gain") & known), np.flatnonzero(is_kind("loss"))
+    taken = np.full(len(losses), -1)
+    taken[known[losses]] = strongest_free(at[gains], at[losses[known[losses]]], most)
+    gain = pa.array(np.append(gains, -1)[taken], mask=taken < 0)
+    loss = t.take(pa.array(losses))
+    yield from pa.table([loss["_variant"], loss["channel"], loss["position"], loss["delta"], t["position"].take(gain), t["delta"].take(gain)], names=names).to_batches()
 
 
 def strongest_free(gains: np.ndarray, losses: np.ndarray, most: int) -> np.ndarray:
