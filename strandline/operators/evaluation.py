@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import best_in_window, with_offsets
+from .intervals import beside, best_in_window, with_offsets
 from .labels import key_hash
 from .scans import top_k
 from .windows import running_totals
@@ -19,13 +19,12 @@ def classify_sites(truth: DataFrame, scores: DataFrame, on: list[str], threshold
 
     A TP or FN row has the true position and the best score (0 where there is none over 0).
     """
-    sites = truth.select(*on, position).distinct()
-    best = best_in_window(sites, scores.select(*on, position, score), on, width, position, score)
-    score_of = F.greatest(F.coalesce("best_score", F.lit(0.0)), F.lit(0.0))
-    hit = best.select(*on, position, F.when(score_of >= threshold, "TP").otherwise("FN").alias("pred_type"), score_of.alias("score"))
-    near = sites.select(*on, F.explode(F.sequence(F.col(position) - width, F.col(position) + width)).alias(position)).distinct()
-    false = scores.where(F.col(score) >= threshold).join(near, [*on, position], "left_anti").select(*on, position, F.lit("FP").alias("pred_type"), F.col(score).alias("score"))
-    return hit.unionByName(false)
+    rows, near = beside(truth.select(*on, position).distinct(), scores, on, width, position, score)
+    keyed = lambda c: F.max(F.when(F.col("_keyed"), F.col(c))).over(near)
+    got = rows.withColumns({"_best": keyed("_score"), "_true": keyed("_site")}).where("_core").where(F.col("_site") | ((F.col("_score") >= threshold) & ~F.coalesce("_true", F.lit(False))))
+    score_of = F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(0.0))
+    kind = F.when(~F.col("_site"), "FP").when(score_of >= threshold, "TP").otherwise("FN")
+    return got.select(*on, position, kind.alias("pred_type"), F.when(F.col("_site"), score_of).otherwise(F.col("_score")).alias("score"))
 
 
 def site_metrics(classified: DataFrame, by: list[str] = (), kind="pred_type", digits=4) -> DataFrame:

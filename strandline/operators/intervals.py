@@ -7,7 +7,9 @@ without making pairs, and nearest marks at any distance are found by scans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .scans import PARTS, ranges, scan
@@ -111,16 +113,23 @@ def near_flagged(df: DataFrame, flag: str, position: str, by: list[str], width:
     return with_halo(df, position, width).withColumn("is_near", F.max(F.col(flag).cast("int")).over(w) == 1).where("_core").drop("_bin", "_core")
 
 
-def best_in_window(sites: DataFrame, scores: DataFrame, on: list[str], width: int, position="position", score="score") -> DataFrame:
-    """Each site with the largest score within `width` positions and where it lies (the first, on ties); null where none is.
+def beside(sites: DataFrame, scores: DataFrame, on: list[str], width: int, position="position", score="score") -> tuple[DataFrame, WindowSpec]:
+    """Sites and scores as rows of one table (`_site` says which; `_score`, `_keyed`, `_core`), and the window of what lies within `width` positions of a row.
 
-    A site is exploded into its 2 * width + 1 offsets, so the join is an equi-join on position.
+    Keep `_core` rows; a value counts where `_keyed`, as a null key or position is near nothing. Each row is shuffled once, whatever the width; a frame holds the rows of
+    2 * width + 1 positions.
     """
-    keyed = sites.withColumn("_site", F.struct(*sites.columns))  # equal in all columns, null to null
-    probe = keyed.distinct().select(*on, "_site", F.explode(F.sequence(F.lit(-width), F.lit(width))).alias("_offset"), F.col(position).alias("_here")).withColumn("_at", F.col("_here") + F.col("_offset"))
-    near = scores.select(*on, F.col(position).alias("_at"), F.col(score).alias("_score"))
-    got = probe.join(near, [*on, "_at"]).groupBy("_site").agg(F.max("_score").alias("best_score"), F.max_by("_offset", F.struct("_score", -F.col("_offset"))).alias("best_offset"))
-    return keyed.join(got, "_site", "left").select(*sites.columns, "best_score", "best_offset")
+    both = sites.withColumn("_site", F.lit(True)).unionByName(scores.select(*on, position, F.col(score).alias("_score"), F.lit(False).alias("_site")), allowMissingColumns=True)
+    keyed = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*on, position)))
+    return with_halo(both, position, width).withColumn("_keyed", keyed), Window.partitionBy(*on, "_bin").orderBy(position).rangeBetween(-width, width)
+
+
+def best_in_window(sites: DataFrame, scores: DataFrame, on: list[str], width: int, position="position", score="score") -> DataFrame:
+    """Each site with the largest score within `width` positions and where it lies (the first, on ties); null where none is."""
+    rows, near = beside(sites, scores, on, width, position, score)
+    item = F.when(F.col("_keyed") & ~F.col("_site"), F.struct(F.col("_score").alias("score"), (-F.col(position)).alias("at")))
+    got = rows.withColumn("_best", F.max(item).over(near)).where("_core AND _site")
+    return got.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in sites.schema), F.col("_best.score").alias("best_score"), (-F.col("_best.at") - F.col(position)).cast("int").alias("best_offset"))
 
 
 def nearest_of(points: DataFrame, marks: DataFrame, on: list[str], position="position", mark="mark", within: int = 50) -> DataFrame:
