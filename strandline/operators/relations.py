@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import binned
+
 
 def label_join(df: DataFrame, sites: DataFrame, on: list[str]) -> DataFrame:
     """Each row with its site's type and first transcript and the number of transcripts; '' and 0 where there is none."""
@@ -115,6 +117,34 @@ def peak_features(hits: DataFrame, by: list[str], regulators=(), sr=(), hnrnp=()
     )
 
 
+def peak_features_at(points: DataFrame, peaks: DataFrame, on: list[str], regulators=(), sr=(), hnrnp=(), position="position", start="start", end="end", width=10_000, closed=True, rbp="rbp", cell="cell_line", signal="signal_value", p="neg_log10_pvalue") -> DataFrame:
+    """peak_features() of points_in_intervals(), for each distinct point in a peak, without a row a hit.
+
+    Peaks are cut at the borders of bins, and equal pieces of a cell line are one row before points meet them. Of each protein's pieces in a bin only what no earlier one covers is
+    kept, so at any position a protein is in at most one of them; then these are one row a piece too, with the number of proteins.
+    """
+    among = lambda names: F.coalesce(F.sum(F.col(rbp).isin(list(names)).cast("long")), F.lit(0)) if names else F.lit(0).cast("long")
+    low, high = F.col("_bin") * width, (F.col("_bin") + 1) * width
+    cut = binned(peaks.dropna(subset=on), start, end, width).select(*on, "_bin", F.greatest(F.col(start), low).alias("_from"), F.least(F.col(end), high).alias("_to"), rbp, cell, signal, p)
+    cut = cut if closed else cut.where("_from < _to")
+    piece = [*on, "_bin", "_from", "_to"]
+    signals = cut.groupBy(*piece, cell).agg(F.max(signal).alias("_max"), F.sum(F.col(signal).cast("double")).alias("_sum"), F.count(signal).alias("_n"), F.max(p).alias("_p"))
+    earlier = Window.partitionBy(*on, "_bin", rbp).orderBy("_from", "_to").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = cut.where(F.col(rbp).isNotNull()).select(*piece, rbp).withColumn("_before", F.max("_to").over(earlier)).where("_before IS NULL OR _to > _before")
+    after = F.coalesce(F.col("_before") >= F.col("_from"), F.lit(False)) if closed else F.lit(False)  # a closed piece that another covers up to _before, itself included
+    fresh = fresh.withColumns({"_after": after, "_from": F.greatest("_from", "_before")})
+    proteins = fresh.groupBy(*piece, "_after").agg(F.count("*").alias("_bound"), (F.max(F.col(rbp).isin(list(regulators)).cast("int")) if regulators else F.lit(0)).alias("_reg"), among(sr).alias("_sr"), among(hnrnp).alias("_hnrnp"))
+    at = points.select(*on, position).distinct().withColumn("_bin", F.floor(F.col(position) / width))
+    x = F.col(position)
+    inside = (x >= F.col("_from")) & ((x <= F.col("_to")) if closed else (x < F.col("_to")))
+    by = [*on, position]
+    a = at.join(signals, [*on, "_bin"]).where(inside).groupBy(*by).agg(F.max("_max").alias("max_signal"), F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_signal"), F.max("_p").alias("max_neg_log10_pvalue"), F.countDistinct(cell).alias("cell_line_breadth"))
+    b = at.join(proteins, [*on, "_bin"]).where(inside & ~(F.col("_after") & (x == F.col("_from")))).groupBy(*by).agg(F.sum("_bound").alias("n_bound"), F.max("_reg").alias("has_splice_regulator"), F.sum("_sr").alias("n_sr_proteins"), F.sum("_hnrnp").alias("n_hnrnps"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    has = F.col("has_splice_regulator") if regulators else none("has_splice_regulator")
+    return a.join(b, by, "left").select(*by, none("n_bound"), "max_signal", "mean_signal", "max_neg_log10_pvalue", has, none("n_sr_proteins"), none("n_hnrnps"), "cell_line_breadth")
+
+
 def cross_source_summary(tracks: DataFrame, by: list[str], value="value", breadth=1.5, peak: float | None = None) -> DataFrame:
     """Maximum, mean, population variance, how many exceed `breadth`, and whether any exceeds `peak`."""
     return tracks.groupBy(*by).agg(F.max(value).alias("max_value"), F.avg(value).alias("mean_value"), F.var_pop(value).alias("variance"), F.sum(F.coalesce((F.col(value) > breadth).cast("int"), F.lit(0))).alias("breadth"), *([(F.max(value) > peak).cast("int").alias("has_peak")] if peak is not None else []))

@@ -74,8 +74,7 @@ def interval_overlap_features(spark, sf_dir):
     peaks = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("chrom"), F.col("l_suppkey").alias("rbp"), F.col("l_linestatus").alias("cell_line"), day("l_shipdate").alias("start"), (day("l_shipdate") + F.col("l_linenumber")).alias("end"), F.col("l_quantity").alias("signal_value"), F.col("l_discount").alias("neg_log10_pvalue"))
     k = F.col("o_orderkey") % 3
     points = table(spark, sf_dir, "orders").select(F.when(k == 0, "A").when(k == 1, "N").otherwise("R").alias("chrom"), day("o_orderdate").alias("position")).distinct()
-    hits = intervals.points_in_intervals(points, peaks, ["chrom"], width=16, closed=False)
-    df = relations.peak_features(hits, ["chrom", "position"], regulators=[1, 2], sr=[3, 4, 5])
+    df = relations.peak_features_at(points, peaks, ["chrom"], regulators=[1, 2], sr=[3, 4, 5], width=16, closed=False)
     return df.select("chrom", "position", "n_bound", "max_signal", F.round("mean_signal", 6).alias("mean_signal"), "max_neg_log10_pvalue", "has_splice_regulator", "n_sr_proteins", "cell_line_breadth")
 
 
