@@ -56,8 +56,13 @@ def tissue_summary(junctions: DataFrame, by: list[str], tissue="tissue", reads="
 
 
 def tissue_matrix(counts: DataFrame, sample_tissues: DataFrame, junction: str, sample="sample", reads="reads") -> DataFrame:
-    """Sums and counts of non-zero samples of each junction in each tissue; junctions without reads there go."""
-    return counts.join(sample_tissues, sample).groupBy(junction, "tissue").agg(F.sum(reads).alias("total_reads"), F.sum((F.col(reads) > 0).cast("int")).alias("n_samples")).where("total_reads > 0")
+    """Sums and counts of non-zero samples of each junction in each tissue; junctions without reads there go.
+
+    A sample's rows are of nearly as many junctions, so sums made next to the join would be as many as the rows. Rows are dealt by their junction's hash first: a task then has few
+    junctions, whole but for hot ones, which adaptive execution may split. Samples are the small side of the join, which is hashed in parts, without a sort.
+    """
+    rows = counts.join(sample_tissues.hint("shuffle_hash"), sample).select(junction, "tissue", reads).withColumn("_deal", F.pmod(F.hash(junction), F.lit(1 << 16))).hint("rebalance", "_deal")
+    return rows.groupBy(junction, "tissue").agg(F.sum(reads).alias("total_reads"), F.sum((F.col(reads) > 0).cast("int")).alias("n_samples")).where("total_reads > 0")
 
 
 def join_features(df: DataFrame, index: DataFrame, on: list[str], counts: list[str]) -> DataFrame:
