@@ -18,16 +18,19 @@ MOTIFS = (("GT", "AG"), ("GC", "AG"), ("AT", "AC"))
 
 
 def blocks(df: DataFrame, chrom: str, sequence: str, size: int = BLOCK) -> DataFrame:
-    """(chrom, block_start, sequence) of whole sequences, a row each; null and empty ones have no block. chrom is unique."""
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length(sequence) - 1) / size)))
-    cut = df.where(F.length(sequence) > 0).select(F.col(chrom).cast("string").alias("chrom"), F.col(sequence).alias("_whole"), at.alias("_k"))
+    """(chrom, block_start, sequence) of whole sequences, a row each; null ones have no block, and an empty one has one without bases. chrom is unique, but for equal sequences."""
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.floor((F.length(sequence) - 1) / size), F.lit(0))))
+    cut = df.where(F.col(sequence).isNotNull()).select(F.col(chrom).cast("string").alias("chrom"), F.col(sequence).alias("_whole"), at.alias("_k"))
     return cut.select("chrom", (F.col("_k") * size + 1).alias("block_start"), F.substring("_whole", (F.col("_k") * size + 1).cast("int"), F.lit(size)).alias("sequence"))
 
 
+def last_base() -> Column:
+    return F.max(F.col("block_start") + F.length("sequence") - 1)
+
+
 def index(held: DataFrame) -> DataFrame:
-    """(chrom, length, n_blocks, n_missing) of each sequence; n_missing: bases up to the last one that no block holds."""
-    last = F.max(F.col("block_start") + F.length("sequence") - 1)
-    return held.groupBy("chrom").agg(last.alias("length"), F.count("*").alias("n_blocks"), (last - F.sum(F.length("sequence"))).alias("n_missing"))
+    """(chrom, length, n_blocks, n_missing) of each sequence with bases; n_missing: bases up to the last one that no block holds."""
+    return held.groupBy("chrom").agg(last_base().alias("length"), F.count("*").alias("n_blocks"), (last_base() - F.sum(F.length("sequence"))).alias("n_missing")).where("length > 0")
 
 
 def other_name(chrom: Column) -> Column:
@@ -36,7 +39,7 @@ def other_name(chrom: Column) -> Column:
 
 def names_held(wanted: DataFrame, held: DataFrame) -> DataFrame:
     """(chrom, held, _length): each wanted name, the name that the blocks have for it (the same, else with or without `chr`) and its length. A row a name; the blocks are read once."""
-    there = index(held).select(F.col("chrom").alias("held"), F.col("length").alias("_length"))
+    there = held.groupBy(F.col("chrom").alias("held")).agg(last_base().alias("_length"))
     tried = wanted.select("chrom").distinct().select("chrom", F.posexplode(F.array("chrom", other_name(F.col("chrom")))).alias("_try", "held"))
     return tried.join(there, "held").groupBy("chrom").agg(F.min_by(F.struct("held", "_length"), "_try").alias("_is")).select("chrom", "_is.*")
 
@@ -44,7 +47,7 @@ def names_held(wanted: DataFrame, held: DataFrame) -> DataFrame:
 def fetch(spans: DataFrame, held: DataFrame, start="start", end="end", strand: str | None = None, size: int = BLOCK, name="sequence") -> DataFrame:
     """spans (chrom, start, end; 1-based, closed) with their sequence; a span over the ends of its sequence is cut there.
 
-    With a strand column, rows with '-' get the reverse complement. Null where the name is unknown or a column is null; empty where no base lies in the span. size: the blocks' size.
+    With a strand column, rows with '-' get the reverse complement. Null where the name is unknown or a column is null; empty where no base lies in the span. Equal blocks of one place count once. size: the blocks' size.
     """
     key = spans.select("chrom", F.col(start).cast("bigint").alias("_start"), F.col(end).cast("bigint").alias("_end")).distinct()
     inside = key.join(names_held(key, held), "chrom").where(F.col("_start").isNotNull() & F.col("_end").isNotNull())
@@ -56,7 +59,7 @@ def fetch(spans: DataFrame, held: DataFrame, start="start", end="end", strand: s
     stop = F.least(F.col("_end"), F.col("block_start") + F.length("_block") - 1)
     piece = F.struct(F.col("_k"), F.substring("_block", (first - F.col("block_start") + 1).cast("int"), (stop - first + 1).cast("int")).alias("bases"))
     pieces = asked.join(from_blocks, ["held", "_k"]).select("chrom", "_start", "_end", piece.alias("_piece"))
-    whole = pieces.groupBy("chrom", "_start", "_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda x: x["bases"]), "").alias("_found"))
+    whole = pieces.groupBy("chrom", "_start", "_end").agg(F.array_join(F.transform(F.array_sort(F.collect_set("_piece")), lambda x: x["bases"]), "").alias("_found"))
     nothing = inside.where(~some).select("chrom", "_start", "_end", F.lit("").alias("_found"))
     fetched = whole.unionByName(nothing).withColumnRenamed("chrom", "_chrom")
     got = spans.join(fetched, (F.col("chrom") == F.col("_chrom")) & (F.col(start) == F.col("_start")) & (F.col(end) == F.col("_end")), "left")

@@ -141,9 +141,11 @@ def similar_families(spark, sf_dir):
 
 
 def contigs(spark, sf_dir):
-    """documents as contigs of A, C, G, T and N, named chr and the id. n: the number of bases, told without making them."""
-    bases = F.regexp_replace(F.translate(F.lower("text"), "eorisul", "ACGTACG"), "[^ACGT]", "N")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("chr"), F.col("doc_id")).alias("contig"), bases.alias("bases"), F.length(F.lower("text")).alias("n"))
+    """documents as contigs of A, C, G, T and N, named chr, the id (if there is one) and a hash of the text, as an id may have several. n: the number of bases, told without making them."""
+    low = F.lower(F.replace("text", F.lit("\u0130"), F.lit("i")))  # by itself Spark lowers it to two letters, SQL to one
+    bases = F.regexp_replace(F.translate(low, "eorisul", "ACGTACG"), "[^ACGT]", "N")
+    name = F.concat(F.lit("chr"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("."), F.hex(F.xxhash64("text")))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", name.alias("contig"), bases.alias("bases"), F.length(low).alias("n"))
 
 
 CONTIGS = "contigs AS (SELECT doc_id, regexp_replace(translate(lower(text), 'eorisul', 'ACGTACG'), '[^ACGT]', 'N', 'g') AS bases, length(text) AS n FROM documents WHERE text IS NOT NULL)"
@@ -159,7 +161,7 @@ def fetched_spans(spark, sf_dir):
     ends = [(F.lit(-9), F.lit(40)), (F.floor(n / 3), F.floor(n / 3) + 800), (n - 30, n + 100), (n + 5, n + 9)]
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end")) for k, (a, b) in enumerate(ends))))
     spans = c.select("doc_id", "contig", each.alias("s")).select("doc_id", "contig", "s.*")
-    spans = spans.select("doc_id", "k", "start", "end", F.when(F.col("k") % 2 == 0, F.col("contig")).otherwise(F.col("doc_id").cast("string")).alias("chrom"), F.when((F.col("doc_id") + F.col("k")) % 2 == 0, "-").otherwise("+").alias("strand"))
+    spans = spans.select("doc_id", "k", "start", "end", F.when(F.col("k") % 2 == 0, F.col("contig")).otherwise(F.substring("contig", 4, 1 << 30)).alias("chrom"), F.when((F.col("doc_id") + F.col("k")) % 2 == 0, "-").otherwise("+").alias("strand"))
     got = sequences.fetch(spans, sequences.blocks(c, "contig", "bases", 256), strand="strand", size=256)
     return got.select("doc_id", "k", F.length("sequence").cast("bigint").alias("n_bases"), F.col("sequence").alias("bases"))
 
