@@ -28,6 +28,7 @@ CODE = np.full(256, 4, np.uint8)
 CODE[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
 #: Bits of the array of test minimizers. A full one lets more rows pass, with the same result.
 SIEVE = 1 << 26
+PACKED = 1 << 13
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,12 +105,19 @@ def seeds(sequences: DataFrame, k: int, w: int, sieve: Broadcast | None = None)
 
 
 def sieve_of(posted: DataFrame, bits: int) -> Broadcast:
-    """A bit array (as signed words) of the low bits of all hashes; a task sends a row a word at most."""
+    """A bit array (as signed words) of the low bits of all hashes; a task sends a row a word at most, and the driver gets the array in PACKED words a row."""
     low = F.col("hash").bitwiseAND(bits - 1)
-    words = posted.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return posted.sparkSession.sparkContext.broadcast(out)
+    words = posted.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits"))
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(PACKED, np.int64)
+        out[part["word"].to_numpy(np.int64) % PACKED] = part["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"at": [int(part["word"].iloc[0]) // PACKED], "bits": [out.tobytes()]})
+
+    out = np.zeros(-(-bits // (64 * PACKED)) * PACKED, np.int64)
+    for at, some in words.groupBy(F.floor(F.col("word") / PACKED)).applyInPandas(packed, "at bigint, bits binary").collect():
+        out[at * PACKED : (at + 1) * PACKED] = np.frombuffer(some, np.int64)
+    return posted.sparkSession.sparkContext.broadcast(out[: bits // 64].copy())
 
 
 def best_chains(q: np.ndarray, t: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int = K, gap: int = GAP, back: int = BACK) -> tuple[np.ndarray, np.ndarray]:
@@ -420,7 +428,8 @@ def hits(test: DataFrame, train: DataFrame, key: str, sequence: str, k: int = K,
     texts = lambda df: df.groupBy("class").agg(one.alias("sequence"))
     asked = kept(seeds(texts(tests), k, w), "minimizers")
     posted = seeds(texts(trains), k, w, sieve_of(asked, SIEVE)).drop("length").repartition("hash")
-    common = posted.groupBy("hash").agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select("hash")
+    # All columns are asked for here, so that this and the join have one exchange; without, each would make the minimizers again.
+    common = posted.groupBy("hash").agg(F.count("*").alias("_n"), F.max("class").alias("_c"), F.max("seed").alias("_s")).where(f"_n <= {most} AND _c IS NOT NULL AND _s IS NOT NULL").select("hash")
     listed = posted.join(common, "hash").groupBy("hash").agg(F.collect_list("class").alias("targets"), F.collect_list("seed").alias("seeds"))
     both = kept(chains(asked.join(listed, "hash").drop("hash"), k, span), "chains")
     text = lambda df, side: df.join(both.select(F.col(f"{side}_class").alias("class")).distinct(), "class", "left_semi").groupBy(F.col("class").alias(f"{side}_class")).agg(F.min("sequence").alias(f"{side}_text"))
